@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .operators import orphans
+from .operators import drift, orphans, units, wide
 
-MODULES = [orphans]
+MODULES = [orphans, wide, units, drift]
 FLAGSHIP = "p1_found"
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
