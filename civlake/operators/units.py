@@ -10,6 +10,7 @@ combination comes within ``MARGIN``.
 
 from __future__ import annotations
 
+import math
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
@@ -107,17 +108,16 @@ def infer_units(amounts: DataFrame, fitted: dict[tuple[str, ...], tuple[float, f
 
     Zero and negative amounts take no part in identities; without any identity the smaller factor (dollars) wins.
     """
+    for v in VARIABLES:
+        amounts = amounts.withColumns({f"{v}_open": F.when(F.col(f"{v}_unit").isNull() & (F.col(f"{v}_number") > 0), F.log(f"{v}_number")), f"{v}_known": _log_dollars(v)})
     combos = []
     for pick in product(("USD", "USD_thousands"), repeat=len(VARIABLES)):
-        logs, wrong = {}, F.lit(0.0)
-        for v, u in zip(VARIABLES, pick, strict=True):
-            stated = F.col(f"{v}_unit").isNotNull() | F.col(f"{v}_number").isNull()
-            logs[v] = F.when(stated, _log_dollars(v)).when(F.col(f"{v}_number") > 0, F.log(F.col(f"{v}_number")) + F.lit(0.0 if u == "USD" else 6.907755278982137))
-            wrong = wrong + F.when(stated & F.lit(u != "USD"), 1e9).otherwise(F.when(~stated & F.lit(u != "USD"), 1e-9).otherwise(0.0))
-        cost = wrong
+        # a combination that scales a variable without an open amount is the same as the one that doesn't; the small cost settles it
+        logs = {v: F.coalesce(F.col(f"{v}_known"), F.col(f"{v}_open") + math.log(FACTOR[u])) for v, u in zip(VARIABLES, pick, strict=True)}
+        cost = F.lit(1e-9 * sum(u != "USD" for u in pick))
         for parts in IDENTITIES:
             m, s = fitted[parts]
-            x = (_over(parts, logs) - F.lit(float(m))) / F.lit(float(s))
+            x = (_over(parts, logs) - float(m)) / float(s)
             cost = cost + F.coalesce(x * x, F.lit(0.0))
         combos.append(F.struct(cost.alias("cost"), *[F.lit(u).alias(v) for v, u in zip(VARIABLES, pick, strict=True)]))
     best = amounts.withColumn("__c", F.array_sort(F.array(*combos)))
