@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import neighbours
+from . import near_copies, neighbours
 
-MODULES = [neighbours]
+MODULES = [near_copies, neighbours]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
