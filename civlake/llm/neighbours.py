@@ -73,9 +73,10 @@ def prepared(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 def fit_lists(vectors: DataFrame, id_col: str, vec_col: str) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Per dimension the centroids and the number of blocks of each list, from a sample of at most SAMPLE rows (smallest id hashes)."""
+    """Per dimension the centroids and the number of blocks of each list, from a sample of about SAMPLE rows (by id hash; never more than twice that)."""
     total = vectors.count()
-    sample = vectors.where(F.col(vec_col).isNotNull()).select(F.xxhash64(id_col).alias("h"), F.col(vec_col).cast("array<double>").alias("e")).orderBy("h").limit(SAMPLE).toArrow()
+    share = F.pmod(F.xxhash64(id_col), F.lit(1 << 40)) <= int((1 << 40) * min(1.0, SAMPLE / max(1, total)))
+    sample = vectors.where(F.col(vec_col).isNotNull() & share).select(F.col(vec_col).cast("array<double>").alias("e")).limit(2 * SAMPLE).toArrow()
     out = {}
     if not sample.num_rows:
         return out
