@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from .operators import drift, orphans, units, wide
+from .functions import normalize
+from .operators import drift, orphans, predicates, units, wide
 
-MODULES = [orphans, wide, units, drift]
+MODULES = [orphans, wide, units, drift, normalize, predicates]
 FLAGSHIP = "p1_found"
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
