@@ -74,11 +74,10 @@ def common_words(texts: DataFrame) -> np.ndarray:
                 yield flush()
         yield flush()
 
-    counts = texts.select("text").mapInArrow(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
-    often = counts.where(F.col("n") > COMMON_FROM)
+    counts = durable(texts.select("text").mapInArrow(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")))
     r = counts.agg(F.sum("n").alias("all")).first()["all"] or 0
     least = max(COMMON_FROM, r // COMMON_MOST)
-    return np.sort(often.where(F.col("n") > least).select("h").toPandas()["h"].to_numpy(dtype=np.int64))
+    return np.sort(counts.where(F.col("n") > least).select("h").toPandas()["h"].to_numpy(dtype=np.int64))
 
 
 def sketches(texts: DataFrame, common: np.ndarray) -> DataFrame:
@@ -120,30 +119,31 @@ def class_links(texts: DataFrame, least: float = 0.6) -> tuple[DataFrame, DataFr
     row, and (links: source_table, a, b, similarity) between representatives (smallest id) with similarity >= ``least``.
     """
     texts = texts.select("source_table", "id", "text").where("id IS NOT NULL AND text IS NOT NULL")
-    s = sketches(texts, common_words(texts))
-    reps = s.withColumn("rn", F.row_number().over(W.partitionBy("source_table", "key").orderBy("id"))).where("rn = 1").drop("rn")
-    cell = reps.select("source_table", "id", "n_words", "p1", "p2", F.explode("cells").alias("c"))
-    cell = cell.select("source_table", "id", "n_words", "p1", "p2", F.xxhash64("source_table", "c").alias("cell"))
-    a = cell.select("cell", "source_table", F.col("id").alias("a"), F.col("n_words").alias("na"), F.col("p1").alias("a1"), F.col("p2").alias("a2"))
-    b = cell.select("cell", F.col("id").alias("b"), F.col("n_words").alias("nb"), F.col("p1").alias("b1"), F.col("p2").alias("b2"), F.col("source_table").alias("sb"))
-    apart = F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
-    total = F.col("na") + F.col("nb")
-    near = (apart <= total * ((1 - least) / (1 + least)) + 1e-9) & (F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9)
-    cand = a.join(b, (a["cell"] == b["cell"]) & (F.col("a") < F.col("b")) & near).where("source_table = sb").select("source_table", "a", "b").distinct()
-    cand = durable(cand)
-    ids = cand.select("source_table", F.col("a").alias("id")).union(cand.select("source_table", "b")).distinct()
-    ids = durable(ids)
+    s = durable(sketches(texts, common_words(texts)))
+    k = F.concat("source_table", F.hex("key")).alias("k")
+    sizes = s.groupBy("source_table", "key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("rep")).where("n > 1")
+    members = durable(salted_join(s.select(k, "source_table", "id"), sizes.select(k, "rep"), "k", "id", "inner").select("source_table", "id", "rep"))
+    # one row stands for the copies of a class; a repeated id meets itself only, which x.id < y.id rules out
+    reps = _without(s.drop("key"), members.where("id <> rep").select("source_table", "id").distinct())
+    sid = F.xxhash64("source_table")
+    cell = reps.select(sid.alias("sid"), "id", "n_words", "p1", "p2", F.explode("cells").alias("c")).select(F.xxhash64("sid", "c").alias("cell"), "sid", "id", "n_words", "p1", "p2").repartition("cell")
+    one, two = cell.alias("x"), cell.alias("y")
+    apart = F.bit_count(F.col("x.p1").bitwiseXOR(F.col("y.p1"))) + F.bit_count(F.col("x.p2").bitwiseXOR(F.col("y.p2")))
+    near = (apart <= (F.col("x.n_words") + F.col("y.n_words")) * ((1 - least) / (1 + least)) + 1e-9) & (F.least("x.n_words", "y.n_words") >= F.greatest("x.n_words", "y.n_words") * least - 1e-9)
+    met = one.join(two, (F.col("x.cell") == F.col("y.cell")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.sid") == F.col("y.sid")) & near)
+    cand = durable(met.select(F.col("x.sid").alias("sid"), F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
+    ids = durable(cand.select("sid", F.explode(F.array("a", "b")).alias("id")).distinct())
     few = ids.count() <= BROADCAST_IDS
-    own = texts.join(F.broadcast(ids) if few else ids, ["source_table", "id"], "left_semi").select("source_table", "id", words_of(F.col("text")).alias("w"))
-    left, right = own.select("source_table", F.col("id").alias("a"), F.col("w").alias("wa")), own.select("source_table", F.col("id").alias("b"), F.col("w").alias("wb"))
+    own = texts.withColumn("sid", sid).join(F.broadcast(ids) if few else ids, ["sid", "id"], "left_semi").select("source_table", "sid", "id", words_of(F.col("text")).alias("w"))
+    left, right = own.select("source_table", "sid", F.col("id").alias("a"), F.col("w").alias("wa")), own.select("sid", F.col("id").alias("b"), F.col("w").alias("wb"))
     both = F.size(F.array_intersect("wa", "wb"))
-    pairs = cand.join(left, ["source_table", "a"]).join(right, ["source_table", "b"]).select("source_table", "a", "b", (both / (F.size("wa") + F.size("wb") - both)).alias("similarity"))
-    links = pairs.where(F.col("similarity") >= least - 1e-12)
-    slim = s.select("source_table", "id", "key")
-    sizes = slim.groupBy("source_table", "key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("rep")).where("n > 1")
-    k = F.concat("source_table", F.hex("key")).alias("k")
-    members = salted_join(slim.select(k, "source_table", "id"), sizes.select(k, "rep"), "k", "id", "inner").select("source_table", "id", "rep")
-    return durable(members), durable(links)
+    pairs = cand.join(left, ["sid", "a"]).join(right, ["sid", "b"]).select("source_table", "a", "b", (both / (F.size("wa") + F.size("wb") - both)).alias("similarity"))
+    return members, durable(pairs.where(F.col("similarity") >= least - 1e-12).distinct())
+
+
+def _without(s: DataFrame, gone: DataFrame) -> DataFrame:
+    gone = durable(gone)
+    return s.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, ["source_table", "id"], "left_anti")
 
 
 def similar_pairs(texts: DataFrame, least: float = 0.6) -> DataFrame:
