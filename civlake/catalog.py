@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from .functions import normalize
-from .operators import areas, drift, metadata, metrics, orphans, peers, predicates, search, units, wide
+from .operators import areas, drift, ingest, metadata, metrics, orphans, peers, predicates, search, spatial, units, wide
 
-MODULES = [orphans, wide, units, drift, normalize, predicates, metrics, areas, metadata, search, peers]
+MODULES = [orphans, wide, units, drift, normalize, predicates, metrics, areas, metadata, search, peers, ingest, spatial]
 FLAGSHIP = "d9_rate_by_group"
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
