@@ -42,7 +42,10 @@ def stream(text: str) -> bytes:
 
 def template(raw: bytes) -> bytes:
     """A stream with numbers (0) and units (1) as placeholders."""
-    return _SLOT.sub(lambda m: b"0" if m.group()[0] < 58 else b"1", raw)
+    out = _DIGITS.sub(b"0", raw)
+    for u in UNITS:
+        out = out.replace(u, b"1")
+    return out
 
 
 def template_map(raw: bytes) -> tuple[bytes, np.ndarray]:
@@ -76,7 +79,7 @@ class Items:
 
     def __init__(self, ids: list[int], texts: list[str], words: int = WORDS):
         self.words = words
-        self.ids, self.raw, self.starts, self.ends, self.need = [], [], [], [], []
+        self.ids, self.raw, self.at, self.starts, self.ends, self.need = [], [], [], [], [], []
         self.short: list[tuple[bytes, int]] = []
         hashes, owner, place = [], [], []
         for i, t in zip(ids, texts, strict=True):
@@ -98,6 +101,7 @@ class Items:
                     need.append(inside - 2)  # a unit or number may run on past either end of the passage
             self.ids.append(i)
             self.raw.append(raw)
+            self.at.append(at)
             self.starts.append(starts)
             self.ends.append(ends)
             self.need.append(min(need, default=1))
@@ -147,20 +151,19 @@ class Items:
             good = edge[count >= self.need[item[edge]]]
             if len(good):
                 doc = np.searchsorted(begins, pos[good], side="right") - 1
-                maps: dict[int, tuple[bytes, np.ndarray]] = {}
-                imaps: dict[int, tuple[bytes, np.ndarray]] = {}
+                by_doc = np.argsort(doc, kind="stable")
+                good, doc = good[by_doc], doc[by_doc]
+                mapped, t, place = -1, b"", np.empty(0, dtype=np.int64)
                 for g, r in zip(good.tolist(), doc.tolist(), strict=True):
                     k = int(item[g])
                     if (r, k) in found:
                         continue
-                    if r not in maps:
-                        maps = {r: template_map(raws[r])}
-                    t, place = maps[r]
-                    it = imaps.setdefault(k, template_map(self.raw[k])) if k in imaps else imaps.setdefault(k, template_map(self.raw[k]))
+                    if r != mapped:
+                        mapped, (t, place) = r, template_map(raws[r])
                     # the first letter after the window's start is free of slots and ties the two streams together
                     local, own = int(pos[g] - begins[r]), int(self.place[post[g]])
                     step = next((s for s in range(GRAM) if t[local + s] > 57), 0)
-                    if self.verified(k, raws[r], int(place[local + step]), int(it[1][own + step])):
+                    if self.verified(k, raws[r], int(place[local + step]), int(self.at[k][own + step])):
                         found.add((r, k))
         for passage, k in self.short:
             for r, raw in enumerate(raws):
