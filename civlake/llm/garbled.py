@@ -269,6 +269,12 @@ def suspects(docs: DataFrame) -> DataFrame:
     return src.mapInArrow(run, "doc_id bigint, pool int, words array<array<string>>")
 
 
+def spread(s: DataFrame) -> DataFrame:
+    """A small table of much work in as many partitions as there are cores."""
+    cores = s.sparkSession.sparkContext.defaultParallelism
+    return s.repartition(cores) if s.rdd.getNumPartitions() < cores else s
+
+
 def lost(words: list[str]) -> bool:
     """Replacement characters, or control characters that no encoding of text gives."""
     return any(c == "�" or "\x80" <= c < "\xa0" for w in words for c in w)
@@ -280,7 +286,7 @@ def garbled_records(docs: DataFrame) -> DataFrame:
     ``docs``: doc_id, source, text.  Null and empty texts are never affected; a repeated doc_id comes each time; other
     columns are ignored; an empty table gives no rows.
     """
-    s = durable(suspects(docs))
+    s = spread(durable(suspects(docs)))
     model = fit(s)
     shared = docs.sparkSession.sparkContext.broadcast((model.n3, model.shares))
 
@@ -325,7 +331,7 @@ def repaired_text(m: Model, pool: int, text: str) -> str:
 
 def repaired_records(docs: DataFrame) -> DataFrame:
     """doc_id and repaired text of every record that a repair changes."""
-    model = fit(durable(suspects(docs)))
+    model = fit(spread(durable(suspects(docs))))
     shared = docs.sparkSession.sparkContext.broadcast((model.n3, model.shares))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
