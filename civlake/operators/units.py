@@ -46,13 +46,16 @@ def _written(raw: Column) -> tuple[Column, Column]:
         .when(rest.rlike(r"thousand|\(\s*000s?\s*\)|\btusd\b|\btsd\b|^\$?\s*k$|\bk\b"), "USD_thousands")
         .when(rest.rlike(r"\$|usd|dollar"), "USD")
     )
-    # digits inside "(000s)" belong to the unit: the first number is the amount
-    return F.when(digits != "", number), F.when(digits != "", unit)
+    # most amounts are bare numbers and skip all of the above; digits inside "(000s)" belong to the unit, as the first number is the amount
+    plain = F.trim(raw)
+    bare = plain.rlike(r"^[0-9]+(\.[0-9]+)?$")
+    return F.when(bare, plain.try_cast("double")).when(digits != "", number), F.when(~bare & (digits != ""), unit)
 
 
 def note_unit(note: Column, variable: str) -> Column:
     """The unit that a file's note states for the variable, else null.  Statements are parted by `` / `` or ``;``."""
-    parts = F.split(F.lower(note), r"\s+/\s+|;")
+    low = F.lower(note)
+    parts = F.split(F.when(low.rlike(NAMES[variable]), low), r"\s+/\s+|;")
     own = F.filter(parts, lambda p: p.rlike(NAMES[variable]))
     text = F.regexp_replace(F.get(own, F.lit(0)), NAMES[variable], " ")
     whole = text.rlike(r"not\s+(?:in\s+)?(?:thousand|\$?1,?000)|whole\s+dollar|full\s+(?:\$|dollar)|in\s+(?:full\s+)?dollars|units?\s+of\s+1\s+(?:usd|dollar)")
