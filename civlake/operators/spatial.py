@@ -64,13 +64,27 @@ def segment_distance(px: float, py: float, line: np.ndarray) -> float:
     return float(np.sqrt(((near - (px, py)) ** 2).sum(axis=1)).min())
 
 
+def _upright(rings: np.ndarray) -> np.ndarray:
+    """Which rings of four points are boxes along the axes: each side changes one coordinate only, in turn."""
+    d = np.roll(rings, -1, axis=1) - rings == 0
+    return (d[:, :, 0] ^ d[:, :, 1]).all(axis=1) & (d[:, :-1, 0] != d[:, 1:, 0]).all(axis=1)
+
+
 @F.pandas_udf(T.DoubleType())
 def overlap_area(a: pd.Series, b: pd.Series) -> pd.Series:
     """Area that two convex rings (flat arrays x1, y1, x2, y2, ...) share."""
-    out = []
-    for p, q in zip(a, b, strict=True):
-        c = clip_convex(np.asarray(p, dtype=np.float64).reshape(-1, 2), np.asarray(q, dtype=np.float64).reshape(-1, 2))
-        out.append(abs(ring_area(c[:, 0], c[:, 1])) if len(c) > 2 else 0.0)
+    out = np.zeros(len(a))
+    box = np.zeros(len(a), dtype=bool)
+    quads = np.nonzero((a.str.len() == 8).to_numpy() & (b.str.len() == 8).to_numpy())[0]
+    if len(quads):  # upright boxes, all at once
+        p, q = (np.stack(s.iloc[quads].to_list()).astype(np.float64).reshape(-1, 4, 2) for s in (a, b))
+        lo, hi = np.maximum(p.min(axis=1), q.min(axis=1)), np.minimum(p.max(axis=1), q.max(axis=1))
+        upright = _upright(p) & _upright(q)
+        box[quads[upright]] = True
+        out[quads[upright]] = np.clip(hi - lo, 0, None).prod(axis=1)[upright]
+    for i in np.nonzero(~box)[0]:
+        c = clip_convex(np.asarray(a.iloc[i], dtype=np.float64).reshape(-1, 2), np.asarray(b.iloc[i], dtype=np.float64).reshape(-1, 2))
+        out[i] = abs(ring_area(c[:, 0], c[:, 1])) if len(c) > 2 else 0.0
     return pd.Series(out)
 
 

@@ -212,3 +212,9 @@ def test_resolution(spark):
     assert got == {("rome", 1): "2", ("rome", 2): "1", ("City of Rome", 1): "1"}
     plan = resolve.calls(spark, ["01"], [2019, 2020], {"a": ["x", "y"]})
     assert {r.role for r in plan.collect()} == {"primary.group_a=x", "primary.group_a=y", "prior_period.group_a=x", "prior_period.group_a=y"}
+
+
+def test_overlap_of_boxes_and_other_shapes(spark):
+    rows = [([0.0, 0, 4, 0, 4, 4, 0, 4], [2.0, 2, 6, 2, 6, 6, 2, 6]), ([0.0, 0, 1, 0, 1, 1, 0, 1], [5.0, 5, 6, 5, 6, 6, 5, 6]), ([0.0, 0, 4, 0, 4, 4, 0, 4], [2.0, 2, 6, 2, 2, 6]), ([2.0, 0, 4, 2, 2, 4, 0, 2], [0.0, 0, 4, 0, 4, 4, 0, 4])]
+    df = spark.createDataFrame([([float(x) for x in p], [float(x) for x in q]) for p, q in rows], "p array<double>, q array<double>")
+    assert [round(r[0], 9) for r in df.select(spatial.overlap_area("p", "q")).collect()] == [4.0, 0.0, 4.0, 8.0]
