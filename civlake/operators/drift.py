@@ -33,7 +33,7 @@ def said(label: Column) -> Column:
     t = F.regexp_replace(t, "&", " and ")
     for short, full in SHORT_FORMS.items():
         t = F.regexp_replace(t, rf"\b{short}\b", full)
-    return F.regexp_replace(t, r"[\W_]+", "")
+    return F.regexp_replace(t, r"[^\p{L}\p{N}]+", "")
 
 
 def type_class(t: Column) -> Column:
