@@ -32,16 +32,19 @@ def shared_folder(spark: SparkSession) -> str:
     return shared
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a table written to the shared folder; it survives lost executors and is computed once.
-
-    The tables of a session are removed when its driver ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/civlake-{uuid.uuid4().hex}"
+def scratch(spark: SparkSession, name: str = "table") -> str:
+    """A new path in the shared folder, removed when the session's driver ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/civlake-{name}-{uuid.uuid4().hex}"
     if not _WRITTEN:
         atexit.register(_remove_written, spark)
     _WRITTEN.append(path)
+    return path
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a table written to the shared folder; it survives lost executors and is computed once."""
+    spark = df.sparkSession
+    path = scratch(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import re
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..operators.metrics import variable_rows
 from ..operators.wide import normal_geo, row_value
-from ..runtime import shared_folder, table
+from ..runtime import scratch, table
 
 LAYOUTS = ("wide_hive", "variable_tree")
 _VALUE = re.compile(r"[A-Za-z0-9_.\-/]+")
@@ -93,22 +92,18 @@ def replace_partitions(df: DataFrame, root: str, by: list[str]) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(root)
 
 
-def _new_root(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/civlake-{name}-{uuid.uuid4().hex}"
-
-
 # queries: written to the shared folder and read back
 
 
 def variable_tree_scan(spark, d):
-    root = _new_root(spark, "tree")
+    root = scratch(spark, "tree")
     write_variable_tree(table(spark, d, "hmda_lar"), root, "record_id", ["action_taken", "loan_type", "loan_purpose", "state_code"], "lar", F.col("activity_year"), "census_tract")
     r = read_variable_tree(spark, root, ["action_taken", "state_code"], [2018, 2020, 2022], "lar")
     return r.groupBy("variable", "year", "value").agg(F.count(F.lit(1)).alias("n"), F.count("census_tract").alias("with_tract"))
 
 
 def wide_scan(spark, d):
-    root = _new_root(spark, "wide")
+    root = scratch(spark, "wide")
     s = table(spark, d, "stat_values").select("table_id", F.col("year").cast("string").alias("year"), "geo_level", normal_geo(F.col("geo_level"), F.col("geo_id")).alias("geo_id"), "variable_id", row_value(F.col("estimate"), F.col("annotation")).alias("value"), "moe")
     write_wide(s, root)
     hot, year = s.groupBy("table_id").agg(F.count(F.lit(1)).alias("n"), F.max("year").alias("y")).orderBy(F.desc("n"), "table_id").select("table_id", "y").first()
@@ -118,7 +113,7 @@ def wide_scan(spark, d):
 
 def delimited_round_trip(spark, d):
     """Written with a pipe between fields and read back: nulls and blanks come back as empty text, leading zeros stay."""
-    root = _new_root(spark, "csv")
+    root = scratch(spark, "csv")
     table(spark, d, "place_tract_map").select("map_id", "place_id", "tract_geoid", "county_geoid").write.option("header", True).option("sep", "|").csv(root)
     r = read_delimited(spark, root, "|")
     return r.groupBy("county_geoid").agg(F.count(F.lit(1)).alias("n"), F.sum((F.trim("tract_geoid") == "").cast("bigint")).alias("blank"))
@@ -126,7 +121,7 @@ def delimited_round_trip(spark, d):
 
 def level_csv_sink(spark, d):
     """Long rows to a folder of delimited text per level, ``us`` under the name ``national``."""
-    root = _new_root(spark, "levels")
+    root = scratch(spark, "levels")
     c = table(spark, d, "coverage").withColumn("geo_level", F.when(F.col("geo_level") == "us", "national").otherwise(F.col("geo_level")))
     c.select("geo_level", "coverage_id", "table_id", "status").write.partitionBy("geo_level").option("header", True).csv(root)
     return spark.read.option("header", True).option("inferSchema", False).csv(root).groupBy("geo_level", "status").agg(F.count(F.lit(1)).alias("n"))
@@ -134,7 +129,7 @@ def level_csv_sink(spark, d):
 
 def json_shards(spark, d):
     """JSON lines in shards by dataset and year, appended in two runs and read back."""
-    root = _new_root(spark, "jsonl")
+    root = scratch(spark, "jsonl")
     c = table(spark, d, "coverage").select("dataset", "year", "coverage_id", "geo_level", "row_count")
     for part in ("year <= 2017", "year > 2017"):
         c.where(part).write.mode("append").partitionBy("dataset", "year").json(root)
@@ -152,7 +147,7 @@ def json_header_rows(spark, d):
 
 def partition_reload(spark, d):
     """One dataset is loaded again; the partitions of the others stay as they were."""
-    root = _new_root(spark, "reload")
+    root = scratch(spark, "reload")
     c = table(spark, d, "coverage").select("dataset", "coverage_id", "status")
     replace_partitions(c, root, ["dataset"])
     replace_partitions(c.where("dataset = 'hmda' AND status = 'success'"), root, ["dataset"])
