@@ -252,7 +252,7 @@ def nearest(vectors: DataFrame, id_col: str, vec_col: str, k: int = 5, least: fl
 
 
 def p5_found(spark, d: str) -> DataFrame:
-    e = nearest(table(spark, d, "universe_embeddings"), "vec_id", "embedding", 5, least=0.85)
+    e = nearest(table(spark, d, "universe_embeddings"), "vec_id", "embedding", 5, least=0.85, nprobe=6)
     return e.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
 
 
