@@ -6,9 +6,11 @@ which the texts differ, which a similarity of J bounds by (1-J)/(1+J) x (sum of
 
 Two embeddings serve the range join.  The fine one has a segment per hash value of the words that are not common; two
 texts can be in range without sharing a cell of it only if all their uncommon words count towards the distance.  Its
-occupied cells are the grid that is joined on.  The coarse one, over all words, has SEGMENTS counts of up to CAP,
-kept in unary as bit planes, so that its Manhattan distance is a population count inside the join condition.  What
-lies within range is verified on the words themselves.
+occupied cells are the grid that is joined on.  For the texts that share common words only, what then is left of the
+distance bounds the difference of their common words: cut into more segments than that, one segment at least is equal
+in both, so that the segments are the cells (see ``segment_cells``).  The coarse embedding, over all words, has
+SEGMENTS counts of up to CAP, kept in unary as bit planes, so that its Manhattan distance is a population count inside
+the join condition.  What lies within range is verified on the words themselves.
 """
 
 from __future__ import annotations
@@ -16,7 +18,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,8 @@ CAP = 2
 #: so there are at most COMMON_MOST common words, however large the input.
 COMMON_FROM = 64
 COMMON_MOST = 65_536
-#: Texts with fewer uncommon words than this also get cells of three words together, out of the LEADING with the smallest hashes.
-FEW, LEADING = 4, 8
+#: Numbers of segments that the common words of a text are cut into.
+LEVELS = np.array(sorted({1, 2, 3, 10, *(k << e for e in range(1, 22) for k in (2, 3))}))
 #: Candidate ids up to this number are broadcast to fetch their texts; more are joined by shuffle.
 BROADCAST_IDS = 200_000
 
@@ -56,7 +57,7 @@ def _hash(word: str, seen: dict[str, int]) -> int:
 
 
 def common_words(texts: DataFrame) -> np.ndarray:
-    """Sorted hashes of the common words; at most COMMON_MOST."""
+    """Hashes of the common words, the rarest first; at most COMMON_MOST."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter = Counter()
@@ -77,18 +78,20 @@ def common_words(texts: DataFrame) -> np.ndarray:
     counts = durable(texts.select("text").mapInArrow(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")))
     r = counts.agg(F.sum("n").alias("all")).first()["all"] or 0
     least = max(COMMON_FROM, r // COMMON_MOST)
-    return np.sort(counts.where(F.col("n") > least).select("h").toPandas()["h"].to_numpy(dtype=np.int64))
+    often = counts.where(F.col("n") > least).select("n", "h").toPandas()
+    return often.sort_values(["n", "h"])["h"].to_numpy(dtype=np.int64)
 
 
 def sketches(texts: DataFrame, common: np.ndarray) -> DataFrame:
-    """source_table, id, key (equal for equal word sets), n_words, planes p1 and p2, cells; texts without a word drop out."""
+    """source_table, id, key (equal for equal word sets), n_words, planes p1 and p2, cells (uncommon words), often (ranks of
+    the common words); texts without a word drop out."""
     shared = texts.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = set(shared.value.tolist())
+        rank = {h: k for k, h in enumerate(shared.value.tolist())}
         seen: dict[str, int] = {}
         for b in batches:
-            out: list[list] = [[] for _ in range(7)]
+            out: list[list] = [[] for _ in range(8)]
             for src, i, t in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 words = set(_WORD.findall(t.lower()))
                 if not words:
@@ -99,17 +102,78 @@ def sketches(texts: DataFrame, common: np.ndarray) -> DataFrame:
                     bit = 1 << (h & 63)
                     p2 |= p1 & bit
                     p1 |= bit
-                cells = [h for h in hs if h not in often]
-                if len(cells) < FEW:
-                    lead = cells + [h for h in hs if h in often][: LEADING - len(cells)]
-                    cells = cells + [xxhash.xxh3_64_intdigest(repr(c).encode()) - (1 << 63) for c in combinations(lead, min(3, len(lead)))]
-                row = (src, i, xxhash.xxh3_128_digest(np.array(hs, dtype=np.int64).tobytes()), len(words), p1 - (1 << 64) if p1 >> 63 else p1, p2 - (1 << 64) if p2 >> 63 else p2, cells)
+                row = (src, i, xxhash.xxh3_128_digest(np.array(hs, dtype=np.int64).tobytes()), len(words), p1 - (1 << 64) if p1 >> 63 else p1, p2 - (1 << 64) if p2 >> 63 else p2, [h for h in hs if h not in rank], sorted(rank[h] for h in hs if h in rank))
                 for col, x in zip(out, row, strict=True):
                     col.append(x)
-            types = [pa.string(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["source_table", "id", "key", "n_words", "p1", "p2", "cells"])
+            types = [pa.string(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["source_table", "id", "key", "n_words", "p1", "p2", "cells", "often"])
 
-    return texts.mapInArrow(run, "source_table string, id bigint, key binary, n_words int, p1 bigint, p2 bigint, cells array<bigint>")
+    return texts.mapInArrow(run, "source_table string, id bigint, key binary, n_words int, p1 bigint, p2 bigint, cells array<bigint>, often array<int>")
+
+
+def slack(least: float) -> Column:
+    """What a text adds to the bound of the difference in common words: two texts of similarity ``least`` or more that
+    share common words only differ in at most the sum of their slacks of them."""
+    return F.size("often") - F.col("n_words") * (2 * least / (1 + least)) + 1e-9
+
+
+def segment_cells(s: DataFrame, least: float) -> DataFrame:
+    """s with slack, and cells of common words as ``theirs`` and ``lower``.
+
+    A pair that shares no uncommon word differs in at most r = floor(slack + slack) common words, so that of any r + 1
+    segments of the common words one is equal in both.  A text's own level is the first of LEVELS over twice its slack,
+    which is over r for all partners of no more slack: ``theirs`` are all segments of that level.  ``lower`` are the
+    segments for partners of higher levels, of each as many as r + 1 can be.  Segments take the common words in turn
+    from the rarest to the most frequent.
+    """
+    s = s.withColumn("slack", F.when(F.size("often") > 0, slack(least)).otherwise(-1e9))
+    levels = F.array(*[F.lit(int(m)) for m in LEVELS])
+    own = F.when(F.col("slack") >= 0, F.array_min(F.filter(levels, lambda m: m > F.floor(F.col("slack") * 2)))).otherwise(0)
+    s = durable(s.withColumn("level", own.cast("int")))
+    there: dict[str, list[int]] = {}
+    for r in s.where("level > 0").select("source_table", "level").distinct().collect():
+        there.setdefault(r["source_table"], []).append(r["level"])
+    size_by = 1 - 2 * least / (1 + least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mixed = lambda x: (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        for b in batches:
+            names = b.schema.names
+            source = np.array(b.column(names.index("source_table")).to_pylist(), dtype=object)
+            n, room, level = (b.column(names.index(c)).to_numpy(zero_copy_only=False) for c in ("n_words", "slack", "level"))
+            often = b.column(names.index("often"))
+            length = often.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            ranks = often.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(len(n)), length)
+            word = mixed(mixed(ranks.astype(np.uint64) + np.uint64(0x165667B19E3779F9)))
+            parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            for m in sorted({x for v in there.values() for x in v}):
+                before = int(LEVELS[LEVELS < m].max(initial=0))
+                has = np.isin(source, [k for k, v in there.items() if m in v])
+                count = np.where(level == m, m, np.clip(np.floor(room + m / 2) + 1, 0, m)).astype(np.int64)
+                count[~has | (level > m) | ((level < m) & (before / 2 > size_by * n / least + 1e-6))] = 0
+                use = np.nonzero(count)[0]
+                if not len(use):
+                    continue
+                at = np.full(len(n), -1)
+                at[use] = np.arange(len(use))
+                mine = at[row] >= 0
+                sums = np.zeros(len(use) * m, dtype=np.uint64)
+                np.add.at(sums, at[row[mine]] * m + ranks[mine] % m, word[mine])
+                k = np.tile(np.arange(m), len(use))
+                keep = k < np.repeat(count[use], m)
+                cell = mixed(sums[keep] ^ mixed(k[keep].astype(np.uint64) + np.uint64(m << 32)))
+                of = np.repeat(use, m)[keep]
+                parts.append((of, cell.view(np.int64), level[of] == m))
+            of, cell, is_own = (np.concatenate([p[x] for p in parts]) if parts else np.empty(0, dtype=t) for x, t in enumerate((np.int64, np.int64, bool)))
+            order = np.argsort(of, kind="stable")
+            of, cell, is_own = of[order], cell[order], is_own[order]
+            ends = lambda who: np.concatenate([[0], np.cumsum(np.bincount(who, minlength=len(n)))]).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(ends(of[w])), pa.array(cell[w])) for w in (is_own, ~is_own)]
+            out = [b.column(names.index(c)) for c in ("source_table", "id", "n_words", "p1", "p2", "cells")]
+            yield pa.RecordBatch.from_arrays([*out, *lists], names=["source_table", "id", "n_words", "p1", "p2", "cells", "theirs", "lower"])
+
+    return s.select("source_table", "id", "n_words", "p1", "p2", "cells", "often", "slack", "level").mapInArrow(run, "source_table string, id bigint, n_words int, p1 bigint, p2 bigint, cells array<bigint>, theirs array<bigint>, lower array<bigint>")
 
 
 def class_links(texts: DataFrame, least: float = 0.6) -> tuple[DataFrame, DataFrame]:
@@ -126,12 +190,15 @@ def class_links(texts: DataFrame, least: float = 0.6) -> tuple[DataFrame, DataFr
     # one row stands for the copies of a class; a repeated id meets itself only, which x.id < y.id rules out
     reps = _without(s.drop("key"), members.where("id <> rep").select("source_table", "id").distinct())
     sid = F.xxhash64("source_table")
-    cell = reps.select(sid.alias("sid"), "id", "n_words", "p1", "p2", F.explode("cells").alias("c")).select(F.xxhash64("sid", "c").alias("cell"), "sid", "id", "n_words", "p1", "p2").repartition("cell")
-    one, two = cell.alias("x"), cell.alias("y")
+    each = F.explode(F.concat(F.transform(F.concat("cells", "theirs"), lambda c: F.struct(c.alias("c"), F.lit(True).alias("own"))), F.transform("lower", lambda c: F.struct(c.alias("c"), F.lit(False).alias("own")))))
+    cell = segment_cells(reps, least).select(sid.alias("sid"), "id", "n_words", "p1", "p2", each.alias("e"))
+    cell = cell.select(F.xxhash64("sid", "e.c").alias("cell"), "e.own", "sid", "id", "n_words", "p1", "p2").repartition("cell")
+    one, two = cell.where("own").alias("x"), cell.alias("y")
     apart = F.bit_count(F.col("x.p1").bitwiseXOR(F.col("y.p1"))) + F.bit_count(F.col("x.p2").bitwiseXOR(F.col("y.p2")))
     near = (apart <= (F.col("x.n_words") + F.col("y.n_words")) * ((1 - least) / (1 + least)) + 1e-9) & (F.least("x.n_words", "y.n_words") >= F.greatest("x.n_words", "y.n_words") * least - 1e-9)
-    met = one.join(two, (F.col("x.cell") == F.col("y.cell")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.sid") == F.col("y.sid")) & near)
-    cand = durable(met.select(F.col("x.sid").alias("sid"), F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
+    once = (F.col("x.id") < F.col("y.id")) | (~F.col("y.own") & (F.col("x.id") > F.col("y.id")))
+    met = one.join(two, (F.col("x.cell") == F.col("y.cell")) & once & (F.col("x.sid") == F.col("y.sid")) & near)
+    cand = durable(met.select(F.col("x.sid").alias("sid"), F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
     ids = durable(cand.select("sid", F.explode(F.array("a", "b")).alias("id")).distinct())
     few = ids.count() <= BROADCAST_IDS
     own = texts.withColumn("sid", sid).join(F.broadcast(ids) if few else ids, ["sid", "id"], "left_semi").select("source_table", "sid", "id", words_of(F.col("text")).alias("w"))
@@ -150,7 +217,7 @@ def similar_pairs(texts: DataFrame, least: float = 0.6) -> DataFrame:
     """Every pair of rows of one table (id_a < id_b) whose word sets have a similarity of at least ``least``.
 
     Rows without a word (null, blank or wordless texts) are in no pair; rows with one word set form pairs among
-    themselves; an empty table gives none.  Complete for pairs that share an uncommon word (see ``class_links``).
+    themselves; an empty table gives none.  Complete, whatever words a pair shares (see ``segment_cells``).
     """
     members, links = class_links(texts, least)
     m = members.select("source_table", F.col("rep").alias("r"), F.col("id").alias("m"))

@@ -72,3 +72,23 @@ def test_components_of_a_long_path(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "a bigint, b bigint")
     got = {r.node: r.component for r in components(e).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+
+
+def test_hot_template_with_words_of_their_own(spark):
+    template = [f"t{k}" for k in range(25)]
+    rows = [("a", i, " ".join(template + [f"own{i}x{k}" for k in range(5)])) for i in range(90)]
+    rows += [("a", 200 + i, " ".join(template[i % 4 :] + [f"few{i}"])) for i in range(8)] + [("b", 1, " ".join(template))]
+    assert {tuple(r) for r in n.similar_pairs(frame(spark, rows)).collect()} == brute(rows) and len(brute(rows)) > 4_005
+
+
+def test_common_words_only_in_many_mixtures(spark, monkeypatch):
+    monkeypatch.setattr(n, "COMMON_FROM", 4)
+    rng = random.Random(8)
+    vocab = [f"v{k}" for k in range(60)]
+    rows = []
+    for g in range(12):
+        base = rng.sample(vocab, rng.choice([2, 3, 5, 9, 20, 40]))
+        for k in range(12):
+            text = [w for w in base if rng.random() > 0.1] + rng.sample(vocab, rng.randint(0, len(base) // 4)) + [f"o{g}x{k}x{j}" for j in range(rng.randint(0, 1 + len(base) // 5))]
+            rows.append(("a", 100 * g + k, " ".join(text)))
+    assert {tuple(r) for r in n.similar_pairs(frame(spark, rows)).collect()} == brute(rows)
