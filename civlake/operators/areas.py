@@ -87,9 +87,10 @@ def in_direction(df: DataFrame, lat: str, lon: str, at: tuple[float, float], dir
 # queries
 
 
-def _first_member(spark, d):
+def _values(spark, d):
+    """The last value of every cell of stat_values."""
     c = cells(table(spark, d, "stat_values"))
-    return c.where(F.col("variable_id").rlike("_0*1[A-Z]*$")).select("table_id", "variable_id", "year", "geo_id", F.col("last_value").alias("value"))
+    return c.select("table_id", "variable_id", "year", "geo_id", F.col("last_value").alias("value"))
 
 
 def geo_rollup(spark, d):
@@ -101,18 +102,18 @@ def geo_rollup(spark, d):
 
 def comparator_chain(spark, d):
     """The ancestors of every area that has a value, each once, nearest first."""
-    v = _first_member(spark, d).select("geo_id").distinct()
+    v = _values(spark, d).select("geo_id").distinct()
     chain = F.array_compact(F.array(F.when(F.length("geo_id") == 11, F.substring("geo_id", 1, 5)), F.when(F.length("geo_id") > 2, F.substring("geo_id", 1, 2)), F.lit("us")))
     return v.select("geo_id", F.posexplode(chain).alias("place", "comparator"))
 
 
 def magnitude_framing(spark, d):
-    f = framed(_first_member(spark, d))
+    f = framed(_values(spark, d))
     return f.select("table_id", "year", "geo_id", "variable_id", F.round("vs_county", 6).alias("vs_county"), F.round("vs_state", 6).alias("vs_state"), when_chain(F.col("vs_state"), FRAMES, "far above").alias("frame"), "prior_year", F.round("change_pct", 6).alias("change_pct"), "trend")
 
 
 def anomaly_flags(spark, d):
-    return flags(framed(_first_member(spark, d)))
+    return flags(framed(_values(spark, d)))
 
 
 def trend_last5(spark, d):
@@ -122,7 +123,7 @@ def trend_last5(spark, d):
 
 
 def trend_prior_period(spark, d):
-    v = _first_member(spark, d)
+    v = _values(spark, d)
     w = W.partitionBy("table_id", "variable_id", "geo_id").orderBy("year")
     return v.withColumn("prior_year", F.lag("year").over(w)).withColumn("prior_value", F.lag("value").over(w)).where("prior_year IS NOT NULL AND year - prior_year <= 3").select("table_id", "variable_id", "geo_id", "year", "prior_year", "prior_value", "value")
 
@@ -191,7 +192,7 @@ def overlap_typing(spark, d):
 
 def value_ranks(spark, d):
     """Rank of each county within its state and year by value, highest first."""
-    v = _first_member(spark, d).where("length(geo_id) = 5")
+    v = _values(spark, d).where("length(geo_id) = 5")
     w = W.partitionBy("table_id", "variable_id", "year", F.substring("geo_id", 1, 2)).orderBy(F.desc("value"), "geo_id")
     return v.select("table_id", "variable_id", "year", "geo_id", F.row_number().over(w).alias("rank"), F.round(F.col("value") - F.lead("value").over(w), 4).alias("margin"))
 
