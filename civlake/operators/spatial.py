@@ -145,7 +145,7 @@ def within_distance(spark, d):
     """Tract middles within 1.5 of a road, here the diagonal of each place."""
     road = F.array("ax0", "ay0", "ax1", "ay1")
     t = _tracts(spark, d).select("b", (F.col("bx0") + 1).alias("bx0"), (F.col("by0") + 1).alias("by0")).withColumns({"bx1": F.col("bx0"), "by1": F.col("by0")})
-    j = grid_join(_places(spark, d).where("a % 3 = 0"), t, 4.0, grow=1.5).withColumn("dist", F.round(line_distance("bx0", "by0", road), 6))
+    j = grid_join(_places(spark, d), t, 4.0, grow=1.5).withColumn("dist", F.round(line_distance("bx0", "by0", road), 6))
     return j.where("dist <= 1.5").select("a", "b", "dist")
 
 
