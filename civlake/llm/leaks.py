@@ -4,7 +4,7 @@ Texts are canonicalised into templates: numbers and units become typed placehold
 are kept, as breaks, spaces and punctuation can fall anywhere.  Windows of the items' templates are hashed and joined
 with the windows of the documents' templates; windows on one diagonal (same document, item and offset) are counted,
 and where there are as many as a leaked passage must leave, the slots are compared: a passage whose slots are the
-item's own is a leak, verified letter by letter.  A second template, over words, also types names; it finds questions
+item's own is a leak, verified letter by letter in every alignment that a window of the diagonal gives.  A second template, over words, also types names; it finds questions
 that were re-parameterised, whose slots were all exchanged consistently.
 
 The items are a bounded table; they are held in blocks of at most ITEM_BLOCK, each joined with all documents.
@@ -117,6 +117,8 @@ class Items:
         self.mask = np.zeros(1 << 22, dtype=bool)
         self.mask[(self.h >> np.uint64(42)).astype(np.int64)] = True
         self.need = np.array(self.need, dtype=np.int64)
+        self.at_all = np.concatenate(self.at) if self.at else np.empty(0, dtype=np.int64)
+        self.at_from = np.cumsum([0, *(len(x) for x in self.at)])
 
     def verified(self, k: int, raw: bytes, place_doc: int, place_item: int) -> bool:
         """Does the document's stream, laid on the item's with these two places on each other, agree over enough whole words?"""
@@ -148,23 +150,30 @@ class Items:
             item, diagonal, pos, post = item[order], diagonal[order], pos[order], post[order]
             edge = np.nonzero(np.concatenate([[True], (item[1:] != item[:-1]) | (diagonal[1:] != diagonal[:-1])]))[0]
             count = np.diff(np.concatenate([edge, [len(item)]]))
-            good = edge[count >= self.need[item[edge]]]
-            if len(good):
-                doc = np.searchsorted(begins, pos[good], side="right") - 1
+            # every window of a diagonal with enough of them: numbers of another length shift what lies behind them
+            use = np.nonzero(np.repeat(count >= self.need[item[edge]], count))[0]
+            if len(use):
+                doc = np.searchsorted(begins, pos[use], side="right") - 1
                 by_doc = np.argsort(doc, kind="stable")
-                good, doc = good[by_doc], doc[by_doc]
-                mapped, t, place = -1, b"", np.empty(0, dtype=np.int64)
-                for g, r in zip(good.tolist(), doc.tolist(), strict=True):
-                    k = int(item[g])
-                    if (r, k) in found:
-                        continue
-                    if r != mapped:
-                        mapped, (t, place) = r, template_map(raws[r])
+                use, doc = use[by_doc], doc[by_doc]
+                cuts = np.nonzero(np.diff(doc, prepend=-1))[0]
+                for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(doc)], strict=True):
+                    r, w = int(doc[lo]), use[lo:hi]
+                    t, place = template_map(raws[r])
                     # the first letter after the window's start is free of slots and ties the two streams together
-                    local, own = int(pos[g] - begins[r]), int(self.place[post[g]])
-                    step = next((s for s in range(GRAM) if t[local + s] > 57), 0)
-                    if self.verified(k, raws[r], int(place[local + step]), int(self.at[k][own + step])):
-                        found.add((r, k))
+                    local, step = pos[w] - begins[r], np.zeros(len(w), dtype=np.int64)
+                    letters = np.nonzero(np.frombuffer(t, dtype=np.uint8) > 57)[0]
+                    if len(letters):
+                        ahead = letters[np.minimum(np.searchsorted(letters, local), len(letters) - 1)] - local
+                        step = np.where((ahead >= 0) & (ahead < GRAM), ahead, 0)
+                    own = self.place[post[w]] + step
+                    on_doc, who = place[local + step], item[w]
+                    on_item = self.at_all[self.at_from[who] + own]
+                    _, one = np.unique(np.stack([who, on_doc - on_item]), axis=1, return_index=True)
+                    for g in one.tolist():
+                        k = int(who[g])
+                        if (r, k) not in found and self.verified(k, raws[r], int(on_doc[g]), int(on_item[g])):
+                            found.add((r, k))
         for passage, k in self.short:
             for r, raw in enumerate(raws):
                 if (r, k) not in found and passage in raw:

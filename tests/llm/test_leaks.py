@@ -54,6 +54,22 @@ def test_item_blocks(spark, monkeypatch):
     assert run(spark, docs, items) == {(i, i) for i in range(7)}
 
 
+def test_number_changed_in_length_before_the_passage(spark):
+    item = "among the households that were asked in spring about 5 of the rooms they rented out we counted every single window facing north and wrote down whether neighbours could see it from there"
+    other = "before this stands a document of its own with nothing in it that would be found"
+    docs = [(1, item.replace(" 5 ", " 12 ")), (2, other), (3, item.replace(" 5 ", " 1234 ") + " tail"), (4, item.replace(" 5 ", " 12 ").replace("window", "door").replace("neighbours", "people").replace("asked", "told"))]
+    assert run(spark, docs, [(7, item)]) == brute(docs, [(7, item)]) == {(1, 7), (3, 7)}
+
+
+def test_diagonal_shared_with_the_preceding_document(spark):
+    item = " ".join(f"{a}{b}word" for a in "abcdef" for b in "ghijkl")
+    whole = k.stream(item)
+    cut = k.stream(" ".join(item.split()[:9]))
+    raws = [whole[: len(cut)], whole[len(cut) + 1 :]]
+    index = k.Items([7], [item])
+    assert index.find(raws) == [(1, 0)] and index.find(raws[1:]) == [(0, 0)]
+
+
 def test_reparameterised(spark):
     item = "How many of the 12,500 people in Zorba Flats were counted in 2019 by the survey of 2019 and why"
     docs = [(1, item.replace("2019", "2021").replace("Zorba Flats", "Mirt")), (2, item), (3, item.replace("2019", "2021", 1)), (4, ""), (5, None)]
