@@ -58,7 +58,8 @@ def exact_nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """q, id, cosine, rank: the k most similar vectors for each of a stated set of queries (an id never finds itself).
 
     ``queries`` and ``vectors``: id, v (array).  Queries go out in blocks of QUERY_BLOCK; each batch of vectors keeps its
-    k best per query and their ties, so what is shuffled is some k rows a query and batch.  Null and all-zero vectors take no part.
+    k best per query and their ties, so what is shuffled is some k rows a query and batch.  Vectors
+    of each length are compared among themselves; null and all-zero vectors take no part.
     """
     out = None
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
@@ -66,32 +67,35 @@ def exact_nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
         rows = [(r["id"], r["v"]) for r in queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).collect() if r["v"] and any(r["v"])]
         if not rows and out is not None:
             continue
-        dim = len(rows[0][1]) if rows else 0
-        rows = [r for r in rows if len(r[1]) == dim]
-        shared = vectors.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.float64).reshape(len(rows), dim)))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, dim=dim) -> Iterator[pa.RecordBatch]:
-            qid, q = shared.value
-            q = q / np.sqrt((q * q).sum(axis=1, keepdims=True)) if len(q) else q
+        by_length = {}
+        for dim in sorted({len(v) for _, v in rows}):
+            own = [r for r in rows if len(r[1]) == dim]
+            by_length[dim] = (np.array([r[0] for r in own], dtype=np.int64), np.array([r[1] for r in own], dtype=np.float64))
+        shared = vectors.sparkSession.sparkContext.broadcast(by_length)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            unit = {dim: (qid, q / np.sqrt((q * q).sum(axis=1, keepdims=True))) for dim, (qid, q) in shared.value.items()}
             for batch in batches:
                 col = batch.column(1)
-                use = np.nonzero(col.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) == dim)[0]
-                if not len(use) or not len(q):
-                    continue
-                x = col.take(pa.array(use)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(use), dim)
-                norm = np.sqrt((x * x).sum(axis=1))
-                ok = norm > 0
-                ids, x = batch.column(0).to_numpy(zero_copy_only=False)[use][ok], x[ok] / norm[ok][:, None]
-                if not len(ids):
-                    continue
-                for lo in range(0, len(q), QUERIES_AT_ONCE):
-                    part_id = qid[lo : lo + QUERIES_AT_ONCE]
-                    s = q[lo : lo + QUERIES_AT_ONCE] @ x.T
-                    s[part_id[:, None] == ids[None]] = -2
-                    # whatever ties with the last of the k, as cosines are compared, stays
-                    last = np.partition(s, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(s), -2.0)
-                    at, top = np.nonzero((s >= last[:, None] - 2e-9) & (s > -2))
-                    yield pa.RecordBatch.from_arrays([pa.array(part_id[at]), pa.array(ids[top]), pa.array(s[at, top])], names=["q", "id", "cosine"])
+                lengths = col.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                for dim, (qid, q) in unit.items():
+                    use = np.nonzero(lengths == dim)[0]
+                    if not len(use):
+                        continue
+                    x = col.take(pa.array(use)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(use), dim)
+                    norm = np.sqrt((x * x).sum(axis=1))
+                    ok = norm > 0
+                    ids, x = batch.column(0).to_numpy(zero_copy_only=False)[use][ok], x[ok] / norm[ok][:, None]
+                    if not len(ids):
+                        continue
+                    for lo in range(0, len(q), QUERIES_AT_ONCE):
+                        part_id = qid[lo : lo + QUERIES_AT_ONCE]
+                        s = q[lo : lo + QUERIES_AT_ONCE] @ x.T
+                        s[part_id[:, None] == ids[None]] = -2
+                        # whatever ties with the last of the k, as cosines are compared, stays
+                        last = np.partition(s, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(s), -2.0)
+                        at, top = np.nonzero((s >= last[:, None] - 2e-9) & (s > -2))
+                        yield pa.RecordBatch.from_arrays([pa.array(part_id[at]), pa.array(ids[top]), pa.array(s[at, top])], names=["q", "id", "cosine"])
 
         part = vectors.select(F.col("id").cast("bigint"), F.col("v").cast("array<double>")).mapInArrow(run, "q bigint, id bigint, cosine double")
         out = part if out is None else out.unionByName(part)

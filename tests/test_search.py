@@ -22,3 +22,10 @@ def test_routed_queries(spark, tmp_path):
             brute[q, f"B{i % 3:05d}"] = brute.get((q, f"B{i % 3:05d}"), 0) + max(0, s[i])
     assert got.keys() == brute.keys() and all(abs(got[k] - brute[k]) < 1e-4 for k in brute)
     assert {r.q for r in search.routed_top(spark, d).collect()} == wanted == {r.q for r in search.universe_pick(spark, d).collect()}
+
+
+def test_nearest_among_mixed_lengths(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [1.0, 0.0, 0.0]), (4, [0.9, 0.0, 0.1]), (5, [0.0, 1.0]), (6, [0.0, 0.0, 0.0]), (7, None)]
+    v = spark.createDataFrame(rows, "id bigint, v array<double>")
+    got = {(r.q, r.id) for r in search.exact_nearest(v, v, 1).collect()}
+    assert got == {(1, 2), (2, 1), (3, 4), (4, 3), (5, 2)}
