@@ -1,16 +1,20 @@
 """Near-duplicate records with small edits.
 
-A text is the set of its words.  Its fingerprint, the words hashed onto a line of bits, is cut into segments, and the
-segments' bit counts are its embedding: the Manhattan distance of two embeddings never exceeds the number of words in
-which the texts differ, which a similarity of J bounds by (1-J)/(1+J) x (sum of their sizes).
-
-Two embeddings serve the range join.  The fine one has a segment per hash value of the words that are not common; two
-texts can be in range without sharing a cell of it only if all their uncommon words count towards the distance.  Its
-occupied cells are the grid that is joined on.  For the texts that share common words only, what then is left of the
-distance bounds the difference of their common words: cut into more segments than that, one segment at least is equal
-in both, so that the segments are the cells (see ``segment_cells``).  The coarse embedding, over all words, has
-SEGMENTS counts of up to CAP, kept in unary as bit planes, so that its Manhattan distance is a population count inside
-the join condition.  What lies within range is verified on the words themselves.
+A text is the set of its words.  Its fingerprint, a line of bits with a place for each word, is cut into segments, and
+the segments' bit counts are its embedding: the Manhattan distance of two embeddings never exceeds the number of words
+in which the texts differ, which a similarity of J bounds by (1-J)/(1+J) x (sum of their sizes).
+
+The line has two zones: words of at most ``COMMON_FROM`` texts, hashed, and the common words, in order of frequency.
+Pairs in range meet on the grid of one zone or the other, whatever words they share:
+
+* A pair that shares an uncommon word meets in that occupied cell, which holds at most ``COMMON_FROM`` texts.
+* A pair that shares none has spent the counts of all its uncommon words; what is left of the range, r, bounds the
+  distance in the common zone.  That zone is cut into blocks of two segments; of more than r / 2 blocks one differs by 1
+  at most, so that one of its segments is equal in both (the grid cell) and the other within a range of 1 (the range
+  join inside the cell, see ``common_candidates``).
+
+A coarse embedding over both zones has SEGMENTS counts of up to CAP, kept in unary as bit planes, so that its Manhattan
+distance is a population count; it is tested for every pair that meets.  What lies within range is verified exactly.
 """
 
 from __future__ import annotations
@@ -31,12 +35,17 @@ from .components import components
 
 SEGMENTS = 64
 CAP = 2
-#: A word is common if it occurs in more texts than this, and than 1 / COMMON_MOST of all word occurrences;
-#: so there are at most COMMON_MOST common words, however large the input.
-COMMON_FROM = 64
-COMMON_MOST = 65_536
-#: Numbers of segments that the common words of a text are cut into.
-LEVELS = np.array(sorted({1, 2, 3, 10, *(k << e for e in range(1, 22) for k in (2, 3))}))
+#: A word is common if it occurs in more texts than this; the limit is doubled while there are over COMMON_MOST of them.
+COMMON_FROM = 128
+COMMON_MOST = 262_144
+#: Numbers of common segments to choose from (twice the blocks).
+LEVELS = np.array(sorted({2, 4, 6, 8, 10, 12, 14, *(k << e for e in range(2, 22) for k in (4, 5, 6, 7))}))
+#: Bits of the map that tells which cells the texts of a higher level occupy.
+MAP_BITS = 1 << 22
+#: Texts looked at to find cells that hold over a fiftieth of all texts; these are spread by what else must agree.
+HOT_SAMPLE = 20_000
+#: Rows and pairs handled at once in a task.
+BLOCK_ROWS, BLOCK_PAIRS = 1_000_000, 2_000_000
 #: Candidate ids up to this number are broadcast to fetch their texts; more are joined by shuffle.
 BROADCAST_IDS = 200_000
 
@@ -76,8 +85,9 @@ def common_words(texts: DataFrame) -> np.ndarray:
         yield flush()
 
     counts = durable(texts.select("text").mapInArrow(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")))
-    r = counts.agg(F.sum("n").alias("all")).first()["all"] or 0
-    least = max(COMMON_FROM, r // COMMON_MOST)
+    least = COMMON_FROM
+    while counts.where(F.col("n") > least).count() > COMMON_MOST:
+        least *= 2
     often = counts.where(F.col("n") > least).select("n", "h").toPandas()
     return often.sort_values(["n", "h"])["h"].to_numpy(dtype=np.int64)
 
@@ -112,68 +122,212 @@ def sketches(texts: DataFrame, common: np.ndarray) -> DataFrame:
 
 
 def slack(least: float) -> Column:
-    """What a text adds to the bound of the difference in common words: two texts of similarity ``least`` or more that
-    share common words only differ in at most the sum of their slacks of them."""
+    """What a text adds to the range in the common zone: two texts of similarity ``least`` or more that share no
+    uncommon word differ in at most the sum of their slacks of common words."""
     return F.size("often") - F.col("n_words") * (2 * least / (1 + least)) + 1e-9
 
 
-def segment_cells(s: DataFrame, least: float) -> DataFrame:
-    """s with slack, and cells of common words as ``theirs`` and ``lower``.
+def _levels(count: dict[int, int]) -> list[int]:
+    """Levels to use, of the least cost in cells, where ``count`` texts need each level or a higher one.
 
-    A pair that shares no uncommon word differs in at most r = floor(slack + slack) common words, so that of any r + 1
-    segments of the common words one is equal in both.  A text's own level is the first of LEVELS over twice its slack,
-    which is over r for all partners of no more slack: ``theirs`` are all segments of that level.  ``lower`` are the
-    segments for partners of higher levels, of each as many as r + 1 can be.  Segments take the common words in turn
-    from the rarest to the most frequent.
+    A text has as many cells at its own level, and about as many at each higher one if a twentieth of the texts are
+    there; a level over three times its need leaves too few words in its segments.
     """
-    s = s.withColumn("slack", F.when(F.size("often") > 0, slack(least)).otherwise(-1e9))
-    levels = F.array(*[F.lit(int(m)) for m in LEVELS])
-    own = F.when(F.col("slack") >= 0, F.array_min(F.filter(levels, lambda m: m > F.floor(F.col("slack") * 2)))).otherwise(0)
-    s = durable(s.withColumn("level", own.cast("int")))
-    there: dict[str, list[int]] = {}
-    for r in s.where("level > 0").select("source_table", "level").distinct().collect():
-        there.setdefault(r["source_table"], []).append(r["level"])
-    size_by = 1 - 2 * least / (1 + least)
+    need = sorted(count)
+    total = sum(count.values())
+    best: list[tuple[float, list[int]]] = [(0.0, [])]
+    for j, m in enumerate(need):
+        below = [0]
+        for k in need[: j + 1]:
+            below.append(below[-1] + count[k])
+        options = []
+        for i in range(j + 1):
+            own = sum(count[k] * max(1.0, m / (3 * k)) ** 2 for k in need[i : j + 1])
+            options.append((best[i][0] + m * (own + below[i] * min(1.0, 20 * (below[j + 1] - below[i]) / total)), [*best[i][1], m]))
+        best.append(min(options))
+    return best[-1][1]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixed = lambda x: (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
+def _word_values(ranks: np.ndarray) -> np.ndarray:
+    return _mixed(_mixed(ranks.astype(np.uint64) + np.uint64(0x165667B19E3779F9)))
+
+
+def _segments(b: pa.RecordBatch, m: int, lower: bool, top: int) -> tuple[np.ndarray, ...] | None:
+    """The cells of a batch's texts at level m, one for each segment of each block that is needed.
+
+    Returns the text, the cell, the sum of the word values of the block's other segment, that segment's number, and whether
+    the cell is of a block's first segment.  ``lower``: only texts of lower levels than m.  ``top``: the highest level below m.
+    """
+    names = b.schema.names
+    room, reach = (b.column(names.index(c)).to_numpy(zero_copy_only=False) for c in ("slack", "reach"))
+    blocks = np.maximum(0, (np.floor(room + np.minimum(m / 2, reach)).astype(np.int64) + 2) // 2)
+    is_lower = room * 2 < top
+    blocks[~is_lower | (reach * 2 < top) if lower else (is_lower | (room * 2 >= m))] = 0
+    use = np.nonzero(np.minimum(blocks, m // 2))[0]
+    if not len(use):
+        return None
+    segments = np.minimum(blocks, m // 2)[use] * 2
+    often = b.column(names.index("often")).take(pa.array(use))
+    ranks = often.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(use)), often.value_lengths().to_numpy(zero_copy_only=False))
+    keep = ranks % m < segments[row]
+    start = np.cumsum(segments) - segments
+    sums = np.zeros(int(segments.sum()), dtype=np.uint64)
+    np.add.at(sums, start[row[keep]] + ranks[keep] % m, _word_values(ranks[keep]))
+    who = np.repeat(np.arange(len(use)), segments)
+    k = np.arange(len(who)) - start[who]
+    sid = b.column(names.index("sid")).to_numpy(zero_copy_only=False).view(np.uint64)[use[who]]
+    cell = _mixed(_mixed(sums ^ sid) + (k + (m << 32)).astype(np.uint64))
+    return use[who], cell, sums[start[who] + (k ^ 1)], k ^ 1, k % 2 == 0
+
+
+def _expand(lo: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j) for every i and j in lo[i] .. lo[i] + n[i] - 1, at most about BLOCK_PAIRS at a time."""
+    at = 0
+    ends = np.cumsum(n)
+    while at < len(n):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK_PAIRS, side="right")))
+        for part in range(0, int(n[at]) if to == at + 1 else 1, BLOCK_PAIRS):
+            size = np.clip(n[at:to] - part, 0, BLOCK_PAIRS if to == at + 1 else None)
+            i = np.repeat(np.arange(at, to), size)
+            yield i, lo[i] + part + np.arange(len(i)) - np.repeat(np.cumsum(size) - size, size)
+        at = to
+
+
+def common_candidates(s: DataFrame, least: float) -> DataFrame:
+    """sid, a, b of the pairs that can be in range without sharing an uncommon word.
+
+    Two such texts differ in at most r = floor(slack + slack) common words.  A text's level m is the first in use over twice
+    its slack, hence over r for all partners of no higher level; of m / 2 blocks, one differs in a word at most.  A pair
+    meets at the level of the higher of the two, for which the lower sends the cells of as many blocks as r can need; a
+    bit map of the cells that texts of this level occupy spares it the others.  Within a cell, the sums of word
+    values of the block's other segment are compared with each other and with those that lack one of their words.
+    """
+    spark = s.sparkSession
+    reach = F.col("n_words") * ((1 - least) / (1 + least) / least) + 1e-6  # the most slack that a partner can have
+    s = s.select(F.xxhash64("source_table").alias("sid"), "id", "often", slack(least).cast("double").alias("slack"), reach.cast("double").alias("reach")).where(F.size("often") > 0)
+    need = F.array_min(F.filter(F.array(*[F.lit(int(m)) for m in LEVELS]), lambda m: m > F.col("slack") * 2))
+    levels = _levels({r["m"]: r["n"] for r in s.where("slack >= 0").groupBy(need.alias("m")).agg(F.count(F.lit(1)).alias("n")).collect()})
+    if not levels:
+        return spark.createDataFrame([], "sid bigint, a bigint, b bigint")
+    tops = dict(zip(levels, [-2 * max(levels), *levels], strict=False))
+    s = s.where(F.col("slack") > -max(levels) / 2)
+    maps = {m: np.zeros(MAP_BITS // 64, dtype=np.uint64) for m in levels[1:]}
+
+    def occupied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for m in levels[1:]:
+                if (got := _segments(b, m, False, tops[m])) is not None:
+                    p = np.unique(got[1] & np.uint64(MAP_BITS - 1)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), m, dtype=np.int32)), pa.array(p)], names=["m", "p"])
+
+    if maps:
+        one = F.expr("shiftleft(1L, cast(p & 63 AS INT))")
+        bits = s.where(F.col("slack") * 2 >= levels[0]).mapInArrow(occupied, "m int, p bigint").groupBy("m", F.shiftright("p", 6).alias("w")).agg(F.bit_or(one).alias("b")).toPandas()
+        for m, g in bits.groupby("m"):
+            maps[int(m)][g["w"].to_numpy(dtype=np.int64)] = g["b"].to_numpy(dtype=np.int64).view(np.uint64)
+
+    def cells_of(b: pa.RecordBatch, bits: dict[int, np.ndarray]) -> Iterator[tuple]:
+        for m in levels:
+            if (got := _segments(b, m, False, tops[m])) is not None:
+                yield m, True, got
+            if m in bits and (got := _segments(b, m, True, tops[m])) is not None:
+                p = got[1] & np.uint64(MAP_BITS - 1)
+                there = (bits[m][(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1
+                if there.any():
+                    yield m, False, tuple(x[there] for x in got)
+
+    total = s.count()
+    share = F.pmod(F.xxhash64("id", "sid"), F.lit(1 << 30)) <= int((1 << 30) * min(1.0, HOT_SAMPLE / max(1, total)))
+    sample = s.where(share).limit(2 * HOT_SAMPLE).toArrow()
+    seen = [got[1] for b in sample.to_batches() for _, _, got in cells_of(b, maps)]
+    cell, n = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64))
+    # in a small collection no cell is worth spreading
+    shared = spark.sparkContext.broadcast((maps, cell[n * 50 >= sample.num_rows] if total > HOT_SAMPLE else cell[:0]))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, hot = shared.value
         for b in batches:
             names = b.schema.names
-            source = np.array(b.column(names.index("source_table")).to_pylist(), dtype=object)
-            n, room, level = (b.column(names.index(c)).to_numpy(zero_copy_only=False) for c in ("n_words", "slack", "level"))
             often = b.column(names.index("often"))
-            length = often.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            length = often.value_lengths().to_numpy(zero_copy_only=False)
+            start = np.concatenate([[0], np.cumsum(length)])
             ranks = often.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            row = np.repeat(np.arange(len(n)), length)
-            word = mixed(mixed(ranks.astype(np.uint64) + np.uint64(0x165667B19E3779F9)))
-            parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            for m in sorted({x for v in there.values() for x in v}):
-                before = int(LEVELS[LEVELS < m].max(initial=0))
-                has = np.isin(source, [k for k, v in there.items() if m in v])
-                count = np.where(level == m, m, np.clip(np.floor(room + m / 2) + 1, 0, m)).astype(np.int64)
-                count[~has | (level > m) | ((level < m) & (before / 2 > size_by * n / least + 1e-6))] = 0
-                use = np.nonzero(count)[0]
-                if not len(use):
-                    continue
-                at = np.full(len(n), -1)
-                at[use] = np.arange(len(use))
-                mine = at[row] >= 0
-                sums = np.zeros(len(use) * m, dtype=np.uint64)
-                np.add.at(sums, at[row[mine]] * m + ranks[mine] % m, word[mine])
-                k = np.tile(np.arange(m), len(use))
-                keep = k < np.repeat(count[use], m)
-                cell = mixed(sums[keep] ^ mixed(k[keep].astype(np.uint64) + np.uint64(m << 32)))
-                of = np.repeat(use, m)[keep]
-                parts.append((of, cell.view(np.int64), level[of] == m))
-            of, cell, is_own = (np.concatenate([p[x] for p in parts]) if parts else np.empty(0, dtype=t) for x, t in enumerate((np.int64, np.int64, bool)))
-            order = np.argsort(of, kind="stable")
-            of, cell, is_own = of[order], cell[order], is_own[order]
-            ends = lambda who: np.concatenate([[0], np.cumsum(np.bincount(who, minlength=len(n)))]).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(ends(of[w])), pa.array(cell[w])) for w in (is_own, ~is_own)]
-            out = [b.column(names.index(c)) for c in ("source_table", "id", "n_words", "p1", "p2", "cells")]
-            yield pa.RecordBatch.from_arrays([*out, *lists], names=["source_table", "id", "n_words", "p1", "p2", "cells", "theirs", "lower"])
-
-    return s.select("source_table", "id", "n_words", "p1", "p2", "cells", "often", "slack", "level").mapInArrow(run, "source_table string, id bigint, n_words int, p1 bigint, p2 bigint, cells array<bigint>, theirs array<bigint>, lower array<bigint>")
+            value = _word_values(ranks)
+            parity = np.zeros(b.num_rows, dtype=np.uint64)
+            np.bitwise_xor.at(parity, np.repeat(np.arange(b.num_rows), length), np.uint64(1) << (value & np.uint64(63)))
+            for m, own, (who, cell, other, number, first) in cells_of(b, bits):
+                is_hot = np.isin(cell, hot)
+                # the words of the other segment, as a list for each row
+                size = length[who]
+                row = np.repeat(np.arange(len(who)), size)
+                word = np.repeat(start[who] - (np.cumsum(size) - size), size) + np.arange(len(row))
+                mine = ranks[word] % m == number[row]
+                row, word = row[mine], word[mine]
+                full = _mixed(cell + _mixed(other))
+                lists = np.bincount(row[~is_hot[row]], minlength=len(who))
+                out = [(np.arange(len(who)), full, np.zeros(len(who), dtype=bool), lists, ranks[word][~is_hot[row]])]
+                if is_hot.any():  # its rows without one word are sent as well, each to where it can meet its like
+                    h = is_hot[row]
+                    less = _mixed(cell[row[h]] + _mixed(other[row[h]] - value[word[h]]))
+                    out.append((row[h], less, np.ones(len(less), dtype=bool), np.zeros(len(less), dtype=np.int64), ranks[:0]))
+                for at, key, lacks, lists, words in out:
+                    t = who[at]
+                    place = np.where(is_hot[at], key, cell[at])
+                    cols = [pa.array((place >> np.uint64(33)).astype(np.int32)), pa.array(key.view(np.int64)), pa.array(lacks), pa.array(first[at]), pa.array(np.full(len(at), own)), b.column(names.index("sid")).take(pa.array(t)), b.column(names.index("id")).take(pa.array(t)), pa.array(b.column(names.index("slack")).to_numpy(zero_copy_only=False)[t].astype(np.float32)), pa.array(parity[t].view(np.int64)), pa.array(cell[at].view(np.int64)), pa.array(other[at].view(np.int64)), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lists)]).astype(np.int32)), pa.array(words.astype(np.int32)))]
+                    yield pa.RecordBatch.from_arrays(cols, names=_SENT)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        t = pa.Table.from_batches(held)
+        parts = -(-t.num_rows // BLOCK_ROWS)
+        place = t["place"].to_numpy()
+        for k in range(parts):
+            for a, b, sid in _met(t.filter(pa.array(place % parts == k)) if parts > 1 else t):
+                yield pa.RecordBatch.from_arrays([pa.array(sid), pa.array(a), pa.array(b)], names=["sid", "a", "b"])
+
+    sent = s.mapInArrow(send, "place int, key bigint, lacks boolean, first boolean, own boolean, sid bigint, id bigint, slack float, parity bigint, cell bigint, other bigint, words array<int>")
+    return sent.repartition("place").mapInArrow(meet, "sid bigint, a bigint, b bigint")
+
+
+_SENT = ["place", "key", "lacks", "first", "own", "sid", "id", "slack", "parity", "cell", "other", "words"]
+
+
+
+def _met(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of rows of a cell whose other segments are equal, or equal but for one word that one of them lacks."""
+    col = {n: t[n].combine_chunks() for n in _SENT}
+    lacks, first, own = (col[n].to_numpy(zero_copy_only=False) for n in ("lacks", "first", "own"))
+    key, parity, cell, other = (col[n].to_numpy(zero_copy_only=False).view(np.uint64) for n in ("key", "parity", "cell", "other"))
+    sid, ids, room = (col[n].to_numpy(zero_copy_only=False) for n in ("sid", "id", "slack"))
+    words = col["words"]
+    row = np.repeat(np.arange(len(ids)), words.value_lengths().to_numpy(zero_copy_only=False))
+    value = _word_values(words.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
+    whole = np.nonzero(~lacks)[0]
+    whole = whole[np.argsort(key[whole], kind="stable")]
+    there = key[whole]
+    sent = np.nonzero(lacks)[0]
+    less_row = np.concatenate([row, sent])
+    less = np.concatenate([_mixed(cell[row] + _mixed(other[row] - value)), key[sent]])
+    equal = np.nonzero(first[whole])[0]  # equal blocks meet in the cell of their first segment only
+    equal_at = np.searchsorted(there, there[equal], side="right")
+    tasks = [(whole[equal], equal + 1, equal_at - equal - 1), (less_row, lo := np.searchsorted(there, less), np.searchsorted(there, less, side="right") - lo)]
+    for left, lo, n in tasks:
+        keep = n > 0
+        left, lo, n = left[keep], lo[keep], n[keep]
+        for i, j in _expand(lo, n):
+            x, y = left[i], whole[j]
+            ok = (np.bitwise_count(parity[x] ^ parity[y]) <= room[x] + room[y] + 1e-3) & (own[x] | own[y]) & (ids[x] != ids[y]) & (sid[x] == sid[y])
+            x, y = x[ok], y[ok]
+            if len(x):
+                yield np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y]), sid[x]
 
 
 def class_links(texts: DataFrame, least: float = 0.6) -> tuple[DataFrame, DataFrame]:
@@ -189,16 +343,14 @@ def class_links(texts: DataFrame, least: float = 0.6) -> tuple[DataFrame, DataFr
     members = durable(salted_join(s.select(k, "source_table", "id"), sizes.select(k, "rep"), "k", "id", "inner").select("source_table", "id", "rep"))
     # one row stands for the copies of a class; a repeated id meets itself only, which x.id < y.id rules out
     reps = _without(s.drop("key"), members.where("id <> rep").select("source_table", "id").distinct())
+    reps = durable(reps)
     sid = F.xxhash64("source_table")
-    each = F.explode(F.concat(F.transform(F.concat("cells", "theirs"), lambda c: F.struct(c.alias("c"), F.lit(True).alias("own"))), F.transform("lower", lambda c: F.struct(c.alias("c"), F.lit(False).alias("own")))))
-    cell = segment_cells(reps, least).select(sid.alias("sid"), "id", "n_words", "p1", "p2", each.alias("e"))
-    cell = cell.select(F.xxhash64("sid", "e.c").alias("cell"), "e.own", "sid", "id", "n_words", "p1", "p2").repartition("cell")
-    one, two = cell.where("own").alias("x"), cell.alias("y")
+    cell = reps.select(sid.alias("sid"), "id", "n_words", "p1", "p2", F.explode("cells").alias("c")).select(F.xxhash64("sid", "c").alias("cell"), "sid", "id", "n_words", "p1", "p2").repartition("cell")
     apart = F.bit_count(F.col("x.p1").bitwiseXOR(F.col("y.p1"))) + F.bit_count(F.col("x.p2").bitwiseXOR(F.col("y.p2")))
     near = (apart <= (F.col("x.n_words") + F.col("y.n_words")) * ((1 - least) / (1 + least)) + 1e-9) & (F.least("x.n_words", "y.n_words") >= F.greatest("x.n_words", "y.n_words") * least - 1e-9)
-    once = (F.col("x.id") < F.col("y.id")) | (~F.col("y.own") & (F.col("x.id") > F.col("y.id")))
-    met = one.join(two, (F.col("x.cell") == F.col("y.cell")) & once & (F.col("x.sid") == F.col("y.sid")) & near)
-    cand = durable(met.select(F.col("x.sid").alias("sid"), F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
+    met = cell.alias("x").join(cell.alias("y"), (F.col("x.cell") == F.col("y.cell")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.sid") == F.col("y.sid")) & near)
+    cand = met.select(F.col("x.sid").alias("sid"), F.col("x.id").alias("a"), F.col("y.id").alias("b")).unionByName(common_candidates(reps, least))
+    cand = durable(cand.distinct())
     ids = durable(cand.select("sid", F.explode(F.array("a", "b")).alias("id")).distinct())
     few = ids.count() <= BROADCAST_IDS
     own = texts.withColumn("sid", sid).join(F.broadcast(ids) if few else ids, ["sid", "id"], "left_semi").select("source_table", "sid", "id", words_of(F.col("text")).alias("w"))
@@ -217,15 +369,15 @@ def similar_pairs(texts: DataFrame, least: float = 0.6) -> DataFrame:
     """Every pair of rows of one table (id_a < id_b) whose word sets have a similarity of at least ``least``.
 
     Rows without a word (null, blank or wordless texts) are in no pair; rows with one word set form pairs among
-    themselves; an empty table gives none.  Complete, whatever words a pair shares (see ``segment_cells``).
+    themselves; an empty table gives none.  Complete, whatever words a pair shares (see ``common_candidates``).
     """
     members, links = class_links(texts, least)
     m = members.select("source_table", F.col("rep").alias("r"), F.col("id").alias("m"))
     x = links.select("source_table", F.col("a").alias("r"), "b").join(m, ["source_table", "r"], "left").select("source_table", F.coalesce("m", "r").alias("x"), F.col("b").alias("r"))
     x = x.join(m, ["source_table", "r"], "left").select("source_table", "x", F.coalesce("m", "r").alias("y"))
     across = x.select("source_table", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
-    n = m.withColumnRenamed("m", "m2")
-    within = m.join(n, ["source_table", "r"]).where("m < m2").select("source_table", F.col("m").alias("id_a"), F.col("m2").alias("id_b"))
+    k = F.concat_ws("\x1f", "source_table", "r").alias("k")
+    within = salted_join(m.select("source_table", k, "m"), m.select(k, F.col("m").alias("m2")), "k", "m", "inner").where("m < m2").select("source_table", F.col("m").alias("id_a"), F.col("m2").alias("id_b"))
     return across.unionByName(within)
 
 
@@ -262,4 +414,20 @@ def p2_groups(spark, d: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups}
-SQL = {}
+#: Every pair of similarity 0.6 shares one of the rarest ``n - ceil(0.6 n) + 1`` words of either text.
+SQL = {
+    "p2_found": """
+WITH t AS (
+  SELECT 'table_questions' AS source_table, question_id AS id, question_text AS x FROM table_questions
+  UNION ALL SELECT 'variable_questions', question_id, question_text FROM variable_questions
+  UNION ALL SELECT 'cards', rowid, text FROM cards
+), w AS (SELECT source_table, id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(x), '[^a-z0-9]+'), lambda v: v <> ''))) AS w FROM t),
+d AS (SELECT source_table, w, count(*) AS df FROM w GROUP BY ALL),
+r AS (SELECT source_table, id, w, row_number() OVER (PARTITION BY source_table, id ORDER BY df, w) AS k, count(*) OVER (PARTITION BY source_table, id) AS n FROM w JOIN d USING (source_table, w)),
+p AS (SELECT * FROM r WHERE k <= n - (6 * n + 9) // 10 + 1),
+c AS (SELECT DISTINCT a.source_table, a.id AS id_a, b.id AS id_b FROM p a JOIN p b ON a.source_table = b.source_table AND a.w = b.w AND a.id < b.id AND 10 * a.n >= 6 * b.n AND 10 * b.n >= 6 * a.n),
+l AS (SELECT source_table, id, list(w) AS ws, count(*) AS n FROM w GROUP BY ALL)
+SELECT c.source_table, c.id_a, c.id_b FROM c JOIN l a ON a.source_table = c.source_table AND a.id = c.id_a JOIN l b ON b.source_table = c.source_table AND b.id = c.id_b
+WHERE 5 * len(list_intersect(a.ws, b.ws)) >= 3 * (a.n + b.n - len(list_intersect(a.ws, b.ws)))
+""",
+}
