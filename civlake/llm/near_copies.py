@@ -40,8 +40,8 @@ COMMON_FROM = 128
 COMMON_MOST = 262_144
 #: Numbers of common segments to choose from (twice the blocks).
 LEVELS = np.array(sorted({2, 4, 6, 8, 10, 12, 14, *(k << e for e in range(2, 22) for k in (4, 5, 6, 7))}))
-#: Bits of the map that tells which cells the texts of a higher level occupy.
-MAP_BITS = 1 << 22
+#: Bits of the map that tells where the texts of a higher level can be met.
+MAP_BITS = 1 << 24
 #: Texts looked at to find cells that hold over a fiftieth of all texts; these are spread by what else must agree.
 HOT_SAMPLE = 20_000
 #: Rows and pairs handled at once in a task.
@@ -93,7 +93,7 @@ def common_words(texts: DataFrame) -> np.ndarray:
 
 
 def sketches(texts: DataFrame, common: np.ndarray) -> DataFrame:
-    """source_table, id, key (equal for equal word sets), n_words, planes p1 and p2, cells (uncommon words), often (ranks of
+    """source_table, id, key (equal for equal word sets), n_words, planes p1 and p2, cells (hashes of the uncommon words), often (ranks of
     the common words); texts without a word drop out."""
     shared = texts.sparkSession.sparkContext.broadcast(common)
 
@@ -112,13 +112,13 @@ def sketches(texts: DataFrame, common: np.ndarray) -> DataFrame:
                     bit = 1 << (h & 63)
                     p2 |= p1 & bit
                     p1 |= bit
-                row = (src, i, xxhash.xxh3_128_digest(np.array(hs, dtype=np.int64).tobytes()), len(words), p1 - (1 << 64) if p1 >> 63 else p1, p2 - (1 << 64) if p2 >> 63 else p2, [h for h in hs if h not in rank], sorted(rank[h] for h in hs if h in rank))
+                row = (src, i, xxhash.xxh3_128_digest(np.array(hs, dtype=np.int64).tobytes()), len(words), p1 - (1 << 64) if p1 >> 63 else p1, p2 - (1 << 64) if p2 >> 63 else p2, [(h & 0xFFFFFFFF) - (1 << 31) for h in hs if h not in rank], sorted(rank[h] for h in hs if h in rank))
                 for col, x in zip(out, row, strict=True):
                     col.append(x)
-            types = [pa.string(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+            types = [pa.string(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["source_table", "id", "key", "n_words", "p1", "p2", "cells", "often"])
 
-    return texts.mapInArrow(run, "source_table string, id bigint, key binary, n_words int, p1 bigint, p2 bigint, cells array<bigint>, often array<int>")
+    return texts.mapInArrow(run, "source_table string, id bigint, key binary, n_words int, p1 bigint, p2 bigint, cells array<int>, often array<int>")
 
 
 def slack(least: float) -> Column:
@@ -157,33 +157,54 @@ def _word_values(ranks: np.ndarray) -> np.ndarray:
     return _mixed(_mixed(ranks.astype(np.uint64) + np.uint64(0x165667B19E3779F9)))
 
 
-def _segments(b: pa.RecordBatch, m: int, lower: bool, top: int) -> tuple[np.ndarray, ...] | None:
-    """The cells of a batch's texts at level m, one for each segment of each block that is needed.
+def _segments(b: pa.RecordBatch, m: int, lower: bool, top: int) -> dict[str, np.ndarray] | None:
+    """The cells of a batch's texts at level m: one for each segment of the blocks that are needed; of the last block, if
+    it may not differ at all, for its first segment only.
 
-    Returns the text, the cell, the sum of the word values of the block's other segment, that segment's number, and whether
-    the cell is of a block's first segment.  ``lower``: only texts of lower levels than m.  ``top``: the highest level below m.
+    who: the text; cell; first: is it a block's first segment; key: of the cell and the block's other segment; row, rank:
+    the words of that segment; less: the key without this word.  ``lower``: only texts of lower levels than m.  ``top``:
+    the highest level below m.
     """
     names = b.schema.names
     room, reach = (b.column(names.index(c)).to_numpy(zero_copy_only=False) for c in ("slack", "reach"))
-    blocks = np.maximum(0, (np.floor(room + np.minimum(m / 2, reach)).astype(np.int64) + 2) // 2)
+    cells = np.clip(np.floor(room + np.minimum(m / 2, reach)).astype(np.int64) + 1, 0, m)
     is_lower = room * 2 < top
-    blocks[~is_lower | (reach * 2 < top) if lower else (is_lower | (room * 2 >= m))] = 0
-    use = np.nonzero(np.minimum(blocks, m // 2))[0]
+    cells[~is_lower | (reach * 2 < top) if lower else (is_lower | (room * 2 >= m))] = 0
+    use = np.nonzero(cells)[0]
     if not len(use):
         return None
-    segments = np.minimum(blocks, m // 2)[use] * 2
+    cells = cells[use]
+    segments = cells + cells % 2
     often = b.column(names.index("often")).take(pa.array(use))
     ranks = often.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    row = np.repeat(np.arange(len(use)), often.value_lengths().to_numpy(zero_copy_only=False))
-    keep = ranks % m < segments[row]
-    start = np.cumsum(segments) - segments
+    owner = np.repeat(np.arange(len(use)), often.value_lengths().to_numpy(zero_copy_only=False))
+    keep = ranks % m < segments[owner]
+    ranks, owner = ranks[keep], owner[keep]
+    begin = np.cumsum(segments) - segments
+    value = _word_values(ranks)
     sums = np.zeros(int(segments.sum()), dtype=np.uint64)
-    np.add.at(sums, start[row[keep]] + ranks[keep] % m, _word_values(ranks[keep]))
-    who = np.repeat(np.arange(len(use)), segments)
+    np.add.at(sums, begin[owner] + ranks % m, value)
+    who = np.repeat(np.arange(len(use)), cells)
+    start = np.cumsum(cells) - cells
     k = np.arange(len(who)) - start[who]
     sid = b.column(names.index("sid")).to_numpy(zero_copy_only=False).view(np.uint64)[use[who]]
-    cell = _mixed(_mixed(sums ^ sid) + (k + (m << 32)).astype(np.uint64))
-    return use[who], cell, sums[start[who] + (k ^ 1)], k ^ 1, k % 2 == 0
+    cell = _mixed(_mixed(sums[begin[who] + k] ^ sid) + (k + (m << 32)).astype(np.uint64)) >> np.uint64(32)
+    other = sums[begin[who] + (k ^ 1)]
+    across = ranks % m ^ 1
+    meets = across < cells[owner]  # the cell whose other segment holds the word
+    row, rank, value = (start[owner] + across)[meets], ranks[meets], value[meets]
+    order = np.argsort(row, kind="stable")
+    row, rank, value = row[order], rank[order], value[order]
+    return {"who": use[who], "cell": cell, "first": k % 2 == 0, "key": _key(cell, other), "row": row, "rank": rank, "less": _key(cell[row], other[row] - value)}
+
+
+def _key(cell: np.ndarray, other: np.ndarray) -> np.ndarray:
+    return _mixed(_mixed(other) + cell)
+
+
+def _marked(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
+    p = key & np.uint64(MAP_BITS - 1)
+    return (bits[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1
 
 
 def _expand(lo: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -205,7 +226,7 @@ def common_candidates(s: DataFrame, least: float) -> DataFrame:
     Two such texts differ in at most r = floor(slack + slack) common words.  A text's level m is the first in use over twice
     its slack, hence over r for all partners of no higher level; of m / 2 blocks, one differs in a word at most.  A pair
     meets at the level of the higher of the two, for which the lower sends the cells of as many blocks as r can need; a
-    bit map of the cells that texts of this level occupy spares it the others.  Within a cell, the sums of word
+    bit map of what texts of this level can meet spares it the others.  Within a cell, the sums of word
     values of the block's other segment are compared with each other and with those that lack one of their words.
     """
     spark = s.sparkSession
@@ -223,7 +244,7 @@ def common_candidates(s: DataFrame, least: float) -> DataFrame:
         for b in batches:
             for m in levels[1:]:
                 if (got := _segments(b, m, False, tops[m])) is not None:
-                    p = np.unique(got[1] & np.uint64(MAP_BITS - 1)).astype(np.int64)
+                    p = np.unique(np.concatenate([got["key"], got["less"]]) & np.uint64(MAP_BITS - 1)).astype(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), m, dtype=np.int32)), pa.array(p)], names=["m", "p"])
 
     if maps:
@@ -232,20 +253,22 @@ def common_candidates(s: DataFrame, least: float) -> DataFrame:
         for m, g in bits.groupby("m"):
             maps[int(m)][g["w"].to_numpy(dtype=np.int64)] = g["b"].to_numpy(dtype=np.int64).view(np.uint64)
 
-    def cells_of(b: pa.RecordBatch, bits: dict[int, np.ndarray]) -> Iterator[tuple]:
+    def cells_of(b: pa.RecordBatch, bits: dict[int, np.ndarray]) -> Iterator[tuple[bool, dict[str, np.ndarray]]]:
         for m in levels:
             if (got := _segments(b, m, False, tops[m])) is not None:
-                yield m, True, got
+                yield True, got
             if m in bits and (got := _segments(b, m, True, tops[m])) is not None:
-                p = got[1] & np.uint64(MAP_BITS - 1)
-                there = (bits[m][(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1
-                if there.any():
-                    yield m, False, tuple(x[there] for x in got)
+                use = _marked(bits[m], got["key"])
+                use[got["row"][_marked(bits[m], got["less"])]] = True
+                if use.any():
+                    word = use[got["row"]]
+                    new = np.cumsum(use) - 1
+                    yield False, {**{c: got[c][use] for c in ("who", "cell", "first", "key")}, "row": new[got["row"][word]], "rank": got["rank"][word], "less": got["less"][word]}
 
     total = s.count()
     share = F.pmod(F.xxhash64("id", "sid"), F.lit(1 << 30)) <= int((1 << 30) * min(1.0, HOT_SAMPLE / max(1, total)))
     sample = s.where(share).limit(2 * HOT_SAMPLE).toArrow()
-    seen = [got[1] for b in sample.to_batches() for _, _, got in cells_of(b, maps)]
+    seen = [got["cell"] for b in sample.to_batches() for _, got in cells_of(b, maps)]
     cell, n = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64))
     # in a small collection no cell is worth spreading
     shared = spark.sparkContext.broadcast((maps, cell[n * 50 >= sample.num_rows] if total > HOT_SAMPLE else cell[:0]))
@@ -255,32 +278,28 @@ def common_candidates(s: DataFrame, least: float) -> DataFrame:
         for b in batches:
             names = b.schema.names
             often = b.column(names.index("often"))
-            length = often.value_lengths().to_numpy(zero_copy_only=False)
-            start = np.concatenate([[0], np.cumsum(length)])
-            ranks = often.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            value = _word_values(ranks)
+            value = _word_values(often.flatten().to_numpy(zero_copy_only=False))
             parity = np.zeros(b.num_rows, dtype=np.uint64)
-            np.bitwise_xor.at(parity, np.repeat(np.arange(b.num_rows), length), np.uint64(1) << (value & np.uint64(63)))
-            for m, own, (who, cell, other, number, first) in cells_of(b, bits):
-                is_hot = np.isin(cell, hot)
-                # the words of the other segment, as a list for each row
-                size = length[who]
-                row = np.repeat(np.arange(len(who)), size)
-                word = np.repeat(start[who] - (np.cumsum(size) - size), size) + np.arange(len(row))
-                mine = ranks[word] % m == number[row]
-                row, word = row[mine], word[mine]
-                full = _mixed(cell + _mixed(other))
-                lists = np.bincount(row[~is_hot[row]], minlength=len(who))
-                out = [(np.arange(len(who)), full, np.zeros(len(who), dtype=bool), lists, ranks[word][~is_hot[row]])]
-                if is_hot.any():  # its rows without one word are sent as well, each to where it can meet its like
-                    h = is_hot[row]
-                    less = _mixed(cell[row[h]] + _mixed(other[row[h]] - value[word[h]]))
-                    out.append((row[h], less, np.ones(len(less), dtype=bool), np.zeros(len(less), dtype=np.int64), ranks[:0]))
-                for at, key, lacks, lists, words in out:
-                    t = who[at]
-                    place = np.where(is_hot[at], key, cell[at])
-                    cols = [pa.array((place >> np.uint64(33)).astype(np.int32)), pa.array(key.view(np.int64)), pa.array(lacks), pa.array(first[at]), pa.array(np.full(len(at), own)), b.column(names.index("sid")).take(pa.array(t)), b.column(names.index("id")).take(pa.array(t)), pa.array(b.column(names.index("slack")).to_numpy(zero_copy_only=False)[t].astype(np.float32)), pa.array(parity[t].view(np.int64)), pa.array(cell[at].view(np.int64)), pa.array(other[at].view(np.int64)), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lists)]).astype(np.int32)), pa.array(words.astype(np.int32)))]
-                    yield pa.RecordBatch.from_arrays(cols, names=_SENT)
+            np.bitwise_xor.at(parity, np.repeat(np.arange(b.num_rows), often.value_lengths().to_numpy(zero_copy_only=False)), np.uint64(1) << (value & np.uint64(63)))
+            room = b.column(names.index("slack")).to_numpy(zero_copy_only=False).astype(np.float32)
+
+            def rows(at, place, key, flags, size, words, b=b, names=names, parity=parity, room=room):
+                ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32) * 4
+                data = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(words.astype(np.int32).tobytes())])
+                ids = [b.column(names.index(c)).take(pa.array(at)) for c in ("sid", "id")]
+                return pa.RecordBatch.from_arrays([pa.array(place.astype(np.uint32).view(np.int32)), pa.array(key.view(np.int64)), pa.array(flags.astype(np.int8)), *ids, pa.array(room[at]), pa.array(parity[at].view(np.int64)), data], names=_SENT)
+
+            for own, got in cells_of(b, bits):
+                is_hot = np.isin(got["cell"], hot)
+                flags = OWN * own + FIRST * got["first"]
+                cold = ~is_hot
+                word = cold[got["row"]]
+                size = np.bincount(got["row"][word], minlength=len(cold))[cold]
+                yield rows(got["who"][cold], got["cell"][cold], np.zeros(int(cold.sum()), dtype=np.uint64), flags[cold], size, got["rank"][word])
+                if is_hot.any():  # where they meet depends on the other segment: as it is, and without each of its words
+                    none = np.empty(0, dtype=np.int32)
+                    for row, key, extra in ((np.nonzero(is_hot)[0], got["key"][is_hot], HOT), (got["row"][~word], got["less"][~word], HOT + LACKS)):
+                        yield rows(got["who"][row], key >> np.uint64(32), key, flags[row] + extra, np.zeros(len(row), dtype=np.int64), none)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -293,29 +312,35 @@ def common_candidates(s: DataFrame, least: float) -> DataFrame:
             for a, b, sid in _met(t.filter(pa.array(place % parts == k)) if parts > 1 else t):
                 yield pa.RecordBatch.from_arrays([pa.array(sid), pa.array(a), pa.array(b)], names=["sid", "a", "b"])
 
-    sent = s.mapInArrow(send, "place int, key bigint, lacks boolean, first boolean, own boolean, sid bigint, id bigint, slack float, parity bigint, cell bigint, other bigint, words array<int>")
+    sent = s.mapInArrow(send, "place int, key bigint, flags byte, sid bigint, id bigint, slack float, parity bigint, words binary")
     return sent.repartition("place").mapInArrow(meet, "sid bigint, a bigint, b bigint")
 
 
-_SENT = ["place", "key", "lacks", "first", "own", "sid", "id", "slack", "parity", "cell", "other", "words"]
-
+_SENT = ["place", "key", "flags", "sid", "id", "slack", "parity", "words"]
+OWN, FIRST, HOT, LACKS = 1, 2, 4, 8
 
 
 def _met(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Pairs of rows of a cell whose other segments are equal, or equal but for one word that one of them lacks."""
     col = {n: t[n].combine_chunks() for n in _SENT}
-    lacks, first, own = (col[n].to_numpy(zero_copy_only=False) for n in ("lacks", "first", "own"))
-    key, parity, cell, other = (col[n].to_numpy(zero_copy_only=False).view(np.uint64) for n in ("key", "parity", "cell", "other"))
-    sid, ids, room = (col[n].to_numpy(zero_copy_only=False) for n in ("sid", "id", "slack"))
-    words = col["words"]
-    row = np.repeat(np.arange(len(ids)), words.value_lengths().to_numpy(zero_copy_only=False))
-    value = _word_values(words.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
+    place, sid, ids, room, flags = (col[n].to_numpy(zero_copy_only=False) for n in ("place", "sid", "id", "slack", "flags"))
+    key, parity = (col[n].to_numpy(zero_copy_only=False).view(np.uint64).copy() for n in ("key", "parity"))
+    lacks, first, own, hot = (flags & f > 0 for f in (LACKS, FIRST, OWN, HOT))
+    _, ends, data = col["words"].buffers()
+    ends = np.frombuffer(ends, dtype=np.int32)[col["words"].offset :][: len(ids) + 1].astype(np.int64) // 4
+    ranks = np.frombuffer(data, dtype=np.int32)[ends[0] : ends[-1]] if data is not None else np.empty(0, dtype=np.int32)
+    row = np.repeat(np.arange(len(ids)), np.diff(ends))
+    value = _word_values(ranks)
+    other = np.zeros(len(ids), dtype=np.uint64)
+    np.add.at(other, row, value)
+    cell = place.view(np.uint32).astype(np.uint64)
+    key[~hot] = _key(cell, other)[~hot]
     whole = np.nonzero(~lacks)[0]
     whole = whole[np.argsort(key[whole], kind="stable")]
     there = key[whole]
     sent = np.nonzero(lacks)[0]
     less_row = np.concatenate([row, sent])
-    less = np.concatenate([_mixed(cell[row] + _mixed(other[row] - value)), key[sent]])
+    less = np.concatenate([_key(cell[row], other[row] - value), key[sent]])
     equal = np.nonzero(first[whole])[0]  # equal blocks meet in the cell of their first segment only
     equal_at = np.searchsorted(there, there[equal], side="right")
     tasks = [(whole[equal], equal + 1, equal_at - equal - 1), (less_row, lo := np.searchsorted(there, less), np.searchsorted(there, less, side="right") - lo)]
@@ -343,9 +368,8 @@ def class_links(texts: DataFrame, least: float = 0.6) -> tuple[DataFrame, DataFr
     members = durable(salted_join(s.select(k, "source_table", "id"), sizes.select(k, "rep"), "k", "id", "inner").select("source_table", "id", "rep"))
     # one row stands for the copies of a class; a repeated id meets itself only, which x.id < y.id rules out
     reps = _without(s.drop("key"), members.where("id <> rep").select("source_table", "id").distinct())
-    reps = durable(reps)
     sid = F.xxhash64("source_table")
-    cell = reps.select(sid.alias("sid"), "id", "n_words", "p1", "p2", F.explode("cells").alias("c")).select(F.xxhash64("sid", "c").alias("cell"), "sid", "id", "n_words", "p1", "p2").repartition("cell")
+    cell = reps.select(sid.alias("sid"), "id", "n_words", "p1", "p2", F.explode("cells").alias("c")).select(F.hash("sid", "c").alias("cell"), "sid", "id", "n_words", "p1", "p2").repartition("cell")
     apart = F.bit_count(F.col("x.p1").bitwiseXOR(F.col("y.p1"))) + F.bit_count(F.col("x.p2").bitwiseXOR(F.col("y.p2")))
     near = (apart <= (F.col("x.n_words") + F.col("y.n_words")) * ((1 - least) / (1 + least)) + 1e-9) & (F.least("x.n_words", "y.n_words") >= F.greatest("x.n_words", "y.n_words") * least - 1e-9)
     met = cell.alias("x").join(cell.alias("y"), (F.col("x.cell") == F.col("y.cell")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.sid") == F.col("y.sid")) & near)
