@@ -1,15 +1,17 @@
 """Schemas that drift between vintages.
 
-Each vintage's columns are profiled (label with the spelling taken out, type class, value sketch).  A column
-present in two neighbouring vintages is compared with itself; the columns that come and go are matched between
-the vintages, group by group of equal labels, by an assignment over type, name and value-sketch distance.
-Chains of matches give one list of columns over all vintages.
+Each vintage's columns are profiled (label with the spelling taken out, type class, value sketch).  A column present in
+two neighbouring vintages is compared with itself.  The columns that come and go between two vintages of a table are
+matched by a bipartite assignment over name, type and value-sketch distance: first those whose labels say the same,
+then, of the others, those whose profiles are near enough, whatever their labels say.  The assignment decides what is
+renamed.  Chains of matches give one list of columns over all vintages.
 """
 
 from __future__ import annotations
 
-import difflib
 import math
+import re
+from collections import defaultdict
 
 import numpy as np
 import pandas as pd
@@ -20,20 +22,25 @@ from pyspark.sql import Window as W
 from ..runtime import BLANKS, durable, salted_join, table
 from .wide import row_value
 
-#: Up to so many columns on either side a group of equal labels is matched by assignment; a larger one, which
-#: no assignment fits in a task for, is matched in the order of (type, sketch, id), the optimum on a line.
-ASSIGN_MOST = 48
+#: A column whose label says something else is taken for another one renamed if their labels share this much of their
+#: words and the cost (name + value + words not shared) stays under LIKELY_COST.
+LIKELY_WORDS, LIKELY_COST = 0.5, 1.0
 SHORT_FORMS = {"hh": "households", "pct": "percent", "pop": "population", "no": "number"}
 INFLATION = r"\(?\s*(?:in\s+)?(?:\d{4}\s+)?(?:inflation[\s-]*adjusted(?:\s+dollars?)?|dollars?\s*,?\s+adjusted\s+for\s+inflation)(?:\s+(?:of|to|in)\s+\d{4})?\s*\)?"
 
 
 def said(label: Column) -> Column:
     """What a label says: case, punctuation, spacing, short forms and the inflation remark taken out."""
+    return F.regexp_replace(label_words(label), r"[^\p{L}\p{N}]+", "")
+
+
+def label_words(label: Column) -> Column:
+    """A label in lower case, with its short forms spelled out and without the inflation remark."""
     t = F.regexp_replace(F.lower(F.coalesce(label, F.lit(""))), INFLATION, " ")
     t = F.regexp_replace(t, "&", " and ")
     for short, full in SHORT_FORMS.items():
         t = F.regexp_replace(t, rf"\b{short}\b", full)
-    return F.regexp_replace(t, r"[^\p{L}\p{N}]+", "")
+    return t
 
 
 def type_class(t: Column) -> Column:
@@ -48,7 +55,7 @@ def profiles(variables: DataFrame) -> DataFrame:
     """
     rows = variables.select("dataset", F.upper(F.btrim("table_id", F.lit(BLANKS))).alias("table_id"), "year", F.btrim("variable_id", F.lit(BLANKS)).alias("variable_id"), F.struct(F.coalesce(F.col("loaded_at").cast("timestamp_ltz"), F.timestamp_micros(F.lit(-(1 << 55)))).alias("at"), "var_row_id", F.col("label_natural").alias("label"), F.col("predicate_type").alias("type")).alias("x"))
     last = rows.where("table_id <> '' AND variable_id <> '' AND year IS NOT NULL").groupBy("dataset", "table_id", "year", "variable_id").agg(F.max("x").alias("x"))
-    return last.select("dataset", "table_id", "year", "variable_id", F.col("x.label").alias("label"), said(F.col("x.label")).alias("said"), type_class(F.col("x.type")).alias("kind"))
+    return last.select("dataset", "table_id", "year", "variable_id", F.col("x.label").alias("label"), said(F.col("x.label")).alias("said"), label_words(F.col("x.label")).alias("words"), type_class(F.col("x.type")).alias("kind"))
 
 
 def value_sketches(values: DataFrame) -> DataFrame:
@@ -95,73 +102,162 @@ def assignment(cost: np.ndarray) -> list[tuple[int, int]]:
     return [(owner[j] - 1, j - 1) for j in range(1, m + 1) if owner[j]]
 
 
-def _distance(a, b) -> float:
-    name = 1 - difflib.SequenceMatcher(None, a["variable_id"], b["variable_id"], autojunk=False).ratio()
-    known = not (pd.isna(a["centre"]) or pd.isna(b["centre"]))
-    value = min(1.0, abs(a["centre"] - b["centre"]) / (0.1 + (a["spread"] or 0) + (b["spread"] or 0))) if known else 0.5
-    return name + value + (a["kind"] != b["kind"])
+def _name_distance(a: list[str], b: list[str]) -> np.ndarray:
+    """Share of letter pairs that two ids do not have in common, for each of ``a`` and each of ``b``."""
+    place: dict[str, int] = {}
+
+    def counts(names: list[str]) -> list[dict[int, int]]:
+        out = []
+        for n in names:
+            own: dict[int, int] = defaultdict(int)
+            for x, y in zip(f"^{n.lower()}", f"{n.lower()}$", strict=True):
+                own[place.setdefault(x + y, len(place))] += 1
+            out.append(own)
+        return out
+
+    ca, cb = counts(a), counts(b)
+    y = np.zeros((len(b), len(place)), dtype=np.float32)
+    for j, own in enumerate(cb):
+        y[j, list(own)] = list(own.values())
+    size = y.sum(axis=1)
+    out = np.empty((len(a), len(b)))
+    for i, own in enumerate(ca):
+        at, n = np.fromiter(own, dtype=int), np.fromiter(own.values(), dtype=np.float32)
+        out[i] = 1 - 2 * np.minimum(y[:, at], n).sum(axis=1) / (n.sum() + size)
+    return out
+
+
+def _costs(new: pd.DataFrame, old: pd.DataFrame) -> np.ndarray:
+    """Name distance, sketch distance (0.5 where one is not known) and 1 for another type class."""
+    name = _name_distance(new["variable_id"].tolist(), old["variable_id"].tolist())
+    c, s = ([f[k].to_numpy(dtype=float) for f in (new, old)] for k in ("centre", "spread"))
+    value = np.minimum(1.0, np.abs(c[0][:, None] - c[1][None]) / (0.1 + np.nan_to_num(s[0])[:, None] + np.nan_to_num(s[1])[None]))
+    return name + np.where(np.isnan(value), 0.5, value) + (new["kind"].to_numpy()[:, None] != old["kind"].to_numpy()[None])
+
+
+def _assigned(cost: np.ndarray) -> list[tuple[int, int]]:
+    return [(i, j) for j, i in assignment(cost.T)] if cost.shape[0] > cost.shape[1] else assignment(cost)
 
 
 def _match(g: pd.DataFrame) -> pd.DataFrame:
-    new, old = (g[g["side"] == s].sort_values("variable_id").to_dict("records") for s in ("new", "old"))
-    flip = len(new) > len(old)
-    rows, cols = (old, new) if flip else (new, old)
-    cost = np.array([[_distance(a, b) for b in cols] for a in rows])
-    out = [(rows[i], cols[j]) for i, j in assignment(cost)]
-    pairs = [(b, a) if flip else (a, b) for a, b in out]
-    return pd.DataFrame([(a["tkey"], a["v"], a["variable_id"], b["variable_id"]) for a, b in pairs], columns=["tkey", "v", "variable_id", "old_id"])
+    """The columns that come and go between two vintages of a table, with old_id, matched_by and cost."""
+    g = g.sort_values(["side", "variable_id"], kind="stable").reset_index(drop=True)
+    old_id, by, price = [None] * len(g), [None] * len(g), [None] * len(g)
+    where = {s: np.nonzero(g["side"].to_numpy() == s)[0] for s in ("new", "old")}
+    blocks: dict[str, tuple[list[int], list[int]]] = defaultdict(lambda: ([], []))
+    for k, s in enumerate(("new", "old")):
+        for r in where[s]:
+            blocks[g.at[r, "said"]][k].append(r)
+    rest: tuple[list[int], list[int]] = ([], [])
+    for new, old in blocks.values():
+        pairs = []
+        if new and old:
+            cost = _costs(g.loc[new], g.loc[old])
+            pairs = _assigned(cost)
+        for i, j in pairs:
+            old_id[new[i]], price[new[i]] = g.at[old[j], "variable_id"], float(cost[i, j])
+        if pairs:  # those left over of a matched block say the same as a column of the other side as well
+            for r in [*new, *old]:
+                by[r] = "label"
+        else:
+            rest[0].extend(new)
+            rest[1].extend(old)
+    for new, old, near in _likely(g, *rest):
+        cost = np.where(near < LIKELY_COST, near, LIKELY_COST)
+        for i, j in _assigned(cost):
+            if near[i, j] < LIKELY_COST:
+                old_id[new[i]], by[new[i]], price[new[i]] = g.at[old[j], "variable_id"], "profile", float(near[i, j])
+    return g[["tkey", "dataset", "table_id", "year", "v", "side", "variable_id"]].assign(old_id=old_id, matched_by=by, cost=price)
+
+
+def _likely(g: pd.DataFrame, new: list[int], old: list[int]):
+    """Components of the columns that could be each other by the words of their labels, with their costs."""
+    words = {r: frozenset(re.findall(r"[^\W_]+", g.at[r, "words"] or "")) for r in [*new, *old]}
+    having = defaultdict(list)
+    for j in old:
+        for w in words[j]:
+            having[w].append(j)
+    edges, root = {}, {r: r for r in [*new, *old]}
+
+    def find(r: int) -> int:
+        while root[r] != r:
+            root[r] = root[root[r]]
+            r = root[r]
+        return r
+
+    for i in new:
+        shared: dict[int, int] = defaultdict(int)
+        for w in words[i]:
+            for j in having[w]:
+                shared[j] += 1
+        for j, n in shared.items():
+            part = n / (len(words[i]) + len(words[j]) - n)
+            if part >= LIKELY_WORDS and g.at[i, "kind"] == g.at[j, "kind"]:
+                edges[i, j] = part
+                root[find(i)] = find(j)
+    parts: dict[int, tuple[set[int], set[int]]] = defaultdict(lambda: (set(), set()))
+    for i, j in edges:
+        parts[find(i)][0].add(i)
+        parts[find(i)][1].add(j)
+    for a, b in parts.values():
+        a, b = sorted(a), sorted(b)
+        apart = np.array([[1 - edges.get((i, j), -math.inf) for j in b] for i in a])
+        yield a, b, _costs(g.loc[a], g.loc[b]) + apart
 
 
 def matched_columns(placed: DataFrame, sketches: DataFrame | None) -> DataFrame:
-    """tkey, v, variable_id, old_id, renamed (new side) or taken (old side) for every column that comes or goes."""
-    new = placed.where("v > 1 AND NOT coalesce(stays_from, false)").select("tkey", "dataset", "table_id", "year", "v", "said", "kind", "variable_id", F.lit("new").alias("side"), F.col("year").alias("of_year"))
-    old = placed.where("v < n_vintages AND NOT coalesce(stays_to, false)").select("tkey", "dataset", "table_id", F.get("years", F.col("v")).alias("year"), (F.col("v") + 1).alias("v"), "said", "kind", "variable_id", F.lit("old").alias("side"), F.col("year").alias("of_year"))
-    group = W.partitionBy("tkey", "v", "said")
-    both = new.unionByName(old).withColumn("n_new", F.sum((F.col("side") == "new").cast("int")).over(group)).withColumn("n_old", F.sum((F.col("side") == "old").cast("int")).over(group))
-    both = durable(both)
-    matched = both.where("n_new > 0 AND n_old > 0")
-    one = matched.where("n_new = 1 AND n_old = 1").groupBy("tkey", "v", "said").agg(F.max(F.when(F.col("side") == "new", F.col("variable_id"))).alias("variable_id"), F.max(F.when(F.col("side") == "old", F.col("variable_id"))).alias("old_id")).drop("said")
-    several = matched.where("n_new > 1 OR n_old > 1")
+    """Every column that comes (side new) or goes (old), by the vintage v that lacks or has it: old_id, matched_by, cost.
+
+    matched_by: ``label`` where the labels say the same, ``profile`` where only the profiles are alike, null unmatched.
+    A group is the columns that come and go between two vintages of one table, so it grows with the width of a table only.
+    """
+    keep = ["tkey", "dataset", "table_id", "year", "v", "said", "words", "kind", "variable_id", "side", "of_year"]
+    new = placed.where("v > 1 AND NOT coalesce(stays_from, false)").withColumns({"side": F.lit("new"), "of_year": F.col("year")}).select(*keep)
+    old = placed.where("v < n_vintages AND NOT coalesce(stays_to, false)").withColumns({"side": F.lit("old"), "of_year": F.col("year"), "year": F.get("years", F.col("v")), "v": F.col("v") + 1}).select(*keep)
+    both = new.unionByName(old)
     if sketches is None:
-        several = several.withColumns({"centre": F.lit(None).cast("double"), "spread": F.lit(None).cast("double")})
+        both = both.withColumns({"centre": F.lit(None).cast("double"), "spread": F.lit(None).cast("double")})
     else:
-        s = sketches.select(F.col("table_id"), F.col("year").alias("of_year"), F.col("variable_id").alias("vid"), "centre", "spread")
-        several = several.withColumn("vid", F.upper("variable_id")).join(s, ["table_id", "of_year", "vid"], "left").drop("vid")
-    small = several.where((F.col("n_new") <= ASSIGN_MOST) & (F.col("n_old") <= ASSIGN_MOST))
-    by_assignment = small.groupBy("tkey", "v", "said").applyInPandas(_match, "tkey string, v int, variable_id string, old_id string")
-    large = several.where((F.col("n_new") > ASSIGN_MOST) | (F.col("n_old") > ASSIGN_MOST))
-    order = W.partitionBy("tkey", "v", "said", "side").orderBy("kind", F.col("centre").asc_nulls_last(), "variable_id")
-    large = large.withColumn("k", F.row_number().over(order))
-    in_order = large.groupBy("tkey", "v", "said", "k").agg(F.max(F.when(F.col("side") == "new", F.col("variable_id"))).alias("variable_id"), F.max(F.when(F.col("side") == "old", F.col("variable_id"))).alias("old_id")).where("variable_id IS NOT NULL AND old_id IS NOT NULL").select("tkey", "v", "variable_id", "old_id")
-    pairs = one.unionByName(by_assignment).unionByName(in_order)
-    return both.join(pairs, ["tkey", "v", "variable_id"], "left")
+        s = sketches.select("table_id", F.col("year").alias("of_year"), F.col("variable_id").alias("vid"), "centre", "spread")
+        both = both.withColumn("vid", F.upper("variable_id")).join(s, ["table_id", "of_year", "vid"], "left").drop("vid")
+    group = W.partitionBy("tkey", "v")
+    both = both.withColumns({"n_new": F.count(F.when(F.col("side") == "new", 1)).over(group), "n_old": F.count(F.when(F.col("side") == "old", 1)).over(group)})
+    schema = "tkey string, dataset string, table_id string, year int, v int, side string, variable_id string, old_id string, matched_by string, cost double"
+    both = durable(both)
+    matched = both.where("n_new > 0 AND n_old > 0").drop("n_new", "n_old").groupBy("tkey", "v").applyInPandas(_match, schema)
+    none = {"old_id": F.lit(None).cast("string"), "matched_by": F.lit(None).cast("string"), "cost": F.lit(None).cast("double")}
+    return matched.unionByName(both.where("n_new = 0 OR n_old = 0").withColumns(none).select(*matched.columns))
 
 
 def schema_changes(variables: DataFrame, values: DataFrame | None = None, placed: DataFrame | None = None, moved: DataFrame | None = None) -> DataFrame:
-    """Every change between neighbouring vintages: dataset, table_id, year, variable_id, change, old_id.
+    """Every change between neighbouring vintages: dataset, table_id, year, variable_id, change, old_id, likely_from.
 
-    ``renamed``: a new id whose label says what an id now gone said (old_id: its match, null where the group has
-    more new ids than gone ones); ``added`` / ``removed``: other new or gone ids; ``relabelled`` / ``retyped``: an
-    id that stays with another label or type class.  A table of one vintage, or none, has no change.
+    ``renamed``: a new id matched to an id now gone whose label says the same (old_id: that id, null for those left over
+    where more come than go); ``added`` / ``removed``: other new or gone ids; ``relabelled`` / ``retyped``: an id that stays
+    with another label or type class.  likely_from: for an added id, the gone id it probably is by its profile, though the
+    label says something else.  A table of one vintage, or none, has no change.
     """
     placed = _placed(profiles(variables)) if placed is None else placed
     moved = matched_columns(placed, None if values is None else value_sketches(values)) if moved is None else moved
-    change = F.when((F.col("side") == "new") & (F.col("n_old") > 0), "renamed").when(F.col("side") == "new", "added").when(F.col("n_new") == 0, "removed")
-    a = moved.select("dataset", "table_id", "year", "variable_id", change.alias("change"), F.when(F.col("side") == "new", F.col("old_id")).alias("old_id")).where("change IS NOT NULL")
+    by_label = F.coalesce(F.col("matched_by") == "label", F.lit(False))
+    change = F.when((F.col("side") == "new") & by_label, "renamed").when(F.col("side") == "new", "added").when(~by_label, "removed")
+    a = moved.select("dataset", "table_id", "year", "variable_id", change.alias("change"), F.when(by_label, F.col("old_id")).alias("old_id"), F.when(~by_label, F.col("old_id")).alias("likely_from")).where("change IS NOT NULL")
     both = F.filter(F.array(F.when(F.col("said") != F.col("was_said"), "relabelled"), F.when(F.col("kind") != F.col("was_kind"), "retyped")), lambda x: x.isNotNull())
-    b = placed.where("stays_from").select("dataset", "table_id", "year", "variable_id", F.explode(both).alias("change"), F.lit(None).cast("string").alias("old_id"))
+    null = F.lit(None).cast("string")
+    b = placed.where("stays_from").select("dataset", "table_id", "year", "variable_id", F.explode(both).alias("change"), null.alias("old_id"), null.alias("likely_from"))
     return a.unionByName(b)
 
 
 def unified_columns(variables: DataFrame, values: DataFrame | None = None) -> DataFrame:
-    """One list of columns over all vintages: dataset, table_id, unified_id, variable_id, first_year, last_year, label, kind.
+    """One list of columns over all vintages: dataset, table_id, unified_id, variable_id, first_year, last_year, label, kind, next_by.
 
-    A row is an unbroken run of an id; runs linked by a rename share the unified_id, the id of the last of them.
+    A row is an unbroken run of an id; runs linked by a match share the unified_id, the id of the last of them.  next_by:
+    how the run is linked to the next one (``label`` or ``profile``), null for the last.
     """
     placed = durable(_placed(profiles(variables)))
     moved = matched_columns(placed, None if values is None else value_sketches(values))
     runs = placed.groupBy("tkey", "dataset", "table_id", "variable_id", "run").agg(F.max("v").alias("until"), F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.max_by("label", "v").alias("label"), F.max_by("kind", "v").alias("kind"))
-    link = moved.where("side = 'new' AND old_id IS NOT NULL").select("tkey", F.col("old_id").alias("variable_id"), (F.col("v") - 1).alias("until"), F.col("variable_id").alias("next_id"), F.col("v").alias("next_run"))
+    link = moved.where("side = 'new' AND old_id IS NOT NULL").select("tkey", F.col("old_id").alias("variable_id"), (F.col("v") - 1).alias("until"), F.col("variable_id").alias("next_id"), F.col("v").alias("next_run"), F.col("matched_by").alias("next_by"))
     node = lambda i, r: F.concat_ws("\x1f", "tkey", i, F.col(r).cast("string"))
     nodes = runs.join(link, ["tkey", "variable_id", "until"], "left").withColumn("node", node("variable_id", "run"))
     nodes = durable(nodes.withColumn("to", F.coalesce(F.when(F.col("next_id").isNotNull(), node("next_id", "next_run")), F.col("node"))))
@@ -172,7 +268,7 @@ def unified_columns(variables: DataFrame, values: DataFrame | None = None) -> Da
         if far.where("moved").limit(1).count() == 0:
             break
     out = nodes.drop("to").join(hop, "node")
-    return out.select("dataset", "table_id", F.element_at(F.split("to", "\x1f"), -2).alias("unified_id"), "variable_id", "first_year", "last_year", "label", "kind")
+    return out.select("dataset", "table_id", F.element_at(F.split("to", "\x1f"), -2).alias("unified_id"), "variable_id", "first_year", "last_year", "label", "kind", "next_by")
 
 
 def p6_changes(spark, d: str) -> DataFrame:

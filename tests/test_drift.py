@@ -41,11 +41,28 @@ def test_equal_labels_are_assigned_by_name(spark):
     assert got == {"X_001EA": ("renamed", "X_001"), "Y_002EA": ("renamed", "Y_002"), "Z": ("renamed", None)}
 
 
-def test_large_groups_are_matched_in_order(spark, monkeypatch):
-    monkeypatch.setattr(g, "ASSIGN_MOST", 1)
-    rows = [V(2010, f"a{i}", "l") for i in range(3)] + [V(2011, f"b{i}", "l") for i in range(3)]
+def test_a_large_group_of_equal_labels_is_assigned_as_a_small_one(spark):
+    rows = [V(2010, f"a{i:03d}x", "l") for i in range(120)] + [V(2011, f"a{i:03d}y", "l") for i in range(121)]
     got = {r.variable_id: r.old_id for r in g.schema_changes(frame(spark, rows)).collect()}
-    assert got == {"b0": "a0", "b1": "a1", "b2": "a2"}
+    assert len(got) == 121 and sum(x is None for x in got.values()) == 1 and sum(v is not None and k[:4] == v[:4] for k, v in got.items()) >= 119
+
+
+def test_the_assignment_decides_what_is_renamed(spark, monkeypatch):
+    rows = [V(2010, "X_1", "one"), V(2011, "X_9", "one")]
+    ids = g._placed(g.profiles(frame(spark, rows)))
+    group = g.matched_columns(ids, None)
+    assert [(r.variable_id, r.old_id, r.matched_by) for r in group.where("side = 'new'").collect()] == [("X_9", "X_1", "label")]
+    monkeypatch.setattr(g, "assignment", lambda cost: [])
+    pdf = g.pd.DataFrame({"tkey": "t", "dataset": "d", "table_id": "T", "year": 2011, "v": 2, "said": "one", "words": "one", "kind": "integer", "variable_id": ["X_9", "X_1"], "side": ["new", "old"], "centre": [None, None], "spread": [None, None]})
+    assert g._match(pdf)["matched_by"].isna().all()
+
+
+def test_a_reworded_label_is_likely_the_same_column(spark):
+    rows = [V(2010, "S_001", "Median gross rent of renter homes"), V(2010, "S_002", "Workers by bus"), V(2011, "S_001EA", "Median rent of renter homes"), V(2011, "S_077", "Something else")]
+    got = {r.variable_id: (r.change, r.likely_from) for r in g.schema_changes(frame(spark, rows)).collect()}
+    assert got == {"S_001EA": ("added", "S_001"), "S_077": ("added", None), "S_001": ("removed", None), "S_002": ("removed", None)}
+    u = {r.variable_id: (r.unified_id, r.next_by) for r in g.unified_columns(frame(spark, rows)).collect()}
+    assert u["S_001"] == ("S_001EA", "profile") and u["S_002"] == ("S_002", None)
 
 
 def test_empty(spark):
