@@ -36,7 +36,7 @@ from .components import components
 SEGMENTS = 64
 CAP = 2
 #: A word is common if it occurs in more texts than this; the limit is doubled while there are over COMMON_MOST of them.
-COMMON_FROM = 128
+COMMON_FROM = 256
 COMMON_MOST = 262_144
 #: Numbers of common segments to choose from (twice the blocks).
 LEVELS = np.array(sorted({2, 4, 6, 8, 10, 12, 14, *(k << e for e in range(2, 22) for k in (4, 5, 6, 7))}))
@@ -56,13 +56,14 @@ def words_of(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != ""))
 
 
-def _hash(word: str, seen: dict[str, int]) -> int:
-    h = seen.get(word)
-    if h is None:
-        if len(seen) > 500_000:
-            seen.clear()
-        h = seen[word] = xxhash.xxh3_64_intdigest(word.encode()) - (1 << 63)
-    return h
+class _Hashes(dict):
+    """64-bit hashes of words, remembered while there is room."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word.encode()) - (1 << 63)
+        return h
 
 
 def common_words(texts: DataFrame) -> np.ndarray:
@@ -70,10 +71,10 @@ def common_words(texts: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter = Counter()
-        seen: dict[str, int] = {}
+        seen = _Hashes()
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array([_hash(w, seen) for w in n], pa.int64()), pa.array(list(n.values()), pa.int64())], names=["h", "n"])
+            out = pa.RecordBatch.from_arrays([pa.array([seen[w] for w in n], pa.int64()), pa.array(list(n.values()), pa.int64())], names=["h", "n"])
             n.clear()
             return out
 
@@ -98,25 +99,27 @@ def sketches(texts: DataFrame, common: np.ndarray) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = {h: k for k, h in enumerate(shared.value.tolist())}
-        seen: dict[str, int] = {}
+        by_hash = np.argsort(shared.value)
+        known = shared.value[by_hash]
+        seen = _Hashes()
         for b in batches:
-            out: list[list] = [[] for _ in range(8)]
-            for src, i, t in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                words = set(_WORD.findall(t.lower()))
-                if not words:
-                    continue
-                hs = sorted(_hash(w, seen) for w in words)
-                p1 = p2 = 0
-                for h in hs:
-                    bit = 1 << (h & 63)
-                    p2 |= p1 & bit
-                    p1 |= bit
-                row = (src, i, xxhash.xxh3_128_digest(np.array(hs, dtype=np.int64).tobytes()), len(words), p1 - (1 << 64) if p1 >> 63 else p1, p2 - (1 << 64) if p2 >> 63 else p2, [(h & 0xFFFFFFFF) - (1 << 31) for h in hs if h not in rank], sorted(rank[h] for h in hs if h in rank))
-                for col, x in zip(out, row, strict=True):
-                    col.append(x)
-            types = [pa.string(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["source_table", "id", "key", "n_words", "p1", "p2", "cells", "often"])
+            words = [set(_WORD.findall(t.lower())) for t in b.column(2).to_pylist()]
+            some = np.nonzero([bool(w) for w in words])[0]
+            size = np.array([len(words[i]) for i in some], dtype=np.int64)
+            h = np.fromiter((seen[w] for i in some for w in words[i]), dtype=np.int64, count=int(size.sum()))
+            row = np.repeat(np.arange(len(some)), size)
+            h = h[np.lexsort((h, row))]
+            ends = np.cumsum(size)
+            key = [xxhash.xxh3_128_digest(h[lo:hi].tobytes()) for lo, hi in zip((ends - size).tolist(), ends.tolist(), strict=True)]
+            counts = np.bincount(row * SEGMENTS + (h & (SEGMENTS - 1)), minlength=len(some) * SEGMENTS).reshape(len(some), SEGMENTS)
+            planes = [np.packbits(counts >= k, axis=1, bitorder="little").view(np.int64).ravel() for k in (1, 2)]
+            at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
+            common = known[at] == h if len(known) else np.zeros(len(h), dtype=bool)
+            rank = by_hash[at[common]].astype(np.int32) if len(known) else np.empty(0, dtype=np.int32)
+            order = np.lexsort((rank, row[common]))
+            lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(row[w], minlength=len(some)))]).astype(np.int32)), pa.array(x)) for w, x in ((~common, h[~common].astype(np.int32)), (common, rank[order]))]
+            ids = [b.column(k).take(pa.array(some)) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(key, pa.binary()), pa.array(size.astype(np.int32)), *map(pa.array, planes), *lists], names=["source_table", "id", "key", "n_words", "p1", "p2", "cells", "often"])
 
     return texts.mapInArrow(run, "source_table string, id bigint, key binary, n_words int, p1 bigint, p2 bigint, cells array<int>, often array<int>")
 
@@ -131,7 +134,7 @@ def _levels(count: dict[int, int]) -> list[int]:
     """Levels to use, of the least cost in cells, where ``count`` texts need each level or a higher one.
 
     A text has as many cells at its own level, and about as many at each higher one if a twentieth of the texts are
-    there; a level over three times its need leaves too few words in its segments.
+    there; a level over six times its need leaves too few words in its segments.
     """
     need = sorted(count)
     total = sum(count.values())
@@ -142,7 +145,7 @@ def _levels(count: dict[int, int]) -> list[int]:
             below.append(below[-1] + count[k])
         options = []
         for i in range(j + 1):
-            own = sum(count[k] * max(1.0, m / (3 * k)) ** 2 for k in need[i : j + 1])
+            own = sum(count[k] * max(1.0, m / (6 * k)) ** 2 for k in need[i : j + 1])
             options.append((best[i][0] + m * (own + below[i] * min(1.0, 20 * (below[j + 1] - below[i]) / total)), [*best[i][1], m]))
         best.append(min(options))
     return best[-1][1]
