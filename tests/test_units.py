@@ -27,3 +27,12 @@ def test_repeats_nulls_zero_and_empty(spark):
 def test_ambiguous_combinations_are_flagged(spark):
     got = run(spark, [(None, "2000", None, None), (None, "80", None, None)])
     assert not got[0, "income"].is_unique and got[1, "income"].is_unique
+
+
+def test_units_and_factors_come_from_the_table(spark):
+    rules = [("hmda", "income", "USD_hundreds", "USD", 100.0, 2004, 9999), ("hmda", "loan_amount", "USD_thousands", "USD", 1000.0, 2004, 9999)]
+    rows = [(f"r{i}", 2020, None, income, loan, None, "x") for i, (income, loan) in enumerate([("850", "250"), ("9 USD_hundreds", "2 TUSD"), ("80000", "200000")])]
+    out = u.harmonise(spark.createDataFrame(rows, S), spark.createDataFrame(rules, RS)).collect()
+    got = {(r.record_id, r.variable): (r.unit, r.canonical_value) for r in out}
+    assert got["r0", "income"] == ("USD_hundreds", 85000.0) and got["r1", "income"] == ("USD_hundreds", 900.0)
+    assert got["r1", "loan_amount"] == ("USD_thousands", 2000.0) and got["r2", "income"] == ("USD", 80000.0)
