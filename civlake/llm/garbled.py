@@ -27,10 +27,21 @@ from ..runtime import durable, table
 
 PAGES = ("cp1252", "cp1250", "cp1251", "cp1253", "cp1254", "mac_roman", "cp437", "cp850", "iso8859_2")
 ORIGINS = ("cp1252", "mac_roman", "cp437", "cp850")
-CHAINS = tuple([("utf8", p) for p in PAGES] + [(o, p) for o in ORIGINS for p in PAGES if p != o])
+#: Further pages that UTF-8 may have been read as: single bytes and, the last three, characters of two bytes.
+MORE_PAGES = ("koi8_r", "cp866", "gbk", "big5", "shift_jis")
+#: Pages of which UTF-8 may have been read as one and then, written as UTF-8 again, as another.
+TWICE = ("cp1252", "mac_roman", "cp437", "cp850")
+CHAINS = tuple(
+    [("utf8", p) for p in PAGES]
+    + [(o, p) for o in ORIGINS for p in PAGES if p != o]
+    + [("utf8", p) for p in MORE_PAGES]
+    + [("utf8", f"{a}>utf8>{b}") for a in TWICE for b in TWICE if a != b]
+)
 NAMES = tuple(f"{o}>{p}" for o, p in CHAINS)
-POOLS = 1024
-ROUNDS = 3
+#: Sources and fields are pooled by hash; two that share a pool share their prior.
+POOLS = 65_536
+#: The estimation ends when less than SETTLED of the passages' weight changes its chain, after MOST_ROUNDS at the latest.
+SETTLED, MOST_ROUNDS = 5e-3, 12
 KEPT = -4.0  # log cost of a word that a single-byte chain can't have produced and leaves alone
 NEARLY = -0.5
 BACKED, RARE, NEVER = 2e-3, 1e-4, 1e-5
@@ -51,9 +62,13 @@ def _page_bytes(page: str) -> dict[str, int]:
     return out
 
 
-BYTES = {p: _page_bytes(p) for p in PAGES}
-CHARS = {p: {b: c for c, b in BYTES[p].items() if not (0x80 <= ord(c) < 0xA0 and p != "iso8859_2")} | {} for p in PAGES}
-ALPHABET = frozenset(c for p in PAGES for c in BYTES[p]) | {"�"}
+BYTES = {p: _page_bytes(p) for p in (*PAGES, *MORE_PAGES[:2])}
+CHARS = {p: {b: c for c, b in BYTES[p].items() if not (0x80 <= ord(c) < 0xA0 and p != "iso8859_2")} for p in PAGES}
+ALPHABET = frozenset(c for p in BYTES for c in BYTES[p]) | {"�"}
+#: What begins a character of several bytes of UTF-8 read as a page; a word without it was not.
+_BEGINS = {p: re.compile("[" + re.escape("".join(c for c, b in t.items() if 0xC2 <= b <= 0xF4)) + "][" + re.escape("".join(c for c, b in t.items() if 0x80 <= b <= 0xBF)) + "]") for p, t in BYTES.items()}
+_TURNED = {(o, p): {ord(c): CHARS[o][b] for c, b in BYTES[p].items() if b in CHARS[o]} for o in ORIGINS for p in PAGES if o != p}
+_LOST_SPACE = re.compile(r"[a-z](.)$")
 
 
 def _utf8_once(word: str, page: str) -> str:
@@ -90,33 +105,55 @@ def _utf8_once(word: str, page: str) -> str:
     return "".join(out)
 
 
+def _utf8_undone(word: str, page: str) -> str:
+    """The word before UTF-8 was read as the page, once or up to three times; the word itself if it was not."""
+    if page not in BYTES:  # a page of two bytes: all of the word or nothing
+        try:
+            data = word.encode(page)
+            now = data.decode("utf-8")
+        except UnicodeError:
+            return word
+        return now if len(data) == len(word) + len(_NON_ASCII.findall(word)) and not now.isascii() else word
+    now = word
+    for _ in range(3):
+        if not _BEGINS[page].search(now):
+            break
+        nxt = _utf8_once(now, page)
+        if nxt == now:
+            break
+        now = nxt
+    # a letter whose second byte was a no-break space has lost it to what parts words
+    last = _LOST_SPACE.search(now)
+    lead = BYTES[page].get(last[1]) if last else BYTES[page].get(now) if now == "Ã" and page == "cp1252" else None
+    return now[:-1] + chr((lead & 0x1F) << 6 | 0x20) if lead in (0xC3, 0xC5) and now[-1] in "Ã\u221a├Å" else now
+
+
 def undo(word: str, chain: tuple[str, str]) -> str | None:
     """The word before it went through the chain; None if the chain can't have produced it."""
     origin, page = chain
     if origin == "utf8":
-        now = word
-        for _ in range(3):
-            nxt = _utf8_once(now, page)
-            if nxt == now:
-                break
-            now = nxt
-        if page == "cp1252" and (now == "Ã" or re.search(r"[a-z]Ã$", now)):  # the no-break space behind it was lost
-            now = now[:-1] + "à"
+        if ">" in page:
+            first, last = page.split(">utf8>")
+            between = _utf8_undone(word, last)
+            now = _utf8_undone(between, first)
+            return now if between not in (word, now) else None
+        now = _utf8_undone(word, page)
         return now if now != word else None
-    out = []
-    for c in word:
-        if c < "\x80":
-            out.append(c)
-            continue
-        b = BYTES[page].get(c)
-        o = None if b is None else CHARS[origin].get(b)
-        if o is None:
-            return None
-        out.append(o)
-    got = "".join(out)
+    turned = _TURNED[chain]
+    if any(c >= "\x80" and ord(c) not in turned for c in word):
+        return None
+    got = word.translate(turned)
     return got if got != word else None
 
 
+@lru_cache(400_000)
+def readings(word: str) -> tuple[tuple, tuple]:
+    """The contexts of a word's characters, as it stands and under each chain that can have produced it.
+
+    They do not depend on the model: a worker keeps them over all rounds."""
+    return tuple(contexts(word)), tuple((z, tuple(contexts(u))) for z, chain in enumerate(CHAINS) if (u := undo(word, chain)) is not None)
+
+
 def _symbol(c: str) -> str:
     if c < "\x80":
         return c if c.isalpha() else "0" if c.isdigit() else " " if c == " " else "."
@@ -154,30 +191,42 @@ class Model:
         for (p, _), n in shares.items():
             self.pool_n[p] += n
         self.judge = lru_cache(200_000)(self._judge)
+        self.cost = lru_cache(200_000)(self._cost)
+        self.first = lru_cache(200_000)(lambda pool, words: self.posterior(words, self.priors(pool)))
+        self.priors = lru_cache(4096)(lambda pool: {z: self.prior(pool, z) for z in range(-1, len(CHAINS))})
 
-    def log_p(self, word: str) -> float:
-        s = 0.0
-        for a, c, b in contexts(word):
-            s += math.log((self.n3.get((a, c, b), 0.0) + BACKED * self.n2.get((_class(a), c, _class(b)), 0.0) + RARE * self.n1.get(c, 0.0) + NEVER) / self.total)
-        return s
+    def _cost(self, k: tuple[str, str, str]) -> float:
+        a, c, b = k
+        return math.log((self.n3.get(k, 0.0) + BACKED * self.n2.get((_class(a), c, _class(b)), 0.0) + RARE * self.n1.get(c, 0.0) + NEVER) / self.total)
+
+    def log_p(self, ctx: tuple) -> float:
+        return sum(map(self.cost, ctx))
 
     def prior(self, pool: int, z: int) -> float:
         """Log share of chain z (-1: clean) in the pool, drawn towards its share everywhere."""
         base = (self.all.get(z, 0.0) + (0.02 if z >= 0 else 1.0)) / self.n
         return math.log((self.shares.get((pool, z), 0.0) + 20 * base) / (self.pool_n.get(pool, 0.0) + 20))
 
-    def _judge(self, word: str) -> tuple[float, dict[int, float]]:
-        """Log-likelihood of a word as it stands, and under the chains that can have produced it."""
-        return self.log_p(word), {z: self.log_p(u) for z, chain in enumerate(CHAINS) if (u := undo(word, chain)) is not None}
+    def _judge(self, word: str) -> dict[int, float]:
+        """For the chains that can have produced a word: how much likelier it was before, as a log ratio."""
+        own, other = readings(word)
+        if not other:
+            return {}
+        p = self.log_p(own)
+        return {z: self.log_p(c) - p for z, c in other}
 
-    def posterior(self, words: list[str], prior: dict[int, float]) -> dict[int, float]:
+    def posterior(self, words: tuple[str, ...], prior: dict[int, float]) -> dict[int, float]:
         """Posterior of the chains (-1: clean) of a passage with these words beyond ASCII."""
-        judged = [self.judge(w) for w in words]
-        seen = {z for _, other in judged for z in other}
-        score = {-1: prior[-1] + sum(s for s, _ in judged)}
-        for z in seen:
-            kept = NEARLY if CHAINS[z][0] == "utf8" else KEPT
-            score[z] = prior[z] + sum(other.get(z, own + kept) for own, other in judged)
+        gain: dict[int, float] = {}
+        for w in words:
+            for z, x in self.judge(w).items():
+                # all words are taken as left alone first; one that the chain can have produced takes its ratio instead
+                gain[z] = gain.get(z, 0.0) + x - (NEARLY if CHAINS[z][0] == "utf8" else KEPT)
+        if not gain:
+            return {-1: 1.0}
+        score = {-1: prior[-1]}
+        for z, x in gain.items():
+            score[z] = prior[z] + x + len(words) * (NEARLY if CHAINS[z][0] == "utf8" else KEPT)
         top = max(score.values())
         e = {z: math.exp(s - top) for z, s in score.items()}
         t = sum(e.values())
@@ -195,17 +244,19 @@ def passages(text: str) -> list[list[str]]:
 
 def judge_record(model: Model, pool: int, parts: list[list[str]]) -> list[dict[int, float]]:
     """Posteriors of a record's passages: first with its pool's shares, then with those and its own."""
-    prior = {z: model.prior(pool, z) for z in range(-1, len(CHAINS))}
-    first = [model.posterior(w, prior) for w in parts]
+    prior = model.priors(pool)
+    first = [model.first(pool, tuple(w)) for w in parts]
+    if all(len(p) == 1 for p in first):
+        return first
     own: Counter = Counter()
     for p in first:
         own.update(p)
     mixed = {z: math.log(0.5 * math.exp(prior[z]) + 0.5 * own.get(z, 0.0) / len(parts)) for z in prior}
-    return [model.posterior(w, mixed) for w in parts]
+    return [model.posterior(w, mixed) if len(f) > 1 else f for w, f in zip(parts, first, strict=True)]
 
 
-def pool_of(source: str | None) -> int:
-    return xxhash.xxh3_64_intdigest((source or "").encode()) % POOLS
+def pool_of(source: str | None, field: str = "text") -> int:
+    return xxhash.xxh3_64_intdigest(f"{field}\x1f{source or ''}".encode()) % POOLS
 
 
 def certain(word: str) -> bool:
@@ -213,17 +264,18 @@ def certain(word: str) -> bool:
     return "�" in word or any((u := undo(word, c)) is not None and all(ord(x) < 0x180 or 0x2010 <= ord(x) <= 0x2122 for x in u if x >= "\x80") for c in CHAINS[: len(PAGES)])
 
 
-def fit(suspects: DataFrame, rounds: int = ROUNDS) -> Model:
-    """Estimate the model over all records: doc_id, pool, words (array of arrays)."""
+def fit(suspects: DataFrame, rounds: int = MOST_ROUNDS) -> Model:
+    """Estimate the model over all records (doc_id, pool, words: array of arrays), until it settles."""
     model: Model | None = None
     for _ in range(rounds):
+        before = model
         shared = suspects.sparkSession.sparkContext.broadcast(None if model is None else (model.n3, model.shares))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             now = None if shared.value is None else Model(*shared.value)
             counts: Counter = Counter()
             shares: Counter = Counter()
-            ctx = lru_cache(200_000)(contexts)
+            clean: Counter = Counter()  # weight of each word as clean text
             sure = lru_cache(200_000)(certain)
             for b in batches:
                 for pool, parts in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
@@ -231,9 +283,8 @@ def fit(suspects: DataFrame, rounds: int = ROUNDS) -> Model:
                         for words in parts:
                             bad = any(sure(w) for w in words)
                             shares[pool, -1] += not bad
-                            for w in words:
-                                if not bad:
-                                    counts.update(ctx(w))
+                            if not bad:
+                                clean.update(words)
                         continue
                     for words, post in zip(parts, judge_record(now, pool, parts), strict=True):
                         for z, p in post.items():
@@ -242,13 +293,18 @@ def fit(suspects: DataFrame, rounds: int = ROUNDS) -> Model:
                         weight = post.get(-1, 0.0)
                         if weight > 0.01 and not any("�" in w for w in words):
                             for w in words:
-                                for k in ctx(w):
-                                    counts[k] += weight
+                                clean[w] += weight
+            for w, n in clean.items():
+                for k in readings(w)[0]:
+                    counts[k] += n
             rows = [("".join(k), -2, -2, float(n)) for k, n in counts.items()] + [("", p, z, float(n)) for (p, z), n in shares.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int32(), pa.float64()))], names=["k", "pool", "z", "n"])
 
-        got = suspects.mapInArrow(run, "k string, pool int, z int, n double").groupBy("k", "pool", "z").agg(F.sum("n").alias("n")).toArrow().to_pylist()
-        model = Model({tuple(r["k"]): r["n"] for r in got if r["pool"] == -2}, {(r["pool"], r["z"]): r["n"] for r in got if r["pool"] != -2})
+        got = suspects.mapInArrow(run, "k string, pool int, z int, n double").groupBy("k", "pool", "z").agg(F.sum("n").alias("n")).where("n > 1e-3").toArrow()
+        rows = list(zip(*(got[c].to_pylist() for c in ("k", "pool", "z", "n")), strict=True))
+        model = Model({tuple(k): n for k, pool, _, n in rows if pool == -2}, {(pool, z): n for _, pool, z, n in rows if pool != -2})
+        if before is not None and sum(abs(n - before.all.get(z, 0.0)) for z, n in model.all.items()) <= SETTLED * model.n:
+            break
     return model
 
 
