@@ -348,7 +348,7 @@ def nearest(vectors: DataFrame, id_col: str, vec_col: str, k: int = 5, least: fl
 
 def p5_found(spark, d: str) -> DataFrame:
     u = table(spark, d, "universe_embeddings")
-    e = nearest(u, "vec_id", "embedding", 5, least=0.85 - HALF_ERROR, nprobe=0.0, lists=24, list_rows=192)
+    e = nearest(u, "vec_id", "embedding", 5, least=0.85 - HALF_ERROR, nprobe=0.0, lists=6, list_rows=768)
     e = durable(e.select(F.least("id", "neighbour").alias("id"), F.greatest("id", "neighbour").alias("neighbour"), "cosine").distinct())
     near = F.col("cosine") < 0.85 + HALF_ERROR
     sure = e.where(~near).select("id", "neighbour")
