@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..runtime import BLANKS, durable, salted_join, table
+from ..runtime import BLANKS, durable, partitions, salted_join, table
 from .wide import row_value
 
 #: A column whose label says something else is taken for another one renamed if their labels share this much of their
@@ -224,7 +224,7 @@ def matched_columns(placed: DataFrame, sketches: DataFrame | None) -> DataFrame:
     both = both.withColumns({"n_new": F.count(F.when(F.col("side") == "new", 1)).over(group), "n_old": F.count(F.when(F.col("side") == "old", 1)).over(group)})
     schema = "tkey string, dataset string, table_id string, year int, v int, side string, variable_id string, old_id string, matched_by string, cost double"
     both = durable(both)
-    matched = both.where("n_new > 0 AND n_old > 0").drop("n_new", "n_old").groupBy("tkey", "v").applyInPandas(_match, schema)
+    matched = both.where("n_new > 0 AND n_old > 0").drop("n_new", "n_old").repartition(partitions(placed.sparkSession), "tkey", "v").groupBy("tkey", "v").applyInPandas(_match, schema)
     none = {"old_id": F.lit(None).cast("string"), "matched_by": F.lit(None).cast("string"), "cost": F.lit(None).cast("double")}
     return matched.unionByName(both.where("n_new = 0 OR n_old = 0").withColumns(none).select(*matched.columns))
 

@@ -171,8 +171,8 @@ def label_tree(spark, d):
 
 
 def earns_questions(spark, d):
-    """Variables that deserve questions: totals, shallow ones, commonly asked ones."""
-    ok = (F.col("is_total") == 1) | (F.col("depth") <= 1) | (F.col("is_commonly_queried") == 1) | (F.col("kind") == "summary")
+    """Variables that deserve questions: totals, those of depth 2 at most, commonly asked ones, summary statistics."""
+    ok = (F.col("is_total") == 1) | (F.col("depth") <= 2) | (F.col("is_commonly_queried") == 1) | F.col("kind").isin("median", "aggregate", "ratio")
     return table(spark, d, "variables").groupBy(tid().alias("table_id")).agg(F.sum(F.coalesce(ok, F.lit(False)).cast("bigint")).alias("earning"), F.count(F.lit(1)).alias("variables"))
 
 
@@ -231,7 +231,7 @@ UNION ALL SELECT {_T}, upper(trim(var_id)), 'var_question', 2.0 FROM variable_qu
 o AS (SELECT table_id, dataset, year, array_to_string(seg, '|') AS path, min(variable_id) AS den FROM v WHERE len(seg) > 0 GROUP BY 1, 2, 3, 4),
 u AS (SELECT v.*, n, array_to_string(seg[1:n], '|') AS path FROM v, range(1, 20) t(n) WHERE n < len(seg)) SELECT table_id, dataset, year, variable_id, arg_max(den, n) AS denominator FROM u JOIN o USING (table_id, dataset, year, path) GROUP BY 1, 2, 3, 4""",
     "label_tree": f"SELECT table_id, seg[1] AS root, count(*) AS members, max(len(seg))::INT AS depth, count(DISTINCT seg[2]) AS children FROM (SELECT table_id, {_SEG} AS seg FROM {_LBL}) WHERE len(seg) > 0 GROUP BY 1, 2",
-    "earns_questions": f"SELECT {_T} AS table_id, sum(coalesce(is_total = 1 OR depth <= 1 OR is_commonly_queried = 1 OR kind = 'summary', false)::INT)::BIGINT AS earning, count(*) AS variables FROM variables GROUP BY 1",
+    "earns_questions": f"SELECT {_T} AS table_id, sum(coalesce(is_total = 1 OR depth <= 2 OR is_commonly_queried = 1 OR kind IN ('median', 'aggregate', 'ratio'), false)::INT)::BIGINT AS earning, count(*) AS variables FROM variables GROUP BY 1",
     "variable_roles": "SELECT dataset, CASE WHEN regexp_matches(column_name, 'weight|wgt') THEN 'weight' WHEN regexp_matches(column_name, '(^|_)id$|serial') THEN 'identifier' WHEN regexp_matches(lower(predicate_type), 'str|char') THEN 'other' ELSE 'substantive' END AS class, count(*) AS n FROM variables GROUP BY 1, 2",
     "column_collisions": f"WITH v AS (SELECT DISTINCT {_T} AS table_id, dataset, year, upper(trim(variable_id)) AS variable_id, column_name FROM variables WHERE column_name IS NOT NULL) SELECT table_id, dataset, year, variable_id, column_name || '_' || lower(regexp_extract(variable_id, '[^_]*$')) AS resolved FROM v QUALIFY count(*) OVER (PARTITION BY table_id, dataset, year, column_name) > 1",
     "json_filter_fields": "SELECT polarity, field, count(*) AS n FROM (SELECT polarity, unnest(CASE WHEN len(json_keys(required_filters_json)) = 0 THEN [NULL] ELSE json_keys(required_filters_json) END) AS field FROM variable_questions WHERE required_filters_json IS NOT NULL) GROUP BY 1, 2",

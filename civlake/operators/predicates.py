@@ -167,10 +167,23 @@ def b16_coverage_containment(spark, d):
     return t.where(F.col("levels").isNull() | (F.size(F.array_except(need, "levels")) == 0)).select("table_id", F.coalesce(F.size("levels"), F.lit(0)).cast("bigint").alias("n_levels"))
 
 
+#: Overlapping bands of population (from, to), the first that fits counts (fixed values).
+SIZE_BANDS = [(0, 5_000), (2_000, 10_000), (5_000, 25_000), (15_000, 80_000), (50_000, 250_000), (150_000, 1_000_000), (500_000, 10_000_000)]
+
+
+def size_band(population: Column) -> Column:
+    """The band (from, to) of an anchor's population: the first with from <= population < to, above all of them the last."""
+    each = [F.array(F.lit(lo), F.lit(hi)) for lo, hi in SIZE_BANDS]
+    out = F.when(population.isNull(), None)
+    for (lo, hi), band in zip(SIZE_BANDS, each, strict=True):
+        out = out.when((population >= lo) & (population < hi), band)
+    return out.otherwise(each[-1])
+
+
 def b17_size_bucket(spark, d):
-    """The size band of each tract by population: overlapping bands, the first that fits counts."""
-    bands = [(0, 3000), (2500, 6000), (5000, 12000)]
-    band = reduce(lambda w, x: w.when(F.col("population").between(*x), f"{x[0]}-{x[1]}"), bands, F.when(F.col("population").isNull(), None)).otherwise("any")
+    """The size band of each tract by population."""
+    band = F.concat_ws("-", size_band(F.col("population")))
+    band = F.when(F.col("population").isNotNull(), band)
     return table(spark, d, "admin_geographies").where("geo_type = 'tract'").groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("tracts"), F.min("population").alias("least"), F.max("population").alias("most"))
 
 
@@ -202,7 +215,7 @@ SQL = {
     "b15_domains": "SELECT card_type, count(*) AS n FROM cards WHERE json_valid(l1_domains) AND list_has_any(from_json(l1_domains, '[\"VARCHAR\"]'), ['housing', 'labor']) GROUP BY 1",
     "b16_coverage_containment": """WITH c AS (SELECT upper(trim(table_id)) AS table_id, list(DISTINCT geo_level) AS levels FROM coverage WHERE status = 'success' GROUP BY 1)
 SELECT t.table_id, coalesce(len(levels), 0)::BIGINT AS n_levels FROM (SELECT DISTINCT table_id FROM stat_tables) t LEFT JOIN c USING (table_id) WHERE levels IS NULL OR list_has_all(levels, ['county', 'state'])""",
-    "b17_size_bucket": "SELECT CASE WHEN population IS NULL THEN NULL WHEN population BETWEEN 0 AND 3000 THEN '0-3000' WHEN population BETWEEN 2500 AND 6000 THEN '2500-6000' WHEN population BETWEEN 5000 AND 12000 THEN '5000-12000' ELSE 'any' END AS band, count(*) AS tracts, min(population) AS least, max(population) AS most FROM admin_geographies WHERE geo_type = 'tract' GROUP BY 1",
+    "b17_size_bucket": "SELECT CASE WHEN population IS NULL THEN NULL " + " ".join(f"WHEN population >= {lo} AND population < {hi} THEN '{lo}-{hi}'" for lo, hi in SIZE_BANDS) + f" ELSE '{SIZE_BANDS[-1][0]}-{SIZE_BANDS[-1][1]}' END AS band, count(*) AS tracts, min(population) AS least, max(population) AS most FROM admin_geographies WHERE geo_type = 'tract' GROUP BY 1",
     "b19_expired": "SELECT embedding_version, count(*) AS n, sum(((SELECT max(embedded_at) FROM cards) - embedded_at > 365 * 86400)::INT)::BIGINT AS expired FROM cards WHERE embedded_at IS NOT NULL GROUP BY 1",
     "b26_alias_split": "SELECT DISTINCT table_id, trim(a) AS alias FROM (SELECT table_id, unnest(regexp_split_to_array(lower(title), '/| and | by ')) AS a FROM stat_tables) WHERE trim(a) <> ''",
 }

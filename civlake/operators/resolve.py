@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.normalize import lookup_key
-from ..runtime import table
+from ..runtime import pad_left, table
 from .metadata import latest, segments, tid
 from .search import tokens
 
@@ -308,7 +308,7 @@ def population_update(spark, d):
 def crosswalk(spark, d):
     """Metro to county codes as they are delivered, brought to full width, each pair once."""
     s = table(spark, d, "stat_values").where("msa_code IS NOT NULL AND geo_level = 'msa'")
-    return s.select(F.lpad("msa_code", 5, "0").alias("msa"), F.coalesce(F.lpad("state_fips", 2, "0"), F.lit("")).alias("state")).distinct()
+    return s.select(pad_left(F.col("msa_code"), 5).alias("msa"), F.coalesce(pad_left(F.col("state_fips"), 2), F.lit("")).alias("state")).distinct()
 
 
 def status_rows(spark, d):

@@ -18,10 +18,12 @@ ACCEPT_BELOW = -3.0  # a BM25 score (lower is better) above this is no match
 QUERY_BLOCK = 4096
 QUERIES_AT_ONCE = 256
 SCORE_FLOOR = 0.05
-#: Share of its score that a table keeps by the family its id begins with; the longest prefix counts.
-FAMILIES = {"B": 1.0, "C": 0.95, "S": 0.9, "DP": 0.85, "CP": 0.6, "K": 0.5, "H": 0.8}
-SUBGROUP = r"^[BCS]\d{4,6}[A-I]$"
-SUBGROUP_SHARE = 0.5
+#: Share of its score that a table keeps by the family its id begins with (the longest prefix counts, 1 for others), by an
+#: ending PR, and by the letter of a single race (fixed values).
+FAMILIES = {"B": 1.0, "C": 0.90, "S": 0.60, "DP": 0.20, "CP": 0.20, "K": 0.40}
+PR_SHARE = 0.0
+SUBGROUP = r"^[BCS]\d{4,5}[A-I]$"
+SUBGROUP_SHARE = 0.30
 
 
 def tokens(text: Column) -> Column:
@@ -108,7 +110,7 @@ def family_weight(table_id: Column) -> Column:
     w = None
     for p in sorted(FAMILIES, key=lambda p: (-len(p), p)):
         w = (F if w is None else w).when(table_id.startswith(p), FAMILIES[p])
-    return w.otherwise(0.7) * F.when(table_id.rlike(SUBGROUP), SUBGROUP_SHARE).otherwise(1.0)
+    return w.otherwise(1.0) * F.when(table_id.endswith("PR"), PR_SHARE).otherwise(1.0) * F.when(table_id.rlike(SUBGROUP), SUBGROUP_SHARE).otherwise(1.0)
 
 
 def target_scores(hits: DataFrame, cards: DataFrame) -> DataFrame:
@@ -218,12 +220,12 @@ def family_bias(spark, d):
     return t.select("table_id", F.round(family_weight(F.col("table_id")), 6).alias("weight"))
 
 
-_FAM = "(CASE " + " ".join(f"WHEN starts_with(table_id, '{p}') THEN {FAMILIES[p]}" for p in sorted(FAMILIES, key=lambda p: (-len(p), p))) + " ELSE 0.7 END * CASE WHEN regexp_matches(table_id, '^[BCS][0-9]{4,6}[A-I]$') THEN 0.5 ELSE 1.0 END)::DOUBLE"
+_FAM = "(CASE " + " ".join(f"WHEN starts_with(table_id, '{p}') THEN {FAMILIES[p]}" for p in sorted(FAMILIES, key=lambda p: (-len(p), p))) + " ELSE 1.0 END * CASE WHEN ends_with(table_id, 'PR') THEN 0.0 ELSE 1.0 END * CASE WHEN regexp_matches(table_id, '^[BCS][0-9]{4,5}[A-I]$') THEN 0.3 ELSE 1.0 END)::DOUBLE"
 _KNN = """WITH n AS (SELECT a.vec_id AS q, b.vec_id AS id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS cosine FROM {t} a JOIN {t} b ON a.vec_id <> b.vec_id AND len(a.embedding) = len(b.embedding)
   WHERE a.vec_id % {m} = 0 AND list_sum(list_transform(a.embedding::DOUBLE[], lambda x: abs(x))) > 0 AND list_sum(list_transform(b.embedding::DOUBLE[], lambda x: abs(x))) > 0),
 k AS (SELECT *, (row_number() OVER (PARTITION BY q ORDER BY round(cosine, 9) DESC, id))::INT AS rank FROM n QUALIFY rank <= {k})
 """
-_ROUTED = _KNN.format(t="universe_embeddings", m=100, k=30) + f""", h AS (SELECT k.q, c.\"rowid\" AS r, cosine, greatest(0, cosine) AS sim, upper(trim(target_table_id)) AS table_id, weight, polarity, card_type, target_year FROM k JOIN universe_embeddings u ON u.vec_id = k.id JOIN cards c ON c.\"rowid\" = u.card_rowid WHERE trim(target_table_id) <> ''),
+_ROUTED = _KNN.format(t="universe_embeddings", m=20, k=30) + f""", h AS (SELECT k.q, c.\"rowid\" AS r, cosine, greatest(0, cosine) AS sim, upper(trim(target_table_id)) AS table_id, weight, polarity, card_type, target_year FROM k JOIN universe_embeddings u ON u.vec_id = k.id JOIN cards c ON c.\"rowid\" = u.card_rowid WHERE trim(target_table_id) <> ''),
 g AS (SELECT q, table_id, sum(sim * weight * CASE WHEN polarity = 'negative' THEN -1 ELSE 1 END) AS s, sum((polarity = 'positive')::INT)::BIGINT AS n_pos, sum((polarity = 'negative')::INT)::BIGINT AS n_neg, arg_max(r, (round(cosine, 9), -r)) AS best_card, array_to_string(list_sort(list(DISTINCT card_type)), ',') AS card_types, array_to_string(list_sort(list(DISTINCT target_year)), ',') AS years FROM h GROUP BY 1, 2),
 t AS (SELECT q, table_id, s * {_FAM} AS score, n_pos, n_neg, best_card, card_types, years FROM g)
 """

@@ -162,6 +162,6 @@ QUERIES = {f.__name__: f for f in (place_tract_overlap, point_in_polygon, within
 SQL = {
     "place_tract_overlap": f"SELECT a, b, s AS share, CASE WHEN s >= 0.95 THEN 'contains' WHEN s >= 0.5 THEN 'majority' ELSE 'intersects' END AS kind FROM (SELECT a, b, round((least(p.x1, t.x1) - greatest(p.x0, t.x0)) * (least(p.y1, t.y1) - greatest(p.y0, t.y0)) / 4, 4) AS s FROM {_PL} p JOIN {_TR} t ON p.x0 < t.x1 AND t.x0 < p.x1 AND p.y0 < t.y1 AND t.y0 < p.y1)",
     "point_in_polygon": f"SELECT a, min(b) AS b FROM (SELECT a, (x0 + x1) / 2 AS x, (y0 + y1) / 2 AS y FROM {_PL}) p JOIN {_TR} t ON x >= t.x0 AND x < t.x1 AND y >= t.y0 AND y < t.y1 GROUP BY 1",
-    "within_distance": f"SELECT a, b, dist FROM (SELECT a, b, round(sqrt((px - x0 - u * w) ** 2 + (py - y0 - u * w) ** 2), 6) AS dist FROM (SELECT a, b, p.x0, p.y0, p.w, t.x0 + 1 AS px, t.y0 + 1 AS py, least(1, greatest(0, ((t.x0 + 1 - p.x0) + (t.y0 + 1 - p.y0)) / (2 * p.w))) AS u FROM {_PL} p, {_TR} t WHERE a % 3 = 0)) WHERE dist <= 1.5",
+    "within_distance": f"SELECT a, b, dist FROM (SELECT a, b, round(sqrt((px - x0 - u * w) ** 2 + (py - y0 - u * w) ** 2), 6) AS dist FROM (SELECT a, b, p.x0, p.y0, p.w, t.x0 + 1 AS px, t.y0 + 1 AS py, least(1, greatest(0, ((t.x0 + 1 - p.x0) + (t.y0 + 1 - p.y0)) / (2 * p.w))) AS u FROM {_PL} p, {_TR} t)) WHERE dist <= 1.5",
     "adjacency": f"SELECT p.a, q.a AS b FROM {_PL} p JOIN {_PL} q ON p.x0 <= q.x1 AND q.x0 <= p.x1 AND p.y0 <= q.y1 AND q.y0 <= p.y1",
 }

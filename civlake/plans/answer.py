@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.normalize import when_chain
-from ..operators.areas import FRAMES, HIGH, LOW, SHIFT, framed
+from ..operators.areas import FRAMES, HIGH, LOW, SHIFT, TOP_FRAME, frame_of, framed, strongest
 from ..operators.metrics import MetricSpec, metric
 from ..operators.predicates import RecordFilter
 from ..operators.wide import _SQL_CELLS, cells
@@ -54,9 +53,10 @@ def answer(values: DataFrame, request: Request) -> DataFrame:
     n = {"latest": 1, "change": 2, "trend": request.most}[request.mode]
     years = have.select("variable_id", F.slice(F.reverse(upto), 1, n).alias("ys")).select("variable_id", F.array_max("ys").alias("last"), F.explode("ys").alias("year"))
     f = f.join(years, ["variable_id", "year"])
-    best = F.coalesce("vs_county", "vs_state")
-    flag = F.when(best >= HIGH, "high").when(best <= LOW, "low").when(F.abs("change_pct") >= SHIFT, "shift")
-    return f.select("variable_id", "geo_id", "year", F.when(F.col("year") == F.col("last"), "primary").otherwise("prior_period").alias("role"), "value", "vs_county", "vs_state", when_chain(F.col("vs_state"), FRAMES, "far above").alias("frame"), "change_pct", flag.alias("flag"))
+    f = f.withColumn("strongest", strongest(f))
+    best = F.col("strongest.ratio")
+    flag = F.when(best >= HIGH, "far_above_comparators").when(best <= LOW, "far_below_comparators").when(F.col("change_pct") >= SHIFT, "trend_break_up").when(F.col("change_pct") <= -SHIFT, "trend_break_down")
+    return f.select("variable_id", "geo_id", "year", F.when(F.col("year") == F.col("last"), "primary").otherwise("prior_period").alias("role"), "value", "vs_county", "vs_state", frame_of(f).alias("frame"), "change_pct", flag.alias("flag"))
 
 
 def answer_records(records: DataFrame, spec: MetricSpec, mode: str = "trend") -> DataFrame:
@@ -85,7 +85,9 @@ def answer_rate_trend(spark, d):
 
 
 _HOT = "(SELECT table_id FROM stat_values GROUP BY 1 ORDER BY count(*) DESC, table_id LIMIT 1)"
-_CASE = "CASE WHEN vs_state IS NULL THEN NULL " + " ".join(f"WHEN vs_state < {b} THEN '{n}'" for b, n in FRAMES) + " ELSE 'far above' END"
+_NEAR = "coalesce(vs_state, vs_county)"
+_CASE = f"CASE WHEN {_NEAR} IS NULL THEN 'unknown' " + " ".join(f"WHEN {_NEAR} < {b} THEN '{n}'" for b, n in FRAMES) + f" ELSE '{TOP_FRAME}' END"
+_BEST = "CASE WHEN vs_state IS NOT NULL AND (vs_county IS NULL OR abs(vs_state - 1) >= abs(vs_county - 1)) THEN vs_state ELSE vs_county END"
 QUERIES = {f.__name__: f for f in (answer_statistics, answer_rate_trend)}
 SQL = {
     "answer_statistics": _SQL_CELLS + f""", v AS (SELECT variable_id, year, geo_id, last_value AS value FROM c WHERE table_id = {_HOT}),
@@ -95,6 +97,6 @@ f AS (SELECT v.*, CASE WHEN v.value > 0 AND co.value > 0 AND v.value / co.value
   WINDOW w AS (PARTITION BY v.variable_id, v.geo_id ORDER BY v.year)),
 y AS (SELECT variable_id, year, row_number() OVER (PARTITION BY variable_id ORDER BY year DESC) AS k FROM (SELECT DISTINCT variable_id, year FROM v))
 SELECT variable_id, geo_id, year, CASE WHEN k = 1 THEN 'primary' ELSE 'prior_period' END AS role, value, round(vs_county, 6) AS vs_county, round(vs_state, 6) AS vs_state, {_CASE} AS frame, round(change_pct, 6) AS change_pct,
-CASE WHEN coalesce(vs_county, vs_state) >= 1.5 THEN 'high' WHEN coalesce(vs_county, vs_state) <= 0.67 THEN 'low' WHEN abs(change_pct) >= 0.25 THEN 'shift' END AS flag FROM f JOIN y USING (variable_id, year) WHERE k <= 2""",
+CASE WHEN {_BEST} >= 1.5 THEN 'far_above_comparators' WHEN {_BEST} <= 0.67 THEN 'far_below_comparators' WHEN change_pct >= 0.25 THEN 'trend_break_up' WHEN change_pct <= -0.25 THEN 'trend_break_down' END AS flag FROM f JOIN y USING (variable_id, year) WHERE k <= 2""",
     "answer_rate_trend": "WITH h AS (SELECT DISTINCT ON (record_id) * FROM hmda_lar), m AS (SELECT activity_year AS year, coalesce(loan_purpose, '') AS loan_purpose, avg((coalesce(action_taken, '') = '3')::INT) AS v, count(*) AS denominator FROM h GROUP BY 1, 2) SELECT year, loan_purpose, round(v, 6) AS value, denominator, round(v - lag(v) OVER (PARTITION BY loan_purpose ORDER BY year), 6) AS change FROM m",
 }

@@ -105,10 +105,10 @@ def test_framing_and_flags(spark):
     v = spark.createDataFrame([("T", "v", y, g, x) for y, g, x in ((2020, "01001000100", 150.0), (2020, "01001", 100.0), (2020, "01", 300.0), (2019, "01001000100", 100.0), (2020, "02", 0.0))], "table_id string, variable_id string, year int, geo_id string, value double")
     f = areas.framed(v)
     r = f.where("geo_id = '01001000100' AND year = 2020").first()
-    assert (r.vs_county, r.vs_state, r.prior_year, r.change_pct, r.trend) == (1.5, 0.5, 2019, 0.5, "rising fast")
-    assert sorted((x.flag, x.against) for x in areas.flags(f).where("geo_id = '01001000100'").collect()) == [("high", "vs_county"), ("surge", "prior period")]
-    labels = [one(spark, n.when_chain(F.lit(x), areas.FRAMES, "far above")) for x in (0.59, 0.60, 1.0, 1.15, 1.80)]
-    assert labels == ["far below", "below", "in line", "above", "far above"]
+    assert (r.vs_county, r.vs_state, r.prior_year, r.change_pct, r.trend) == (1.5, 0.5, 2019, 0.5, "rising_strong")
+    assert sorted((x.flag, x.against) for x in areas.flags(f).where("geo_id = '01001000100'").collect()) == [("far_below_comparators", "state"), ("trend_break_up", None)]
+    labels = [one(spark, n.when_chain(F.lit(x), areas.FRAMES, areas.TOP_FRAME)) for x in (0.59, 0.60, 1.0, 1.15, 1.80)]
+    assert labels == ["very_low", "low", "typical", "elevated", "very_high"]
 
 
 def test_years(spark):
