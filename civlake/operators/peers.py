@@ -7,60 +7,119 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..runtime import table
+from .predicates import SIZE_BANDS, size_band
 
 AXES = {"volume": ["quantity", "lines"], "price": ["price", "discount"], "all": ["quantity", "lines", "price", "discount"]}
-#: Discount of a distance by nearness: same nation, same region, elsewhere (fixed values).
-NEARNESS = (0.75, 0.88, 1.0)
-SIZE_BAND = (0.5, 2.0)
-LEAST_FEATURES = 2
+#: Discount of a distance by nearness: same state, division, region, elsewhere (fixed values).
+NEARNESS = {"state": 0.75, "division": 0.88, "region": 0.94}
+ELSEWHERE = 1.0
+LEAST_FEATURES = 3
+#: A feature less than this apart (in standard deviations) is named as a close match.
+CLOSE = 1.0
 
 
 def size_modifier(ratio):
     return F.when(ratio.isNull(), 1.0).when(ratio >= 1.25, 0.95).when(ratio >= 0.8, 1.0).otherwise(1.03)
 
 
-def peers(areas: DataFrame, anchors: DataFrame, axes: dict[str, list[str]], top_k: int, least: int = LEAST_FEATURES) -> DataFrame:
-    """anchor, axis, id, rank, distance, n_features.
+def nearness(a: str = "anchor_", b: str = "") -> tuple:
+    """Tier (``same_state`` and so on, else ``nationwide``) and discount of two areas; an unknown place is near none."""
+    tier, share = F, F
+    for level, x in NEARNESS.items():
+        same = F.col(f"{a}{level}") == F.col(f"{b}{level}")
+        tier, share = tier.when(same, f"same_{level}"), share.when(same, x)
+    return tier.otherwise("nationwide"), share.otherwise(ELSEWHERE)
 
-    ``areas``: id, nation, region, population, features (map name to double; absent features are not compared).
-    ``anchors``: a stated set of ids.  An anchor's pool are the other areas within SIZE_BAND of its population;
-    features are standardised over the pool (population deviation, 0 counts as 1), the anchor left out; distance is the
-    root mean square over the features both have, times the nearness and size modifiers.
+
+def lookup_anchor(areas: DataFrame, ids: list, vintage: int | None = None) -> DataFrame:
+    """The areas of the given ids in a vintage (the latest one each has, if none is named); unknown ids give no row."""
+    a = areas.where(F.col("id").isin(list(ids)))
+    if vintage is not None:
+        return a.where(F.col("vintage") == vintage)
+    w = W.partitionBy("id").orderBy(F.desc("vintage"))
+    return a.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
+
+
+def synthetic_anchor(spark, label: str, population: int, features: dict[str, float], known: set[str], state: str | None = None) -> DataFrame:
+    """An anchor put together from values instead of looked up; features that no axis knows are an error."""
+    unknown = sorted(set(features) - set(known))
+    if unknown:
+        raise ValueError(f"unknown features: {unknown[:5]}")
+    row = (f"synthetic::{label}", state, None, None, population, {k: float(v) for k, v in features.items()})
+    return spark.createDataFrame([row], "id string, state string, division string, region string, population bigint, features map<string,double>")
+
+
+def peers(areas: DataFrame, anchors: DataFrame, axes: dict[str, list[str]], top_k: int, least: int = LEAST_FEATURES, within_state: bool = False) -> DataFrame:
+    """anchor, axis, id, rank, distance, raw_distance, n_features, tier, close (up to two closest features under CLOSE apart).
+
+    ``areas``: id, state, division, region, population, features (map name to double; absent features are not compared).
+    ``anchors``: rows of the same columns, a stated set.  An anchor's pool are the other areas in its size band
+    (``size_band``, both ends included), with ``within_state`` those of its state only; the pool is joined by equality on
+    the band.  Features are standardised over the pool (population deviation, 0 counts as 1), the anchor left out;
+    distance is the root mean square over the features both have, times the nearness and size modifiers.
     """
     spark = areas.sparkSession
-    one = areas.join(anchors.select(F.col("id")), "id", "left_semi").select(F.col("id").alias("anchor"), F.col("nation").alias("an"), F.col("region").alias("ar"), F.col("population").alias("ap"), F.col("features").alias("af"))
-    pool = areas.join(one, (F.col("id") != F.col("anchor")) & F.col("population").between(F.col("ap") * SIZE_BAND[0], F.col("ap") * SIZE_BAND[1]))
-    long = pool.select("anchor", "id", "af", "an", "ar", "ap", "nation", "region", "population", F.explode("features").alias("feature", "x"))
+    renamed = {"id": "anchor", **{c: f"anchor_{c}" for c in ("state", "division", "region", "population", "features")}}
+    one = anchors.select(*[F.col(a).alias(b) for a, b in renamed.items()]).withColumn("lo", size_band(F.col("anchor_population"))[0]).where("lo IS NOT NULL")
+    bands = F.array(*[F.when(F.col("population").between(lo, hi), F.lit(lo)) for lo, hi in SIZE_BANDS])
+    on = ["lo", "anchor_state"] if within_state else ["lo"]
+    pool = areas.withColumn("lo", F.explode(F.array_compact(bands)))
+    if within_state:
+        pool = pool.withColumn("anchor_state", F.col("state"))
+    pool = pool.join(one, on).where(F.col("id") != F.col("anchor"))
+    long = pool.select("anchor", "id", "anchor_features", *[c for x in ("state", "division", "region", "population") for c in (x, f"anchor_{x}")], F.explode("features").alias("feature", "x"))
     w = W.partitionBy("anchor", "feature")
     sd = F.stddev_pop("x").over(w)
-    z = (F.col("x") - F.element_at("af", F.col("feature"))) / F.when(sd > 0, sd).otherwise(1.0)
+    z = (F.col("x") - F.element_at("anchor_features", F.col("feature"))) / F.when(sd > 0, sd).otherwise(1.0)
     of = spark.createDataFrame([(a, f) for a, fs in axes.items() for f in fs], "axis string, feature string")
     d = long.withColumn("z", z).where("z IS NOT NULL").join(F.broadcast(of), "feature")
-    near = F.when(F.col("nation") == F.col("an"), NEARNESS[0]).when(F.col("region") == F.col("ar"), NEARNESS[1]).otherwise(NEARNESS[2])
-    g = d.groupBy("anchor", "axis", "id", near.alias("near"), size_modifier(F.col("population") / F.col("ap")).alias("size")).agg(F.sqrt(F.avg(F.col("z") * F.col("z"))).alias("rms"), F.count(F.lit(1)).alias("n_features")).where(F.col("n_features") >= least)
-    g = g.withColumn("distance", F.round(F.col("rms") * F.col("near") * F.col("size"), 6))
+    tier, near = nearness()
+    gaps = F.array_sort(F.collect_list(F.struct(F.abs("z").alias("gap"), "feature")))
+    g = d.groupBy("anchor", "axis", "id", tier.alias("tier"), near.alias("near"), size_modifier(F.col("population") / F.col("anchor_population")).alias("size")).agg(F.sqrt(F.avg(F.col("z") * F.col("z"))).alias("rms"), F.count(F.lit(1)).alias("n_features"), gaps.alias("gaps")).where(F.col("n_features") >= least)
+    close = F.array_join(F.transform(F.filter(F.slice("gaps", 1, 2), lambda x: x.gap < CLOSE), lambda x: x.feature), ",")
+    g = g.withColumns({"distance": F.round(F.col("rms") * F.col("near") * F.col("size"), 6), "close": close})
     w = W.partitionBy("anchor", "axis").orderBy("distance", "id")
-    return g.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k).select("anchor", "axis", "id", "rank", "distance", "n_features")
+    return g.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k).select("anchor", "axis", "id", "rank", "distance", F.round("rms", 6).alias("raw_distance"), "n_features", "tier", "close")
+
+
+def peer_context(areas: DataFrame, anchors: DataFrame, axes: dict[str, list[str]], text: str, keywords: dict[str, str], top_k: int, least: int = LEAST_FEATURES, most_axes: int = 3, enough: int = 2) -> DataFrame:
+    """Peers on up to ``most_axes`` axes whose keywords the text has (all of them if it has none): those of the anchor's own
+    state, and where these are fewer than ``enough`` on an axis, those of the whole nation instead."""
+    low = text.lower()
+    wanted = list(dict.fromkeys(axis for word, axis in keywords.items() if word in low and axis in axes))[:most_axes] or list(axes)[:most_axes]
+    use = {a: axes[a] for a in wanted}
+    home = peers(areas, anchors, use, top_k, least, within_state=True).withColumn("scope", F.lit("state"))
+    wide = peers(areas, anchors, use, top_k, least).withColumn("scope", F.lit("nation"))
+    have = home.groupBy("anchor", "axis").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= enough).select("anchor", "axis")
+    return home.join(have, ["anchor", "axis"], "left_semi").unionByName(wide.join(have, ["anchor", "axis"], "left_anti"))
 
 
 def supplier_areas(spark, d) -> DataFrame:
     l = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("id")).agg(F.countDistinct("l_orderkey").alias("population"), F.sum("l_quantity").alias("quantity"), F.count(F.lit(1)).cast("double").alias("lines"), F.avg("l_extendedprice").alias("price"), F.avg("l_discount").alias("discount"))
-    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("nation"))
-    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("nation"), F.col("n_regionkey").alias("region"))
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("state"))
+    # nations of one region and of even or odd number stand for a division
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("state"), (F.col("n_regionkey") * 2 + F.col("n_nationkey") % 2).alias("division"), F.col("n_regionkey").alias("region"))
     names = AXES["all"]
     # quantities ending in 7 are left out, so that features differ between areas
     m = F.map_filter(F.map_from_arrays(F.array(*[F.lit(x) for x in names]), F.array(F.when(F.pmod(F.col("id"), F.lit(7)) != 3, F.col("quantity")), "lines", "price", "discount")), lambda k, v: v.isNotNull())
-    return s.join(n, "nation").join(l, "id").select("id", "nation", "region", "population", m.alias("features"))
+    return s.join(n, "state").join(l, "id").select("id", "state", "division", "region", "population", m.alias("features"))
 
 
 def peer_axes(spark, d):
     a = supplier_areas(spark, d)
-    return peers(a, a.where("id % 20 = 0"), AXES, 10)
+    return peers(a, a.where("id % 20 = 0"), AXES, 10, least=2).select("anchor", "axis", "id", "rank", "distance", "n_features")
 
 
 def peer_rank(spark, d):
     a = supplier_areas(spark, d)
-    return peers(a, a.where("id % 20 = 0"), {"all": AXES["all"]}, 5).select("anchor", "id", "rank", "distance")
+    return peers(a, a.where("id % 20 = 0"), {"all": AXES["all"]}, 5).select("anchor", "id", "rank", "distance", "tier", "close")
+
+
+def peer_scopes(spark, d):
+    """Peers on the axes that a question speaks of, within the state or, where these are too few, nationwide."""
+    a = supplier_areas(spark, d)
+    c = peer_context(a, a.where("id % 20 = 0"), AXES, "How do prices compare?", {"price": "price", "volume": "volume"}, 3, least=2)
+    return c.select("anchor", "axis", "id", "rank", "distance", "scope")
 
 
 def feature_stats(spark, d):
@@ -71,17 +130,27 @@ def feature_stats(spark, d):
 
 
 _AREAS = """WITH l AS (SELECT l_suppkey AS id, count(DISTINCT l_orderkey) AS population, sum(l_quantity) AS quantity, count(*)::DOUBLE AS lines, avg(l_extendedprice) AS price, avg(l_discount) AS discount FROM lineitem GROUP BY 1),
-a AS (SELECT s_suppkey AS id, s_nationkey AS nation, n_regionkey AS region, population, CASE WHEN s_suppkey % 7 <> 3 THEN quantity END AS quantity, lines, price, discount FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN l ON l.id = s_suppkey),
+a AS (SELECT s_suppkey AS id, s_nationkey AS state, n_regionkey * 2 + n_nationkey % 2 AS division, n_regionkey AS region, population, CASE WHEN s_suppkey % 7 <> 3 THEN quantity END AS quantity, lines, price, discount FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN l ON l.id = s_suppkey),
 f AS (UNPIVOT a ON quantity, lines, price, discount INTO NAME feature VALUE x)
 """
-_PEERS = _AREAS + """, p AS (SELECT b.id AS anchor, f.id, f.feature, (f.x - b.x) / CASE WHEN f.sd > 0 THEN f.sd ELSE 1 END AS z, CASE WHEN f.nation = b.nation THEN 0.75 WHEN f.region = b.region THEN 0.88 ELSE 1.0 END * CASE WHEN f.population / b.population >= 1.25 THEN 0.95 WHEN f.population / b.population >= 0.8 THEN 1.0 ELSE 1.03 END AS m
-  FROM (SELECT o.id AS anchor, x.*, stddev_pop(x.x) OVER (PARTITION BY o.id, x.feature) AS sd FROM a o JOIN f x ON x.id <> o.id AND x.population BETWEEN o.population * 0.5 AND o.population * 2.0 WHERE o.id % 20 = 0) f JOIN f b ON b.id = f.anchor AND b.feature = f.feature),
-x(axis, feature) AS (VALUES ('volume', 'quantity'), ('volume', 'lines'), ('price', 'price'), ('price', 'discount'), ('all', 'quantity'), ('all', 'lines'), ('all', 'price'), ('all', 'discount')),
-g AS (SELECT anchor, axis, id, round(sqrt(avg(z * z)) * m, 6) AS distance, count(*) AS n_features FROM p JOIN x USING (feature) GROUP BY anchor, axis, id, m HAVING count(*) >= 2)
+_BAND = "CASE " + " ".join(f"WHEN o.population < {hi} THEN x.population BETWEEN {lo} AND {hi}" for lo, hi in SIZE_BANDS) + f" ELSE x.population BETWEEN {SIZE_BANDS[-1][0]} AND {SIZE_BANDS[-1][1]} END"
+
+
+def _peers_sql(name: str, where: str, least: int) -> str:
+    return f""", p{name} AS (SELECT b.id AS anchor, f.id, f.feature, (f.x - b.x) / CASE WHEN f.sd > 0 THEN f.sd ELSE 1 END AS z, CASE WHEN f.state = b.state THEN 'same_state' WHEN f.division = b.division THEN 'same_division' WHEN f.region = b.region THEN 'same_region' ELSE 'nationwide' END AS tier,
+  CASE WHEN f.state = b.state THEN 0.75 WHEN f.division = b.division THEN 0.88 WHEN f.region = b.region THEN 0.94 ELSE 1.0 END * CASE WHEN f.population / b.population >= 1.25 THEN 0.95 WHEN f.population / b.population >= 0.8 THEN 1.0 ELSE 1.03 END AS m
+  FROM (SELECT o.id AS anchor, x.*, stddev_pop(x.x) OVER (PARTITION BY o.id, x.feature) AS sd FROM a o JOIN f x ON x.id <> o.id AND {_BAND} {where} WHERE o.id % 20 = 0) f JOIN f b ON b.id = f.anchor AND b.feature = f.feature),
+g{name} AS (SELECT anchor, axis, id, tier, round(sqrt(avg(z * z)) * m, 6) AS distance, count(*) AS n_features, array_to_string(list_transform(list_filter(list_sort(list({{'gap': abs(z), 'feature': feature}}))[1:2], lambda y: y.gap < 1), lambda y: y.feature), ',') AS close FROM p{name} JOIN ax USING (feature) GROUP BY anchor, axis, id, tier, m HAVING count(*) >= {least})
 """
-QUERIES = {f.__name__: f for f in (peer_axes, peer_rank, feature_stats)}
+
+
+_AXES_SQL = ", ax(axis, feature) AS (VALUES " + ", ".join(f"('{a}', '{f}')" for a, fs in AXES.items() for f in fs) + ")\n"
+QUERIES = {f.__name__: f for f in (peer_axes, peer_rank, peer_scopes, feature_stats)}
 SQL = {
-    "peer_axes": _PEERS + "SELECT anchor, axis, id, (row_number() OVER (PARTITION BY anchor, axis ORDER BY distance, id))::INT AS rank, distance, n_features FROM g QUALIFY rank <= 10",
-    "peer_rank": _PEERS + "SELECT anchor, id, (row_number() OVER (PARTITION BY anchor ORDER BY distance, id))::INT AS rank, distance FROM g WHERE axis = 'all' QUALIFY rank <= 5",
+    "peer_axes": _AREAS + _AXES_SQL + _peers_sql("", "", 2) + "SELECT anchor, axis, id, (row_number() OVER (PARTITION BY anchor, axis ORDER BY distance, id))::INT AS rank, distance, n_features FROM g QUALIFY rank <= 10",
+    "peer_rank": _AREAS + _AXES_SQL + _peers_sql("", "", 3) + "SELECT anchor, id, (row_number() OVER (PARTITION BY anchor ORDER BY distance, id))::INT AS rank, distance, tier, close FROM g WHERE axis = 'all' QUALIFY rank <= 5",
+    "peer_scopes": _AREAS + _AXES_SQL + _peers_sql("", "", 2) + _peers_sql("h", "AND x.state = o.state", 2) + """, r AS (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY distance, id)::INT AS rank, 'nation' AS scope FROM g WHERE axis = 'price' QUALIFY rank <= 3),
+rh AS (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY distance, id)::INT AS rank, 'state' AS scope FROM gh WHERE axis = 'price' QUALIFY rank <= 3), e AS (SELECT anchor FROM rh GROUP BY 1 HAVING count(*) >= 2)
+SELECT anchor, axis, id, rank, distance, scope FROM rh WHERE anchor IN (SELECT anchor FROM e) UNION ALL SELECT anchor, axis, id, rank, distance, scope FROM r WHERE anchor NOT IN (SELECT anchor FROM e)""",
     "feature_stats": _AREAS + "SELECT feature, round(avg(x), 4) AS mean, round(CASE WHEN stddev_pop(x) > 0 THEN stddev_pop(x) ELSE 1 END, 4) AS deviation, count(*) AS n FROM f GROUP BY 1",
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -10,14 +11,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..runtime import table
+from ..runtime import partitions, table
 from .metadata import tid
 
 K1, B = 1.2, 0.75
 ACCEPT_BELOW = -3.0  # a BM25 score (lower is better) above this is no match
-QUERY_BLOCK = 4096
+QUERY_BLOCK, VECTOR_BLOCK = 4096, 65_536
 QUERIES_AT_ONCE = 256
 SCORE_FLOOR = 0.05
+UNIVERSE_FLOOR = 0.30
+#: Marks of labels that hold for a part of the population only, and of leaves of a breakdown (fixed values).
+SUBGROUP_MARKS = ("race and hispanic", "hispanic or latino", "disability status", "sex", " by age ", "age of householder", "nativity", "citizenship", "country of birth", "language spoken", "limited english", "household type", "family type", "educational attainment", "school enrollment", "nativity and citizenship", "white alone", "black alone", "asian alone", "hispanic", "white non-hispanic", "non-hispanic white", "black or african american alone", "native hawaiian", "american indian", "two or more races", "some other race alone", "non-hispanic", "latino", "non-latino", "with a disability", "without a disability", "with any disability", "foreign born", "foreign-born", "native born", "native-born", "limited english speaking")
+LEAF_MARKS = ("18 to 19", "20 to 24", "25 to 29", "30 to 34", "35 to 39", "40 to 44", "45 to 54", "55 to 59", "60 to 61", "62 to 64", "65 to 66", "67 to 69", "70 to 74", "75 years and over", "75 to 84", "85 years", "under 5", "under 18", "under 6", "5 to 9", "5 to 17", "10 to 14", "15 to 17", "!!male:!!", "!!female:!!", "with own children under 18", "with related children", "less than 9th grade", "9th to 12th grade")
 #: Share of its score that a table keeps by the family its id begins with (the longest prefix counts, 1 for others), by an
 #: ending PR, and by the letter of a single race (fixed values).
 FAMILIES = {"B": 1.0, "C": 0.90, "S": 0.60, "DP": 0.20, "CP": 0.20, "K": 0.40}
@@ -47,7 +52,11 @@ def bm25(index: DataFrame, n_docs: DataFrame, queries: list[tuple[str, str]]) ->
         words = [w for w in "".join(c.lower() if c.isalnum() else " " for c in text).split()]
         asked += [(q, i, w, i == len(words) - 1, len(words)) for i, w in enumerate(words)]
     a = spark.createDataFrame(asked, "q string, i int, w string, is_prefix boolean, n_words int")
-    hit = index.join(F.broadcast(a), F.when(F.col("is_prefix"), F.col("term").startswith(F.col("w"))).otherwise(F.col("term") == F.col("w")))
+    # a prefix meets the terms with the same first letters, as many as the shortest prefix has: equality in any case
+    head = min((len(w) for _, _, w, p, _ in asked if p), default=1)
+    whole = index.join(a.where("NOT is_prefix"), F.col("term") == F.col("w"))
+    begun = index.withColumn("head", F.substring("term", 1, head)).join(a.where("is_prefix").withColumn("head", F.substring("w", 1, head)), "head").where(F.col("term").startswith(F.col("w"))).drop("head")
+    hit = whole.unionByName(begun)
     phrase = hit.groupBy("q", "i", "n_words", "doc", "dl").agg(F.sum("tf").alias("tf"))
     df = phrase.groupBy("q", "i").agg(F.count(F.lit(1)).alias("df"))
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
@@ -59,50 +68,60 @@ def bm25(index: DataFrame, n_docs: DataFrame, queries: list[tuple[str, str]]) ->
 def exact_nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """q, id, cosine, rank: the k most similar vectors for each of a stated set of queries (an id never finds itself).
 
-    ``queries`` and ``vectors``: id, v (array).  Queries go out in blocks of QUERY_BLOCK; each batch of vectors keeps its
-    k best per query and their ties, so what is shuffled is some k rows a query and batch.  Vectors
-    of each length are compared among themselves; null and all-zero vectors take no part.
+    ``queries`` and ``vectors``: id, v (array).  Nothing is collected: both sides are cut into blocks of at most about
+    QUERY_BLOCK and VECTOR_BLOCK rows of one length, each query block meets each vector block of its length in one task,
+    and there each query keeps its k best and their ties.  Null, empty and all-zero vectors take no part.
     """
-    out = None
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    for b in range(blocks):
-        rows = [(r["id"], r["v"]) for r in queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).collect() if r["v"] and any(r["v"])]
-        if not rows and out is not None:
-            continue
-        by_length = {}
-        for dim in sorted({len(v) for _, v in rows}):
-            own = [r for r in rows if len(r[1]) == dim]
-            by_length[dim] = (np.array([r[0] for r in own], dtype=np.int64), np.array([r[1] for r in own], dtype=np.float64))
-        shared = vectors.sparkSession.sparkContext.broadcast(by_length)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            unit = {dim: (qid, q / np.sqrt((q * q).sum(axis=1, keepdims=True))) for dim, (qid, q) in shared.value.items()}
-            for batch in batches:
-                col = batch.column(1)
-                lengths = col.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-                for dim, (qid, q) in unit.items():
-                    use = np.nonzero(lengths == dim)[0]
-                    if not len(use):
-                        continue
-                    x = col.take(pa.array(use)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(use), dim)
-                    norm = np.sqrt((x * x).sum(axis=1))
-                    ok = norm > 0
-                    ids, x = batch.column(0).to_numpy(zero_copy_only=False)[use][ok], x[ok] / norm[ok][:, None]
-                    if not len(ids):
-                        continue
-                    for lo in range(0, len(q), QUERIES_AT_ONCE):
-                        part_id = qid[lo : lo + QUERIES_AT_ONCE]
-                        s = q[lo : lo + QUERIES_AT_ONCE] @ x.T
-                        s[part_id[:, None] == ids[None]] = -2
-                        # whatever ties with the last of the k, as cosines are compared, stays
-                        last = np.partition(s, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(s), -2.0)
-                        at, top = np.nonzero((s >= last[:, None] - 2e-9) & (s > -2))
-                        yield pa.RecordBatch.from_arrays([pa.array(part_id[at]), pa.array(ids[top]), pa.array(s[at, top])], names=["q", "id", "cosine"])
-
-        part = vectors.select(F.col("id").cast("bigint"), F.col("v").cast("array<double>")).mapInArrow(run, "q bigint, id bigint, cosine double")
-        out = part if out is None else out.unionByName(part)
+    spark = vectors.sparkSession
+
+    def usable(df: DataFrame) -> DataFrame:
+        v = df.select(F.col("id").cast("bigint").alias("id"), F.col("v").cast("array<double>").alias("v"))
+        return v.where(F.exists("v", lambda x: x != 0)).withColumn("dim", F.size("v"))
+
+    q, x = usable(queries), usable(vectors)
+    sizes = q.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).join(x.groupBy("dim").agg(F.count(F.lit(1)).alias("m")), "dim").collect()
+    if not sizes:
+        return spark.createDataFrame([], "q bigint, id bigint, cosine double, rank int")
+    plan = [(r["dim"], -(-r["n"] // QUERY_BLOCK), -(-r["m"] // VECTOR_BLOCK)) for r in sizes]  # a row for each length
+    cut = spark.createDataFrame(plan, "dim int, qs int, xs int")
+    spread = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    left = q.join(F.broadcast(cut), "dim").select("dim", spread("qs").alias("qb"), F.explode(F.sequence(F.lit(0), F.col("xs") - 1)).alias("xb"), F.lit(0).alias("side"), "id", "v")
+    right = x.join(F.broadcast(cut), "dim").select("dim", F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("qb"), spread("xs").alias("xb"), F.lit(1).alias("side"), "id", "v")
+    tasks = min(4 * partitions(spark), sum(a * b for _, a, b in plan))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, qid, unit = None, [], []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(4)], axis=1)
+            cuts = np.append(np.concatenate([[0], np.nonzero((key[1:] != key[:-1]).any(axis=1))[0] + 1]), b.num_rows)
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if tuple(key[lo, :3]) != now:
+                    now, qid, unit = tuple(key[lo, :3]), [], []
+                part = b.slice(lo, hi - lo)
+                ids = part.column(4).to_numpy(zero_copy_only=False)
+                v = part.column(5).flatten().fill_null(np.nan).to_numpy(zero_copy_only=False).reshape(hi - lo, int(key[lo, 0]))
+                norm = np.sqrt((v * v).sum(axis=1))
+                ok = norm > 0
+                ids, v = ids[ok], v[ok] / norm[ok][:, None]
+                if key[lo, 3] == 0:
+                    qid.append(ids)
+                    unit.append(v)
+                    continue
+                own, u = (np.concatenate(qid), np.concatenate(unit)) if qid else (ids[:0], v[:0])
+                for at in range(0, len(own) if len(ids) else 0, QUERIES_AT_ONCE):
+                    part_id = own[at : at + QUERIES_AT_ONCE]
+                    s = u[at : at + QUERIES_AT_ONCE] @ v.T
+                    s[part_id[:, None] == ids[None]] = -2
+                    # whatever ties with the last of the k, as cosines are compared, stays
+                    last = np.partition(s, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(s), -2.0)
+                    i, j = np.nonzero((s >= last[:, None] - 2e-9) & (s > -2))
+                    yield pa.RecordBatch.from_arrays([pa.array(part_id[i]), pa.array(ids[j]), pa.array(s[i, j])], names=["q", "id", "cosine"])
+
+    met = left.unionByName(right).repartition(tasks, "dim", "qb", "xb").sortWithinPartitions("dim", "qb", "xb", "side")
     w = W.partitionBy("q").orderBy(F.round("cosine", 9).desc(), "id")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return met.mapInArrow(run, "q bigint, id bigint, cosine double").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def family_weight(table_id: Column) -> Column:
@@ -198,14 +217,42 @@ def routed_top(spark, d):
     return _routed(spark, d).withColumn("rank", F.row_number().over(w)).where("rank <= 5").where(F.col("score") >= SCORE_FLOOR).select("q", "table_id", F.round("score", 5).alias("score"), "rank")
 
 
-def universe_pick(spark, d):
-    """A second look at the two best tables: prior from the score, similarity floored, times the family share."""
-    t = routed_top(spark, d).where("rank <= 2")
+def picked(near: DataFrame, top: DataFrame, cards: DataFrame, vectors: DataFrame, asked: DataFrame) -> DataFrame:
+    """q, table_id, variable_id, pick_score: the best variable of the two tables that stand a second look.
+
+    ``near``: q, table_id, cosine of each hit; ``top``: q, table_id, score.  A table's score is its prior (score up to 10, as a
+    share) times the likeness of its universe (the best hit; UNIVERSE_FLOOR where it has none) times its family's share.
+    A variable's is the cosine of its card with the query, times the penalties of its label and the bonus of a total,
+    times one and the table's score.  ``asked``: id, v of the queries; ``vectors``: rowid, v of the cards.
+    """
+    u = near.groupBy("q", "table_id").agg(F.max("cosine").alias("u"))
     prior = F.least(F.col("score"), F.lit(10.0)) / 10
-    s = F.round(prior * F.greatest(F.lit(0.30), F.col("score") / 30) * family_weight(F.col("table_id")), 6)
-    best = t.select("q", "table_id", s.alias("pick_score"))
-    w = W.partitionBy("q").orderBy(F.desc("pick_score"), "table_id")
-    return best.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+    t = top.join(u, ["q", "table_id"], "left").withColumn("table_score", prior * F.coalesce(F.greatest("u", F.lit(0.0)), F.lit(UNIVERSE_FLOOR)) * family_weight(F.col("table_id")))
+    w = W.partitionBy("q").orderBy(F.round("table_score", 9).desc(), "table_id")
+    t = t.withColumn("rn", F.row_number().over(w)).where("rn <= 2 AND table_score > 0").select("q", "table_id", "table_score", "rn")
+    c = cards.where("trim(target_variable_id) <> ''").select("rowid", tid("target_table_id").alias("table_id"), F.upper(F.trim("target_variable_id")).alias("variable_id"), F.lower("text").alias("label"), "is_total")
+    j = t.join(c, "table_id").join(vectors, "rowid").join(asked.select(F.col("id").alias("q"), F.col("v").alias("qv")), "q").where(F.size("v") == F.size("qv"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    cos = F.greatest(F.lit(0.0), dot("v", "qv") / F.sqrt(dot("v", "v") * dot("qv", "qv")))
+    narrow = reduce(lambda a, b: a | b, [F.col("label").contains(m) for m in SUBGROUP_MARKS])
+    leaf = reduce(lambda a, b: a | b, [F.col("label").contains(m) for m in LEAF_MARKS])
+    s = cos * F.when(narrow, 0.4).otherwise(1.0) * F.when(leaf, 0.3).otherwise(1.0) * F.when(F.col("is_total") == 1, 1.3).otherwise(1.0) * (1 + F.col("table_score"))
+    w = W.partitionBy("q").orderBy(F.desc("pick_score"), "rn", "variable_id")
+    return j.withColumn("pick_score", F.round(s, 5)).withColumn("k", F.row_number().over(w)).where("k = 1").select("q", "table_id", "variable_id", "pick_score")
+
+
+def universe_pick(spark, d):
+    """For each query the variable picked among those of its two best tables."""
+    u = table(spark, d, "universe_embeddings").where("embedding IS NOT NULL")
+    e = u.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    cards = table(spark, d, "cards")
+    near = exact_nearest(e.where("id % 20 = 0"), e, 30).join(u.select(F.col("vec_id").alias("id"), F.col("card_rowid").alias("rowid")), "id")
+    near = near.join(cards.select("rowid", tid("target_table_id").alias("table_id")).where("table_id <> ''"), "rowid").select("q", "table_id", "cosine")
+    top = _routed(spark, d)
+    w = W.partitionBy("q").orderBy(F.round("score", 9).desc(), "table_id")
+    top = top.withColumn("rank", F.row_number().over(w)).where("rank <= 5").where(F.col("score") >= SCORE_FLOOR).select("q", "table_id", "score")
+    v = u.where(F.exists("embedding", lambda x: x != 0)).select(F.col("card_rowid").alias("rowid"), F.col("embedding").alias("v"))
+    return picked(near, top, cards, v, e.where("id % 20 = 0"))
 
 
 def similarity_margin(spark, d):
@@ -232,6 +279,12 @@ t AS (SELECT q, table_id, s * {_FAM} AS score, n_pos, n_neg, best_card, card_typ
 _TOP = _ROUTED + ", top AS (SELECT q, table_id, score, (row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, table_id))::INT AS rank FROM t), five AS (SELECT q, table_id, round(score, 5) AS score, rank FROM top WHERE rank <= 5 AND score >= 0.05)\n"
 _TOK = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
 _ASKED = ", ".join(f"('{q}', {i}, '{w}', {str(i == len(t.split()) - 1).lower()}, {len(t.split())})" for q, t in SEARCHES for i, w in enumerate(t.split()))
+
+
+def _marks(marks: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains(label, '{m}')" for m in marks) + ")"
+
+
 QUERIES = {f.__name__: f for f in (bm25_search, prefix_match, keyword_gate, longest_trigger, vector_knn, target_aggregate, routed_top, universe_pick, similarity_margin, family_bias)}
 SQL = {
     "bm25_search": f"""WITH d AS (SELECT table_id || '|' || dataset || '|' || year AS doc, max(concat_ws(' ', title, description, use_when)) AS text FROM stat_tables GROUP BY 1),
@@ -246,7 +299,13 @@ SELECT q, doc, round(score, 6) AS score, (row_number() OVER (PARTITION BY q ORDE
     "vector_knn": _KNN.format(t="embeddings", m=20, k=10) + "SELECT q, id, round(cosine, 5) AS cosine, rank FROM k",
     "target_aggregate": _ROUTED + "SELECT q, table_id, round(score, 5) AS score, n_pos, n_neg, best_card, card_types, years FROM t",
     "routed_top": _TOP + "SELECT * FROM five",
-    "universe_pick": _TOP + f"SELECT q, table_id, round(least(score, 10) / 10 * greatest(0.3, score / 30) * {_FAM}, 6) AS pick_score FROM five WHERE rank <= 2 QUALIFY row_number() OVER (PARTITION BY q ORDER BY pick_score DESC, table_id) = 1",
+    "universe_pick": _TOP + f""", un AS (SELECT q, table_id, max(cosine) AS u FROM h GROUP BY 1, 2),
+ts AS (SELECT top.q, top.table_id, least(top.score, 10) / 10 * coalesce(greatest(u, 0), 0.3) * {_FAM.replace('table_id', 'top.table_id')} AS table_score FROM top JOIN un ON un.q = top.q AND un.table_id = top.table_id WHERE top.rank <= 5 AND top.score >= 0.05),
+kept AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(table_score, 9) DESC, table_id) AS rn FROM ts QUALIFY rn <= 2),
+vc AS (SELECT c."rowid" AS r, upper(trim(target_table_id)) AS table_id, upper(trim(target_variable_id)) AS variable_id, lower(text) AS label, is_total, e.embedding::DOUBLE[] AS v FROM cards c JOIN universe_embeddings e ON e.card_rowid = c."rowid" WHERE trim(target_variable_id) <> '' AND list_sum(list_transform(e.embedding::DOUBLE[], lambda x: abs(x))) > 0),
+sc AS (SELECT kept.q, kept.table_id, variable_id, rn, round(greatest(0, list_cosine_similarity(v, a.embedding::DOUBLE[])) * CASE WHEN {_marks(SUBGROUP_MARKS)} THEN 0.4 ELSE 1 END * CASE WHEN {_marks(LEAF_MARKS)} THEN 0.3 ELSE 1 END * CASE WHEN is_total = 1 THEN 1.3 ELSE 1 END * (1 + table_score), 5)::DOUBLE AS pick_score
+  FROM kept JOIN vc ON vc.table_id = kept.table_id JOIN universe_embeddings a ON a.vec_id = kept.q WHERE table_score > 0 AND len(v) = len(a.embedding))
+SELECT q, table_id, variable_id, pick_score FROM sc QUALIFY row_number() OVER (PARTITION BY q ORDER BY pick_score DESC, rn, variable_id) = 1""",
     "similarity_margin": _KNN.format(t="embeddings", m=20, k=10) + ", r AS (SELECT q, id, rank, round(cosine, 5) AS c FROM k) SELECT a.q, a.id, round(least(1.0, 0.7 + 0.3 * least(1.0, (a.c - b.c) / 0.25)), 4) AS confidence FROM r a JOIN r b ON a.q = b.q AND a.rank = 1 AND b.rank = 2",
     "family_bias": f"SELECT DISTINCT table_id, round({_FAM}, 6) AS weight FROM stat_tables",
 }

@@ -20,13 +20,15 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-_WRITTEN: list[str] = []
+_WRITTEN: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; only where that is unset (tests, a local run), a temporary folder."""
+    """``spark.checkpoint.dir`` of the session; only where that is unset and all runs in one process (tests), a temporary folder."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if shared is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="civlake-")
         spark.sparkContext.setCheckpointDir(shared)
     return shared
@@ -37,7 +39,7 @@ def scratch(spark: SparkSession, name: str = "table") -> str:
     path = f"{shared_folder(spark).rstrip('/')}/civlake-{name}-{uuid.uuid4().hex}"
     if not _WRITTEN:
         atexit.register(_remove_written, spark)
-    _WRITTEN.append(path)
+    _WRITTEN.add(path)
     return path
 
 
@@ -49,15 +51,27 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, path: str) -> None:
+    """Remove a scratch table; a session that has ended has nothing left to remove it with."""
+    if path in _WRITTEN and spark.sparkContext._jsc is not None:
+        _WRITTEN.discard(path)
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def _remove_written(spark: SparkSession) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        for p in _WRITTEN:
-            path = jvm.org.apache.hadoop.fs.Path(p)
-            path.getFileSystem(conf).delete(path, True)
-    except Exception:  # the session may be gone already
-        pass
+    for path in list(_WRITTEN):
+        try:
+            release(spark, path)
+        except Exception as e:  # the gateway may have ended before this process does
+            print(f"scratch table {path} stays: {type(e).__name__}")
+            return
+
+
+def release_all(spark: SparkSession) -> None:
+    """Remove all scratch tables; for long sessions, once the results made from them are written or no longer needed."""
+    for path in list(_WRITTEN):
+        release(spark, path)
 
 
 def blank_to_null(c: Column) -> Column:

@@ -173,13 +173,19 @@ def test_search_scores_and_nearest(spark):
 
 
 def test_peers_leave_the_anchor_out(spark):
-    rows = [(i, i % 2, 0, 100 if i < 6 else 1000, {"a": float(i), "b": float(i * i)}) for i in range(8)]
-    df = spark.createDataFrame(rows, "id bigint, nation int, region int, population bigint, features map<string,double>")
-    got = peers.peers(df, df.where("id = 2"), {"ab": ["a", "b"]}, 3).collect()
+    rows = [(i, i % 2, 0, 0, 100 if i < 6 else 90_000, {"a": float(i), "b": float(i * i)}) for i in range(8)]
+    df = spark.createDataFrame(rows, "id bigint, state int, division int, region int, population bigint, features map<string,double>")
+    got = peers.peers(df, df.where("id = 2"), {"ab": ["a", "b"]}, 3, least=2).collect()
     assert [r.rank for r in got] == [1, 2, 3] and 2 not in {r.id for r in got} and all(r.id < 6 for r in got)
-    again = peers.peers(df.orderBy(F.desc("id")), df.where("id = 2"), {"ab": ["a", "b"]}, 3).collect()
+    again = peers.peers(df.orderBy(F.desc("id")), df.where("id = 2"), {"ab": ["a", "b"]}, 3, least=2).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, again))
-    assert peers.peers(df, df.where("id = 2"), {"ab": ["a"]}, 3).count() == 0
+    assert peers.peers(df, df.where("id = 2"), {"ab": ["a", "b"]}, 3).count() == 0
+    own = peers.peers(df, df.where("id = 2"), {"ab": ["a", "b"]}, 5, least=2, within_state=True).collect()
+    assert {r.id for r in own} == {0, 4} and {r.tier for r in own} == {"same_state"}
+    made = peers.synthetic_anchor(spark, "west", 100, {"a": 2.0}, {"a", "b"}).withColumn("state", F.lit(None).cast("int")).withColumn("division", F.lit(None).cast("int")).withColumn("region", F.lit(None).cast("int"))
+    assert {r.tier for r in peers.peers(df.withColumn("id", F.col("id").cast("string")), made, {"a": ["a"]}, 3, least=1).collect()} == {"nationwide"}
+    with pytest.raises(ValueError):
+        peers.synthetic_anchor(spark, "x", 1, {"zz": 1.0}, {"a"})
 
 
 def test_geometry():

@@ -8,8 +8,8 @@ def test_routed_queries(spark, tmp_path):
     rng = np.random.default_rng(4)
     v = [(i, i, rng.normal(size=4).tolist()) for i in range(200)]
     spark.createDataFrame(v, "vec_id bigint, card_rowid bigint, embedding array<float>").write.parquet(f"{d}/universe_embeddings.parquet")
-    cards = [(i, f"B{i % 3:05d}", 1.0, "positive", "topic", 2020) for i in range(200)]
-    spark.createDataFrame(cards, "rowid bigint, target_table_id string, weight double, polarity string, card_type string, target_year int").write.parquet(f"{d}/cards.parquet")
+    cards = [(i, f"B{i % 3:05d}", 1.0, "positive", "topic", 2020, f"V{i}", "homes by sex" if i % 2 else "all homes", i % 5 == 0) for i in range(200)]
+    spark.createDataFrame([(*c[:8], int(c[8])) for c in cards], "rowid bigint, target_table_id string, weight double, polarity string, card_type string, target_year int, target_variable_id string, text string, is_total int").write.parquet(f"{d}/cards.parquet")
     wanted = set(range(0, 200, 20))
     x = np.array([r[2] for r in v], dtype=np.float32).astype(float)
     x /= np.linalg.norm(x, axis=1)[:, None]
@@ -22,6 +22,15 @@ def test_routed_queries(spark, tmp_path):
             brute[q, f"B{i % 3:05d}"] = brute.get((q, f"B{i % 3:05d}"), 0) + max(0, s[i])
     assert got.keys() == brute.keys() and all(abs(got[k] - brute[k]) < 1e-4 for k in brute)
     assert {r.q for r in search.routed_top(spark, d).collect()} == wanted == {r.q for r in search.universe_pick(spark, d).collect()}
+    # the query's own card is the likest, unless a mark or a total decides otherwise
+    pick = {r.q: r.variable_id for r in search.universe_pick(spark, d).collect()}
+    assert sum(pick[q] == f"V{q}" for q in wanted) >= 5
+
+
+def test_family_shares(spark):
+    t = spark.createDataFrame([(x,) for x in ("B19013", "B19013A", "B19013PR", "S0701I", "DP02", "CP05", "C17002", "K200", "X1", "B1900123A")], "table_id string")
+    got = {r[0]: round(r[1], 6) for r in t.select("table_id", search.family_weight(t.table_id)).collect()}
+    assert got == {"B19013": 1.0, "B19013A": 0.3, "B19013PR": 0.0, "S0701I": 0.18, "DP02": 0.2, "CP05": 0.2, "C17002": 0.9, "K200": 0.4, "X1": 1.0, "B1900123A": 1.0}
 
 
 def test_nearest_among_mixed_lengths(spark):
