@@ -7,13 +7,16 @@ and where there are as many as a leaked passage must leave, the slots are compar
 item's own is a leak, verified letter by letter in every alignment that a window of the diagonal gives.  A second template, over words, also types names; it finds questions
 that were re-parameterised, whose slots were all exchanged consistently.
 
-The items are a bounded table; they are held in blocks of at most ITEM_BLOCK, each joined with all documents.
+Items of up to ``ITEM_BYTES`` of text are indexed in each worker, once, and joined with the documents where these are.  More
+items are joined by shuffle: the windows of both sides are hashed, those of the documents that a Bloom filter of the items'
+windows rules out stay where they are, the others meet by hash, and the pairs that met are verified with their texts.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -21,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import table
+from ..runtime import durable, salted_join, table
 
 WORDS = 13
 GRAM = 24  # template characters in a hashed window
 STRIDE = 4  # every so many an item's windows are indexed; a document's are all looked up
-ITEM_BLOCK = 20_000
+ITEM_BYTES = 64 << 20
+#: Bits of the filter of the items' windows.
+FILTER_BITS = 1 << 27
 UNITS = (b"percentage", b"percent", b"dollars", b"miles", b"minutes", b"points")
 _OTHER = bytes(c for c in range(256) if not (48 <= c <= 57 or 97 <= c <= 122))
 _DIGITS = re.compile(rb"[0-9]+")
@@ -81,6 +86,7 @@ class Items:
         self.words = words
         self.ids, self.raw, self.at, self.starts, self.ends, self.need = [], [], [], [], [], []
         self.short: list[tuple[bytes, int]] = []
+        self._automaton = None
         hashes, owner, place = [], [], []
         for i, t in zip(ids, texts, strict=True):
             parts = [p for p in (stream(w) for w in (t or "").split()) if p]
@@ -174,12 +180,43 @@ class Items:
                         k = int(who[g])
                         if (r, k) not in found and self.verified(k, raws[r], int(on_doc[g]), int(on_item[g])):
                             found.add((r, k))
-        for passage, k in self.short:
+        if self.short:
+            automaton = self.automaton()
             for r, raw in enumerate(raws):
-                if (r, k) not in found and passage in raw:
-                    found.add((r, k))
+                for _, owners in automaton.iter(raw.decode("ascii")):
+                    found.update((r, k) for k in owners)
         return sorted(found)
 
+    def automaton(self):
+        """Finds all short passages in one pass over a text."""
+        if self._automaton is None:
+            import ahocorasick
+
+            owners: dict[str, set[int]] = {}
+            for passage, k in self.short:
+                owners.setdefault(passage.decode("ascii"), set()).add(k)
+            self._automaton = ahocorasick.Automaton()
+            for passage, who in owners.items():
+                self._automaton.add_word(passage, tuple(who))
+            self._automaton.make_automaton()
+        return self._automaton
+
+
+_KEPT: dict[str, object] = {}
+
+
+def kept(token: str, make: Callable[[], object]) -> object:
+    """What ``make`` gives, made once in a worker for the token; the last one is kept."""
+    if token not in _KEPT:
+        _KEPT.clear()
+        _KEPT[token] = make()
+    return _KEPT[token]
+
+
+def _blocks_of(items: DataFrame) -> int:
+    """In how many blocks of about ITEM_BYTES the items can be held."""
+    return max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // max(1, ITEM_BYTES)))
+
 
 def leaked_items(docs: DataFrame, items: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, item_id of every document that contains at least ``words`` consecutive words of the item.
@@ -188,31 +225,96 @@ def leaked_items(docs: DataFrame, items: DataFrame, words: int = WORDS) -> DataF
     or digit do not count.  Items of fewer words leak never; null and empty texts contain nothing; a pair comes
     once, however often the row or the passage is repeated.
     """
-    items = items.select("item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL")
+    items = items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL")
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text <> ''")
-    blocks = max(1, -(-items.count() // ITEM_BLOCK))
-    out = []
-    for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        shared = docs.sparkSession.sparkContext.broadcast(([int(r["item_id"]) for r in rows], [r["text"] for r in rows]))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Items(*shared.value, words=words)
-            for batch in batches:
-                ids = batch.column(0).to_pylist()
-                raws = [stream(t) for t in batch.column(1).to_pylist()]
-                lo = 0
-                while lo < len(raws):
-                    hi, size = lo, 0
-                    while hi < len(raws) and (hi == lo or size + len(raws[hi]) < 4_000_000):
-                        size += len(raws[hi])
-                        hi += 1
-                    hits = index.find(raws[lo:hi])
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[lo + r] for r, _ in hits], pa.int64()), pa.array([index.ids[k] for _, k in hits], pa.int64())], names=["doc_id", "item_id"])
-                    lo = hi
-
-        out.append(docs.mapInArrow(run, "doc_id bigint, item_id bigint"))
-    return reduce(DataFrame.unionByName, out).distinct()
+    if _blocks_of(items) > 1:
+        return _joined_by_shuffle(docs, items, words)
+    rows = items.collect()  # of ITEM_BYTES at most
+    shared, token = docs.sparkSession.sparkContext.broadcast(([r["item_id"] for r in rows], [r["text"] for r in rows])), uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = kept(token, lambda: Items(*shared.value, words=words))
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            raws = [stream(t) for t in batch.column(1).to_pylist()]
+            lo = 0
+            while lo < len(raws):
+                hi, size = lo, 0
+                while hi < len(raws) and (hi == lo or size + len(raws[hi]) < 4_000_000):
+                    size += len(raws[hi])
+                    hi += 1
+                hits = index.find(raws[lo:hi])
+                yield pa.RecordBatch.from_arrays([pa.array([ids[lo + r] for r, _ in hits], pa.int64()), pa.array([index.ids[k] for _, k in hits], pa.int64())], names=["doc_id", "item_id"])
+                lo = hi
+
+    return docs.mapInArrow(run, "doc_id bigint, item_id bigint").distinct()
+
+
+_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+_BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
+
+
+def length_hashes(data: bytes, length: int) -> np.ndarray:
+    """A 64-bit hash of each window of ``length`` bytes, of any length (sums of powers, brought to a common start)."""
+    n = len(data) - length + 1
+    if n <= 0:
+        return np.empty(0, dtype=np.uint64)
+    power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(data) - 1, _BASE)]))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum((np.frombuffer(data, dtype=np.uint8).astype(np.uint64) + np.uint64(1)) * power)])
+    back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, _BACK)]))
+    h = (sums[length:] - sums[:n]) * back
+    h ^= h >> np.uint64(31)
+    return h * _MULT[1] + np.uint64(length)
+
+
+def _joined_by_shuffle(docs: DataFrame, items: DataFrame, words: int) -> DataFrame:
+    """As ``leaked_items``; a short passage, which no window need lie in, is hashed whole, as are all windows of its length."""
+    spark = docs.sparkSession
+
+    def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            index = Items(b.column(0).to_pylist(), b.column(1).to_pylist(), words=words)
+            h, who, n = [index.h], [index.owner], [np.zeros(len(index.h), dtype=np.int32)]
+            for passage, k in index.short:
+                h.append(length_hashes(passage, len(passage)))
+                who.append(np.array([k]))
+                n.append(np.array([len(passage)], dtype=np.int32))
+            ids = np.array(index.ids, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64)), pa.array(ids[np.concatenate(who)] if len(ids) else np.empty(0, dtype=np.int64)), pa.array(np.concatenate(n))], names=["h", "item_id", "length"])
+
+    windows = durable(items.mapInArrow(of_items, "h bigint, item_id bigint, length int").distinct())
+    lengths = [r["length"] for r in windows.where("length > 0").select("length").distinct().collect()]  # of passages under a few windows long
+    at = F.col("h").bitwiseAND(F.lit(FILTER_BITS - 1))
+    bits = windows.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 AS INT))")).alias("b")).toPandas()
+    filled = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
+    filled[bits["w"].to_numpy(dtype=np.int64)] = bits["b"].to_numpy(dtype=np.int64).view(np.uint64)
+    shared = spark.sparkContext.broadcast(filled)
+
+    def of_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for b in batches:
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                raw = stream(t)
+                h = np.unique(np.concatenate([gram_hashes(template(raw)), *[length_hashes(raw, n) for n in lengths]]))
+                p = h & np.uint64(FILTER_BITS - 1)
+                h = h[(known[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1]
+                if len(h):
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), i))], names=["h", "doc_id"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        item, index = None, None
+        for b in batches:
+            hits: list[tuple[int, int]] = []
+            for i, own, d, t in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                if i != item:
+                    item, index = i, Items([i], [own], words=words)
+                if index.find([stream(t)]):
+                    hits.append((d, i))
+            yield pa.RecordBatch.from_arrays([pa.array([h[k] for h in hits], pa.int64()) for k in (0, 1)], names=["doc_id", "item_id"])
+
+    met = durable(salted_join(docs.mapInArrow(of_docs, "h bigint, doc_id bigint"), windows.select("h", "item_id"), "h", "doc_id", "inner").select("doc_id", "item_id").distinct())
+    pairs = met.join(items.withColumnRenamed("text", "item_text"), "item_id").join(docs, "doc_id").select("item_id", "item_text", "doc_id", "text")
+    return pairs.sortWithinPartitions("item_id").mapInArrow(verify, "doc_id bigint, item_id bigint").distinct()
 
 
 # Re-parameterised questions: templates over words, with names typed as well.
@@ -255,7 +357,7 @@ def reparameterised_items(docs: DataFrame, items: DataFrame, words: int = WORDS,
     document shares with the item under a consistent exchange of slots.  Literal passages are not counted."""
     items = items.select("item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL")
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text <> ''")
-    blocks = max(1, -(-items.count() // ITEM_BLOCK))
+    blocks = _blocks_of(items)
     out = []
     for b in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()

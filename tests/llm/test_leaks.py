@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from civlake.llm import leaks as k
 
 D = "doc_id bigint, text string, item_id string"
@@ -24,7 +26,10 @@ def run(spark, docs, items):
     return set(rows)
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("most", [k.ITEM_BYTES, 1])
+def test_against_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(k, "ITEM_BYTES", most)
+    monkeypatch.setattr(k, "FILTER_BITS", 1 << 16)
     rng = random.Random(1)
     items = [(i, " ".join(rng.choice(WORDS + ["12", "3,456", "percent", "—", "7.5"]) for _ in range(rng.choice([5, 13, 14, 40])))) for i in range(60)] + [(90, None), (91, ""), (92, "a b c d e f g h i j k l m"), (93, "1 2 3 4 5 6 7 8 9 10 11 12 13 14")]
     docs = []
@@ -47,11 +52,12 @@ def test_empty(spark):
     assert run(spark, [], [(1, "a " * 20)]) == set() and run(spark, [(1, "a " * 20)], []) == set()
 
 
-def test_item_blocks(spark, monkeypatch):
-    monkeypatch.setattr(k, "ITEM_BLOCK", 2)
-    items = [(i, " ".join(f"word{i}x{j}" for j in range(15))) for i in range(7)]
-    docs = [(i, "pre " + items[i][1] + " post") for i in range(7)] * 2
-    assert run(spark, docs, items) == {(i, i) for i in range(7)}
+def test_windows_of_any_length():
+    data = b"abcabcabdabc"
+    for n in (1, 3, 12):
+        h = k.length_hashes(data, n)
+        assert len(h) == len(data) - n + 1 and all((h[i] == h[j]) == (data[i : i + n] == data[j : j + n]) for i in range(len(h)) for j in range(len(h)))
+    assert len(k.length_hashes(b"ab", 3)) == 0
 
 
 def test_number_changed_in_length_before_the_passage(spark):
