@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..runtime import table
+from .areas import place_overlap_kind
 
 
 def ring_area(x: np.ndarray, y: np.ndarray) -> float:
@@ -37,7 +38,7 @@ def contains_point(x: np.ndarray, y: np.ndarray, px: float, py: float) -> bool:
 
 
 def clip_convex(subject: np.ndarray, clip: np.ndarray) -> np.ndarray:
-    """The part of a polygon inside a convex one (counter-clockwise rings of points)."""
+    """The part of a polygon of any shape inside a convex one (counter-clockwise)."""
     out = [tuple(p) for p in subject]
     for (ax, ay), (bx, by) in zip(clip, np.roll(clip, -1, axis=0), strict=True):
         side = lambda p, ax=ax, ay=ay, bx=bx, by=by: (bx - ax) * (p[1] - ay) - (by - ay) * (p[0] - ax)
@@ -54,6 +55,49 @@ def clip_convex(subject: np.ndarray, clip: np.ndarray) -> np.ndarray:
     return np.array(out, dtype=np.float64).reshape(-1, 2)
 
 
+def is_convex(ring: np.ndarray) -> bool:
+    d = np.roll(ring, -1, axis=0) - ring
+    e = np.roll(d, -1, axis=0)
+    turn = d[:, 0] * e[:, 1] - d[:, 1] * e[:, 0]
+    return bool((turn >= 0).all() or (turn <= 0).all())
+
+
+def shared_area(a: np.ndarray, b: np.ndarray) -> float:
+    """Area that two simple polygons of any shape and direction share.
+
+    A convex one clips the other; of two concave ones each is a signed sum of triangles from a common point, and the
+    shares of the triangles add up with their signs."""
+    a, b = (r if ring_area(r[:, 0], r[:, 1]) >= 0 else r[::-1] for r in (a, b))
+    for subject, clip in ((a, b), (b, a)):
+        if is_convex(clip):
+            c = clip_convex(subject, clip)
+            return abs(ring_area(c[:, 0], c[:, 1])) if len(c) > 2 else 0.0
+    o = a[0]
+    total = 0.0
+    fans = [[(s, t if s > 0 else t[::-1]) for p, q in zip(r, np.roll(r, -1, axis=0), strict=True) for t in [np.array([o, p, q])] for s in [np.sign(ring_area(t[:, 0], t[:, 1]))] if s] for r in (a, b)]
+    for s, t in fans[0]:
+        for r, u in fans[1]:
+            c = clip_convex(t, u)
+            total += s * r * abs(ring_area(c[:, 0], c[:, 1])) if len(c) > 2 else 0.0
+    return abs(total)
+
+
+def _point_segments(p: np.ndarray, line: np.ndarray) -> float:
+    return min(segment_distance(x, y, line) for x, y in p)
+
+
+def ring_distance(a: np.ndarray, b: np.ndarray, closed: bool = True) -> float:
+    """Distance of two polygons, 0 where they touch or overlap; with ``closed`` false, of a line of points and a polygon."""
+    la, lb = np.vstack([a, a[:1]]) if closed else a, np.vstack([b, b[:1]])
+    if contains_point(b[:, 0], b[:, 1], *a[0]) or (closed and contains_point(a[:, 0], a[:, 1], *b[0])):
+        return 0.0
+    cross = lambda o, p, q: (p[..., 0] - o[..., 0]) * (q[..., 1] - o[..., 1]) - (p[..., 1] - o[..., 1]) * (q[..., 0] - o[..., 0])
+    p, q, r, s = la[:-1, None], la[1:, None], lb[None, :-1], lb[None, 1:]
+    if ((cross(p, q, r) * cross(p, q, s) < 0) & (cross(r, s, p) * cross(r, s, q) < 0)).any():
+        return 0.0
+    return min(_point_segments(a, lb), _point_segments(b, la))
+
+
 def segment_distance(px: float, py: float, line: np.ndarray) -> float:
     """Distance of a point to a line of points."""
     a, b = line[:-1], line[1:]
@@ -83,11 +127,62 @@ def overlap_area(a: pd.Series, b: pd.Series) -> pd.Series:
         box[quads[upright]] = True
         out[quads[upright]] = np.clip(hi - lo, 0, None).prod(axis=1)[upright]
     for i in np.nonzero(~box)[0]:
-        c = clip_convex(np.asarray(a.iloc[i], dtype=np.float64).reshape(-1, 2), np.asarray(b.iloc[i], dtype=np.float64).reshape(-1, 2))
-        out[i] = abs(ring_area(c[:, 0], c[:, 1])) if len(c) > 2 else 0.0
+        out[i] = shared_area(*(np.asarray(s.iloc[i], dtype=np.float64).reshape(-1, 2) for s in (a, b)))
     return pd.Series(out)
 
 
+@F.pandas_udf(T.DoubleType())
+def polygon_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Distance of two rings (flat arrays), 0 where they touch or overlap."""
+    out = np.zeros(len(a))
+    box = np.zeros(len(a), dtype=bool)
+    quads = np.nonzero((a.str.len() == 8).to_numpy() & (b.str.len() == 8).to_numpy())[0]
+    if len(quads):  # upright boxes, all at once
+        p, q = (np.stack(s.iloc[quads].to_list()).astype(np.float64).reshape(-1, 4, 2) for s in (a, b))
+        gap = np.clip(np.maximum(p.min(axis=1) - q.max(axis=1), q.min(axis=1) - p.max(axis=1)), 0, None)
+        upright = _upright(p) & _upright(q)
+        box[quads[upright]] = True
+        out[quads[upright]] = np.sqrt((gap * gap).sum(axis=1))[upright]
+    for i in np.nonzero(~box)[0]:
+        out[i] = ring_distance(*(np.asarray(s.iloc[i], dtype=np.float64).reshape(-1, 2) for s in (a, b)))
+    return pd.Series(out)
+
+
+@F.pandas_udf(T.BooleanType())
+def point_inside(px: pd.Series, py: pd.Series, ring: pd.Series) -> pd.Series:
+    out = [contains_point(*np.asarray(r, dtype=np.float64).reshape(-1, 2).T, x, y) for x, y, r in zip(px, py, ring, strict=True)]
+    return pd.Series(out, dtype=bool)
+
+
+@F.pandas_udf(T.DoubleType())
+def path_distance(line: pd.Series, ring: pd.Series) -> pd.Series:
+    """Distance of a line of points and a ring (flat arrays): a buffer around the line, kept as a line."""
+    rings = ((np.asarray(s, dtype=np.float64).reshape(-1, 2) for s in pair) for pair in zip(line, ring, strict=True))
+    return pd.Series([ring_distance(a, b, closed=False) for a, b in rings], dtype=float)
+
+
+def wkt_of(ring: Column) -> Column:
+    """A flat ring as well-known text, closed."""
+    n = F.size(ring) / 2
+    pairs = F.transform(F.sequence(F.lit(1), n.cast("int")), lambda i: F.concat_ws(" ", *[F.element_at(ring, (i * 2 - k).cast("int")).cast("string") for k in (1, 0)]))
+    return F.concat(F.lit("POLYGON (("), F.array_join(F.concat(pairs, F.slice(pairs, 1, 1)), ", "), F.lit("))"))
+
+
+def ring_of(text: Column) -> Column:
+    """The outer ring of a polygon in well-known text or of GeoJSON coordinates, as a flat array without the closing point."""
+    outer = F.regexp_extract(text, r"(?:POLYGON\s*\(|\[\s*\[)([^()]*?\([^()]*|[^()]*?\]\s*(?=\]))", 0)
+    numbers = F.transform(F.regexp_extract_all(outer, F.lit(r"(-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)"), F.lit(1)), lambda x: x.cast("double"))
+    closed = (F.size(numbers) >= 6) & (F.slice(numbers, 1, 2) == F.slice(numbers, -2, 2))
+    return F.when(closed, F.slice(numbers, 1, F.size(numbers) - 2)).otherwise(numbers)
+
+
+def geojson_of(ring: Column) -> Column:
+    """A flat ring as the coordinates of a GeoJSON polygon, closed."""
+    n = (F.size(ring) / 2).cast("int")
+    pairs = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit("["), F.element_at(ring, i * 2 - 1).cast("string"), F.lit(","), F.element_at(ring, i * 2).cast("string"), F.lit("]")))
+    return F.concat(F.lit("[["), F.array_join(F.concat(pairs, F.slice(pairs, 1, 1)), ","), F.lit("]]"))
+
+
 @F.pandas_udf(T.DoubleType())
 def line_distance(px: pd.Series, py: pd.Series, line: pd.Series) -> pd.Series:
     return pd.Series([segment_distance(x, y, np.asarray(p, dtype=np.float64).reshape(-1, 2)) for x, y, p in zip(px, py, line, strict=True)])
@@ -134,6 +229,49 @@ def place_tract_overlap(spark, d):
     return j.where("area > 0").select("a", "b", share.alias("share"), F.when(share >= 0.95, "contains").when(share >= 0.5, "majority").otherwise("intersects").alias("kind"))
 
 
+def corner_ring(p: str) -> Column:
+    """A box without its upper right quarter: a concave polygon."""
+    c = lambda s: F.col(p + s)
+    mx, my = (c("x0") + c("x1")) / 2, (c("y0") + c("y1")) / 2
+    return F.array(c("x0"), c("y0"), c("x1"), c("y0"), c("x1"), my, mx, my, mx, c("y1"), c("x0"), c("y1"))
+
+
+def polygon_overlap(spark, d):
+    """Shares of tracts that places of a concave shape cover, and of the places that lie in the tract, with the kind of overlap."""
+    j = grid_join(_places(spark, d), _tracts(spark, d), 4.0).withColumn("area", overlap_area(corner_ring("a"), box_ring("b")))
+    own = (F.col("ax1") - F.col("ax0")) * (F.col("ay1") - F.col("ay0")) * 0.75
+    tract, place = F.round(F.col("area") / 4, 4), F.round(F.col("area") / own, 4)
+    return j.select("a", "b", tract.alias("tract_share"), place.alias("place_share"), place_overlap_kind(tract, place).alias("kind")).where("kind IS NOT NULL")
+
+
+def point_in_shape(spark, d):
+    """Middles of tracts inside each place of a concave shape."""
+    t = _tracts(spark, d).select("b", (F.col("bx0") + 1).alias("bx0"), (F.col("by0") + 1).alias("by0")).withColumns({"bx1": F.col("bx0"), "by1": F.col("by0")})
+    return grid_join(_places(spark, d), t, 4.0).where(point_inside("bx0", "by0", corner_ring("a"))).select("a", "b")
+
+
+def near_tracts(spark, d):
+    """Tracts within 1.5 of each place that they don't touch, with their distance."""
+    j = grid_join(_places(spark, d), _tracts(spark, d), 4.0, grow=1.5).withColumn("dist", F.round(polygon_distance(box_ring("a"), box_ring("b")), 6))
+    return j.where("dist > 0 AND dist <= 1.5").select("a", "b", "dist")
+
+
+def trail_buffers(spark, d):
+    """The least of four widths around each trail of three points (two sides of a place) that reaches a tract."""
+    trail = F.array("ax0", "ay0", "ax1", "ay0", "ax1", "ay1")
+    dist = F.round(path_distance(trail, box_ring("b")), 6)
+    j = grid_join(_places(spark, d), _tracts(spark, d), 4.0, grow=2.0).withColumn("dist", dist)
+    width = F.when(F.col("dist") <= 0.25, 0.25).when(F.col("dist") <= 0.5, 0.5).when(F.col("dist") <= 1, 1.0).when(F.col("dist") <= 2, 2.0)
+    return j.withColumn("width", width).where("width IS NOT NULL").select("a", "b", "width")
+
+
+def polygon_texts(spark, d):
+    """Rings to text and GeoJSON and back: their areas stay."""
+    p = _places(spark, d).select("a", wkt_of(corner_ring("a")).alias("wkt"), geojson_of(corner_ring("a")).alias("json"))
+    both = p.select("a", "wkt", ring_of(F.col("wkt")).alias("r"), ring_of(F.col("json")).alias("s"))
+    return both.select("a", F.round(overlap_area("r", "s"), 6).alias("area"), F.size("r").alias("numbers"))
+
+
 def point_in_polygon(spark, d):
     """The tract that holds the middle of each place: of several the first."""
     p = _places(spark, d).select("a", ((F.col("ax0") + F.col("ax1")) / 2).alias("ax0"), ((F.col("ay0") + F.col("ay1")) / 2).alias("ay0")).withColumns({"ax1": F.col("ax0"), "ay1": F.col("ay0")})
@@ -158,10 +296,17 @@ def adjacency(spark, d):
 
 _PL = "(SELECT *, x0 + w AS x1, y0 + w AS y1 FROM (SELECT s_suppkey AS a, (s_suppkey * 7 % 101)::DOUBLE AS x0, (s_suppkey * 13 % 97)::DOUBLE AS y0, s_suppkey % 5 + 1.0::DOUBLE AS w FROM supplier))"
 _TR = "(SELECT *, x0 + 2 AS x1, y0 + 2 AS y1 FROM (SELECT c_custkey AS b, (c_custkey % 53)::DOUBLE * 2 AS x0, ((c_custkey // 53) % 50)::DOUBLE * 2 AS y0 FROM customer))"
-QUERIES = {f.__name__: f for f in (place_tract_overlap, point_in_polygon, within_distance, adjacency)}
+QUERIES = {f.__name__: f for f in (place_tract_overlap, point_in_polygon, within_distance, adjacency, polygon_overlap, point_in_shape, near_tracts, trail_buffers, polygon_texts)}
 SQL = {
     "place_tract_overlap": f"SELECT a, b, s AS share, CASE WHEN s >= 0.95 THEN 'contains' WHEN s >= 0.5 THEN 'majority' ELSE 'intersects' END AS kind FROM (SELECT a, b, round((least(p.x1, t.x1) - greatest(p.x0, t.x0)) * (least(p.y1, t.y1) - greatest(p.y0, t.y0)) / 4, 4) AS s FROM {_PL} p JOIN {_TR} t ON p.x0 < t.x1 AND t.x0 < p.x1 AND p.y0 < t.y1 AND t.y0 < p.y1)",
     "point_in_polygon": f"SELECT a, min(b) AS b FROM (SELECT a, (x0 + x1) / 2 AS x, (y0 + y1) / 2 AS y FROM {_PL}) p JOIN {_TR} t ON x >= t.x0 AND x < t.x1 AND y >= t.y0 AND y < t.y1 GROUP BY 1",
     "within_distance": f"SELECT a, b, dist FROM (SELECT a, b, round(sqrt((px - x0 - u * w) ** 2 + (py - y0 - u * w) ** 2), 6) AS dist FROM (SELECT a, b, p.x0, p.y0, p.w, t.x0 + 1 AS px, t.y0 + 1 AS py, least(1, greatest(0, ((t.x0 + 1 - p.x0) + (t.y0 + 1 - p.y0)) / (2 * p.w))) AS u FROM {_PL} p, {_TR} t)) WHERE dist <= 1.5",
+    "polygon_overlap": f"""WITH o AS (SELECT a, b, w, (greatest(0, least(p.x1, t.x1) - greatest(p.x0, t.x0)) * greatest(0, least(p.y1, t.y1) - greatest(p.y0, t.y0)) - greatest(0, least(p.x1, t.x1) - greatest(p.x0 + w / 2, t.x0)) * greatest(0, least(p.y1, t.y1) - greatest(p.y0 + w / 2, t.y0))) AS area
+  FROM {_PL} p JOIN {_TR} t ON p.x0 <= t.x1 AND t.x0 <= p.x1 AND p.y0 <= t.y1 AND t.y0 <= p.y1), s AS (SELECT a, b, round(area / 4, 4) AS tract_share, round(area / (w * w * 0.75), 4) AS place_share FROM o)
+SELECT *, CASE WHEN place_share >= 0.95 THEN 'contains' WHEN tract_share >= 0.5 THEN 'majority' ELSE 'intersects' END AS kind FROM s WHERE greatest(tract_share, place_share) >= 0.05""",
+    "point_in_shape": f"SELECT a, b FROM {_PL} p JOIN {_TR} t ON t.x0 + 1 >= p.x0 AND t.x0 + 1 < p.x1 AND t.y0 + 1 >= p.y0 AND t.y0 + 1 < p.y1 WHERE NOT (t.x0 + 1 >= p.x0 + w / 2 AND t.y0 + 1 >= p.y0 + w / 2)",
+    "near_tracts": f"SELECT a, b, d AS dist FROM (SELECT a, b, round(sqrt(greatest(0, p.x0 - t.x1, t.x0 - p.x1) ** 2 + greatest(0, p.y0 - t.y1, t.y0 - p.y1) ** 2), 6) AS d FROM {_PL} p JOIN {_TR} t ON p.x0 - 1.5 <= t.x1 AND t.x0 <= p.x1 + 1.5 AND p.y0 - 1.5 <= t.y1 AND t.y0 <= p.y1 + 1.5) WHERE d > 0 AND d <= 1.5",
+    "trail_buffers": f"SELECT a, b, CASE WHEN d <= 0.25 THEN 0.25 WHEN d <= 0.5 THEN 0.5 WHEN d <= 1 THEN 1.0 ELSE 2.0 END::DOUBLE AS width FROM (SELECT a, b, round(least(sqrt(greatest(0, p.x0 - t.x1, t.x0 - p.x1) ** 2 + greatest(0, p.y0 - t.y1, t.y0 - p.y0) ** 2), sqrt(greatest(0, p.x1 - t.x1, t.x0 - p.x1) ** 2 + greatest(0, p.y0 - t.y1, t.y0 - p.y1) ** 2)), 6) AS d FROM {_PL} p JOIN {_TR} t ON p.x0 - 2 <= t.x1 AND t.x0 <= p.x1 + 2 AND p.y0 - 2 <= t.y1 AND t.y0 <= p.y1 + 2) WHERE d <= 2",
+    "polygon_texts": f"SELECT a, round(w * w * 0.75, 6) AS area, 12 AS numbers FROM {_PL}",
     "adjacency": f"SELECT p.a, q.a AS b FROM {_PL} p JOIN {_PL} q ON p.x0 <= q.x1 AND q.x0 <= p.x1 AND p.y0 <= q.y1 AND q.y0 <= p.y1",
 }

@@ -17,3 +17,18 @@ def test_roads_of_all_places(spark, tmp_path):
                 brute.add((a, b))
     got = [(r.a, r.b) for r in spatial.within_distance(spark, d).collect()]
     assert len(got) == len(set(got)) and set(got) == brute and {a % 3 for a, _ in got} == {0, 1, 2}
+
+
+def test_shared_area_and_distance_of_any_shape():
+    rng = np.random.default_rng(5)
+    ell = np.array([(0, 0), (4, 0), (4, 2), (2, 2), (2, 4), (0, 4)], dtype=float)
+    star = np.array([(1, 1), (6, 1.5), (2.5, 2.5), (1.5, 6)], dtype=float)
+    pts = rng.uniform(-1, 7, (200_000, 2))
+    inside = lambda r: np.array([((r[:, 1] > y) != (np.roll(r[:, 1], -1) > y)) & (x < r[:, 0] + (y - r[:, 1]) / (np.roll(r[:, 1], -1) - r[:, 1]) * (np.roll(r[:, 0], -1) - r[:, 0])) for x, y in pts[:20_000]]).sum(axis=1) % 2
+    with np.errstate(all="ignore"):
+        for a, b in ((ell, star), (star, ell), (ell[::-1], star)):
+            want = (inside(a) & inside(b)).mean() * 64
+            assert abs(spatial.shared_area(a, b) - want) < 0.15
+    assert abs(spatial.shared_area(ell, ell) - 12) < 1e-9
+    assert spatial.ring_distance(ell, ell + 10) > 0
+    assert spatial.ring_distance(ell, ell + (5, 0)) == 1.0 and spatial.ring_distance(ell, star) == 0.0
