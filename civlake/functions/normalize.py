@@ -62,6 +62,11 @@ def stable_id(dataset: str, name: Column) -> Column:
     return F.substring(F.sha2(F.concat(F.lit(f"{dataset}:"), F.lower(F.trim(name))), 256), 1, 12)
 
 
+def stable_digest(text: Column, length: int = 16, kind: str = "sha256") -> Column:
+    """The first hex digits of a text's SHA-256 or SHA-1, as a fingerprint or an id."""
+    return F.substring(F.sha1(text) if kind == "sha1" else F.sha2(text, 256), 1, length)
+
+
 def record_id(dataset: str, year: Column, stem: Column, number: Column) -> Column:
     return F.concat_ws(":", F.lit(dataset), year.cast("string"), stem, F.lpad(number.cast("string"), 12, "0"))
 
@@ -73,8 +78,16 @@ def lookup_key(c: Column) -> Column:
 
 
 def shown_number(c: Column) -> Column:
-    """Whole numbers without a decimal point, others to 4 places."""
-    return F.when(c == F.floor(c), F.format_string("%d", c.cast("bigint"))).otherwise(F.format_string("%.4f", c))
+    """Whole numbers without a decimal point, others with six significant digits and no zeros at the end.
+
+    As usual for six digits, numbers of under 0.0001 and of a million and more have an exponent."""
+    bare = lambda t: F.regexp_replace(F.regexp_replace(t, "0+$", ""), r"\.$", "")
+    exponent = F.regexp_extract(F.format_string("%.5e", c), r"e([+-]\d+)$", 1).cast("int")
+    out = F.concat(bare(F.substring_index(F.format_string("%.5e", c), "e", 1)), F.lit("e"), F.substring_index(F.format_string("%.5e", c), "e", -1))
+    for e in range(-4, 6):
+        text = F.format_string(f"%.{5 - e}f", c)
+        out = F.when(exponent == e, bare(text) if e < 5 else text).otherwise(out)
+    return F.when(c == F.floor(c), F.format_string("%d", c.cast("bigint"))).otherwise(out)
 
 
 def when_chain(x: Column, steps: list[tuple[float, str]], last: str) -> Column:
@@ -164,5 +177,5 @@ FROM (SELECT DISTINCT * FROM hmda_lar)""",
     "h10_lookup_keys": "SELECT geo_type, trim(regexp_replace(regexp_replace(translate(lower(name), '–—‐-', '    '), '[^\\w\\s]', '', 'g'), '\\s+', ' ', 'g')) AS name_key, count(*) AS n FROM admin_geographies GROUP BY 1, 2",
     "h13_card_text": "SELECT DISTINCT table_id, dataset, year, trim(title || '. ' || coalesce(description, '') || ' ' || coalesce(use_when, '')) AS card_text FROM stat_tables",
     "h15_json_lists": "SELECT array_to_string(list_sort(list_distinct(coalesce(CASE WHEN json_valid(l1_domains_json) THEN from_json(l1_domains_json, '[\"VARCHAR\"]') END, []))), '|') AS domains, count(*) AS n FROM stat_tables GROUP BY 1",
-    "h28_shown_values": "SELECT geo_level, CASE WHEN estimate = floor(estimate) THEN estimate::BIGINT::VARCHAR ELSE printf('%.4f', estimate) END AS shown, count(*) AS n FROM stat_values WHERE estimate > -555555555 GROUP BY 1, 2",
+    "h28_shown_values": "SELECT geo_level, CASE WHEN estimate = floor(estimate) THEN estimate::BIGINT::VARCHAR ELSE printf('%.6g', estimate) END AS shown, count(*) AS n FROM stat_values WHERE estimate > -555555555 GROUP BY 1, 2",
 }

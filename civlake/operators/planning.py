@@ -125,7 +125,7 @@ def a9_call_status(spark, d):
     """Coverage checks as calls to two sources: outcome per dataset and status."""
     calls = table(spark, d, "coverage").select(F.col("coverage_id").alias("call_id"), "dataset", blank_to_null(F.upper("table_id")).alias("key"), F.col("coverage_id").alias("position"))
     t = table(spark, d, "stat_tables").select("dataset", tid().alias("key")).distinct()
-    names = ["acs/acs5", "acs/acs1"]
+    names = ["acs5", "acs1"]
     r = call_results(calls, {n: t.where(F.col("dataset") == n).select("key") for n in names})
     return r.groupBy("dataset", "status", "error").agg(F.count(F.lit(1)).alias("calls"), F.min("position").alias("first"))
 
@@ -134,7 +134,7 @@ def a10_call_order(spark, d):
     """The first and last call of each status in the order in which they were made."""
     calls = table(spark, d, "coverage").select(F.col("coverage_id").alias("call_id"), "dataset", blank_to_null(F.upper("table_id")).alias("key"), F.col("coverage_id").alias("position"))
     t = table(spark, d, "stat_tables").select("dataset", tid().alias("key")).distinct()
-    r = call_results(calls, {"acs/acs5": t.where("dataset = 'acs/acs5'").select("key")})
+    r = call_results(calls, {"acs5": t.where("dataset = 'acs5'").select("key")})
     return r.groupBy("status").agg(F.min_by("call_id", "position").alias("first_call"), F.max_by("call_id", "position").alias("last_call"))
 
 
@@ -199,8 +199,8 @@ _SAID = "CASE status WHEN 'empty' THEN 'no rows for the key' WHEN 'no_source' TH
 _KEY = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
 QUERIES = {f.__name__: f for f in (a9_call_status, a10_call_order, f10_capped_comparators, g9_ordered_ids, p21_merged_concepts, t13_frame_expansion, t16_data_levels, t17_rate_labels, q6_flat_types, h24_shown_populations)}
 SQL = {
-    "a9_call_status": f"WITH r AS (SELECT c.dataset, c.coverage_id, CASE WHEN c.k IS NULL THEN 'bad_request' WHEN c.dataset NOT IN ('acs/acs5', 'acs/acs1') OR c.dataset IS NULL THEN 'no_source' WHEN s.k IS NOT NULL THEN 'ok' ELSE 'empty' END AS status FROM {_C} c LEFT JOIN {_S} s ON s.dataset = c.dataset AND s.k = c.k) SELECT dataset, status, {_SAID} AS error, count(*) AS calls, min(coverage_id) AS first FROM r GROUP BY 1, 2",
-    "a10_call_order": f"WITH r AS (SELECT c.coverage_id, CASE WHEN c.k IS NULL THEN 'bad_request' WHEN c.dataset <> 'acs/acs5' OR c.dataset IS NULL THEN 'no_source' WHEN s.k IS NOT NULL THEN 'ok' ELSE 'empty' END AS status FROM {_C} c LEFT JOIN {_S} s ON s.dataset = c.dataset AND s.k = c.k) SELECT status, min(coverage_id) AS first_call, max(coverage_id) AS last_call FROM r GROUP BY 1",
+    "a9_call_status": f"WITH r AS (SELECT c.dataset, c.coverage_id, CASE WHEN c.k IS NULL THEN 'bad_request' WHEN c.dataset NOT IN ('acs5', 'acs1') OR c.dataset IS NULL THEN 'no_source' WHEN s.k IS NOT NULL THEN 'ok' ELSE 'empty' END AS status FROM {_C} c LEFT JOIN {_S} s ON s.dataset = c.dataset AND s.k = c.k) SELECT dataset, status, {_SAID} AS error, count(*) AS calls, min(coverage_id) AS first FROM r GROUP BY 1, 2",
+    "a10_call_order": f"WITH r AS (SELECT c.coverage_id, CASE WHEN c.k IS NULL THEN 'bad_request' WHEN c.dataset <> 'acs5' OR c.dataset IS NULL THEN 'no_source' WHEN s.k IS NOT NULL THEN 'ok' ELSE 'empty' END AS status FROM {_C} c LEFT JOIN {_S} s ON s.dataset = c.dataset AND s.k = c.k) SELECT status, min(coverage_id) AS first_call, max(coverage_id) AS last_call FROM r GROUP BY 1",
     "f10_capped_comparators": "SELECT trim(tract_geoid) AS tract, place_id, map_id FROM place_tract_map WHERE place_id IS NOT NULL AND trim(tract_geoid) <> '' QUALIFY row_number() OVER (PARTITION BY trim(tract_geoid) ORDER BY map_id) <= 4",
     "g9_ordered_ids": f"SELECT t.table_id, coalesce(o.ids, '') AS ids FROM (SELECT DISTINCT {_T} AS table_id FROM variable_questions) t LEFT JOIN (SELECT table_id, array_to_string(list(v ORDER BY q), ',') AS ids FROM (SELECT {_T} AS table_id, trim(var_id) AS v, min(question_id) AS q FROM variable_questions WHERE trim(var_id) <> '' GROUP BY 1, 2) GROUP BY 1) o ON o.table_id IS NOT DISTINCT FROM t.table_id",
     "t13_frame_expansion": "WITH c AS (SELECT DISTINCT subject_area, card_type, upper(trim(target_table_id, E' \\t\\n\\r\\f\\v')) AS t FROM cards WHERE subject_area IS NOT NULL AND trim(target_table_id) <> '') SELECT DISTINCT r.t AS request, f.card_type AS concept FROM c r JOIN c f ON f.subject_area = r.subject_area WHERE NOT EXISTS (SELECT 1 FROM c x WHERE x.t = r.t AND x.card_type IS NOT DISTINCT FROM f.card_type)",

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from ..functions.normalize import lookup_key
 from ..runtime import pad_left, table
 from .metadata import latest, segments, tid
-from .search import tokens
+from .search import SUBGROUP_MARKS, tokens
 
 #: Suffixes that an alias of an area drops (fixed values).
 SUFFIXES = r"\s+(county|city|town|village|cdp|borough|parish|municipality)$"
@@ -84,11 +84,42 @@ def resolved(names: DataFrame, registry: DataFrame, most: int = 3) -> DataFrame:
     return j.where(F.col("rank") <= most).select("asked", "id", "rank", conf.alias("confidence"), (conf < CONFIDENT).alias("ask_back"))
 
 
-def variable_score(label: Column, is_total: Column, depth: Column, common: Column, wanted: list[str]) -> Column:
-    """Words of the request in the label, less for depth, more for totals and commonly asked variables."""
-    t = tokens(label)
-    hits = reduce(lambda a, b: a + b, [F.coalesce(F.array_contains(t, w), F.lit(False)).cast("int") for w in wanted])
-    return hits * 2.0 - 3.0 * F.greatest(F.coalesce(depth, F.lit(1)) - 1, F.lit(0)) * 0.5 + F.when(common == 1, 0.5).otherwise(0.0) + F.when(is_total == 1, 1.0).otherwise(0.0)
+def _any_of(text: Column, parts: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a | b, [text.contains(p) for p in parts])
+
+
+_COUNTED = ("total ", "number ", "count ", "aggregate ")
+
+
+def measure_score(label: Column, sought: str | None) -> Column:
+    """How well a label fits the kind of measure that is sought: percentage, count, currency, median or none."""
+    t = F.lower(label)
+    begins = reduce(lambda a, b: a | b, [t.startswith(p) for p in _COUNTED])
+    if sought == "percentage":
+        return F.when(_any_of(t, ("percent", "share", " rate")), 3).when(begins, -3).otherwise(0)
+    if sought == "count":
+        return F.when(_any_of(t, _COUNTED), 2).when(t.startswith("percent"), -3).otherwise(0)
+    if sought == "currency":
+        return F.when(_any_of(t, ("median", "mean", "aggregate")), 3).otherwise(0)
+    if sought == "median":
+        return F.when(t.contains("median"), 4).otherwise(0)
+    return F.lit(0)
+
+
+def variable_score(label: Column, is_total: Column, depth: Column, common: Column, sought: str | None = None, in_top_table: Column | None = None, rank: Column | None = None, routed: Column | None = None, total_likely: bool | None = None, of_subgroup: bool = False) -> Column:
+    """Score of a candidate variable (fixed values): +5 in the best table, its place and score among the routed, -8 for a label
+    of a subgroup, the fit of its measure, -3 for each step of depth below the first, +0.5 if commonly asked, for and against
+    totals as they are likely, -6 for a total when a subgroup is asked for."""
+    low = F.lower(F.coalesce(label, F.lit("")))
+    s = F.when(_any_of(low, SUBGROUP_MARKS), -8.0).otherwise(0.0) + F.coalesce(measure_score(label, sought), F.lit(0)) - F.coalesce(F.greatest(depth - 1, F.lit(0)), F.lit(0)) * 3.0 + F.when(common == 1, 0.5).otherwise(0.0)
+    total = F.coalesce(is_total == 1, F.lit(False))
+    if in_top_table is not None:
+        s = s + F.when(in_top_table, 5.0).otherwise(0.0)
+    if rank is not None:
+        s = s + F.coalesce(F.greatest(10 - rank, F.lit(0)) * 0.3 + (F.least(routed, F.lit(5.0)) * 0.2 if routed is not None else F.lit(0.0)), F.lit(0.0))
+    if total_likely is not None:
+        s = s + (F.when(total, 2.0).otherwise(-1.0) if total_likely else F.when(total, -0.5).otherwise(0.0))
+    return s - F.when(total, 6.0).otherwise(0.0) if of_subgroup else s
 
 
 # queries
@@ -234,9 +265,9 @@ def cleaned_text(spark, d):
 
 
 def variable_choice(spark, d):
-    """The best variable of each table vintage for a request about renters and quintiles."""
+    """The best variable of each table vintage for a request for a count that is likely a total."""
     v = latest(table(spark, d, "variables").withColumns({"t": tid()}), ["t", "dataset", "year", "variable_id"], [F.desc("loaded_at"), F.desc("var_row_id")])
-    s = v.select("t", "dataset", "year", "variable_id", variable_score(F.col("label_natural"), F.col("is_total"), F.col("depth"), F.col("is_commonly_queried"), ["renter", "quintile", "top"]).alias("score"))
+    s = v.select("t", "dataset", "year", "variable_id", variable_score(F.col("label_natural"), F.col("is_total"), F.col("depth"), F.col("is_commonly_queried"), sought="count", total_likely=True).alias("score"))
     w = W.partitionBy("t", "dataset", "year").orderBy(F.desc("score"), "variable_id")
     return s.withColumn("rn", F.row_number().over(w)).where("rn = 1").select(F.col("t").alias("table_id"), "dataset", "year", "variable_id", "score")
 
@@ -349,7 +380,7 @@ c AS (SELECT asked, id, rank::INT AS rank, round(1 / (1 + 0.25 * (rank - 1)) - t
     "numeric_probe": "SELECT table_id, coalesce(regexp_full_match(trim(f), '[+-]?[0-9]+(\\.[0-9]+)?'), true) AS is_numeric FROM (SELECT table_id, arg_min(annotation, (loaded_at, geo_id, variable_id, annotation)) FILTER (annotation IS NOT NULL) AS f FROM stat_values GROUP BY 1)",
     "folded_tokens": "WITH n AS (SELECT lang, w, count(*) AS n FROM (SELECT lang, unnest(regexp_split_to_array(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9]+')) AS w FROM documents) WHERE length(w) > 3 GROUP BY 1, 2) SELECT lang, w, n, (row_number() OVER (PARTITION BY lang ORDER BY n DESC, w))::INT AS rank FROM n QUALIFY rank <= 20",
     "cleaned_text": "WITH t AS (SELECT table_id, dataset, year, trim(regexp_replace(regexp_replace(description, '```[a-z]*', ' ', 'g'), '\\s+', ' ', 'g')) AS t FROM stat_tables WHERE description IS NOT NULL), w AS (SELECT *, string_split(t, ' ') AS w FROM t) SELECT DISTINCT table_id, dataset, year, CASE WHEN len(w) <= 8 THEN t ELSE regexp_replace(array_to_string(w[1:8], ' '), '[,;:]$', '') || '.' END AS short FROM w",
-    "variable_choice": f"WITH s AS (SELECT table_id, dataset, year, variable_id, (" + " + ".join(f"coalesce(list_contains(regexp_split_to_array(lower(label_natural), '[^\\p{{L}}\\p{{N}}]+'), '{w}'), false)::INT" for w in ("renter", "quintile", "top")) + f") * 2.0::DOUBLE - 1.5 * greatest(coalesce(depth, 1) - 1, 0) + CASE WHEN is_commonly_queried = 1 THEN 0.5 ELSE 0 END + CASE WHEN is_total = 1 THEN 1.0 ELSE 0 END AS score FROM {_V}) SELECT table_id, dataset, year, variable_id, score::DOUBLE AS score FROM s QUALIFY row_number() OVER (PARTITION BY table_id, dataset, year ORDER BY score DESC, variable_id) = 1",
+    "variable_choice": "WITH s AS (SELECT table_id, dataset, year, variable_id, CASE WHEN " + " OR ".join(f"contains(lower(coalesce(label_natural, '')), '{m}')" for m in SUBGROUP_MARKS) + " THEN -8.0 ELSE 0 END + CASE WHEN " + " OR ".join(f"contains(lower(label_natural), '{m}')" for m in _COUNTED) + f" THEN 2 WHEN starts_with(lower(label_natural), 'percent') THEN -3 ELSE 0 END - coalesce(greatest(depth - 1, 0), 0) * 3.0 + CASE WHEN is_commonly_queried = 1 THEN 0.5 ELSE 0 END + CASE WHEN coalesce(is_total = 1, false) THEN 2.0 ELSE -1.0 END AS score FROM {_V}) SELECT table_id, dataset, year, variable_id, score::DOUBLE AS score FROM s QUALIFY row_number() OVER (PARTITION BY table_id, dataset, year ORDER BY score DESC, variable_id) = 1",
     "label_siblings": f"SELECT table_id AS t, dataset, year, array_to_string(seg[1:len(seg) - 1], '|') AS parent, count(*) AS children, min(variable_id) AS first_child FROM (SELECT *, {_SEG} AS seg FROM {_V}) WHERE len(seg) > 0 GROUP BY 1, 2, 3, 4",
     "common_phrases": "SELECT contains(lower(label_natural), 'conventional loans') OR contains(lower(label_natural), 'food assistance') OR contains(lower(label_natural), 'vehicles') AS common, count(*) AS n FROM variables GROUP BY 1",
     "table_structure": f"SELECT table_id AS t, dataset, year, arg_min(variable_id, (len(seg), variable_id)) AS headline, count(DISTINCT seg[1]) AS roots, count(DISTINCT seg[2]) AS members, count(DISTINCT seg[3]) AS splits, max(len(seg))::INT AS depth FROM (SELECT *, {_SEG} AS seg FROM {_V}) WHERE len(seg) > 0 GROUP BY 1, 2, 3",

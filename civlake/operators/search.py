@@ -20,6 +20,7 @@ QUERY_BLOCK, VECTOR_BLOCK = 4096, 65_536
 QUERIES_AT_ONCE = 256
 SCORE_FLOOR = 0.05
 UNIVERSE_FLOOR = 0.30
+COMMON_BOOST = 1.10
 #: Marks of labels that hold for a part of the population only, and of leaves of a breakdown (fixed values).
 SUBGROUP_MARKS = ("race and hispanic", "hispanic or latino", "disability status", "sex", " by age ", "age of householder", "nativity", "citizenship", "country of birth", "language spoken", "limited english", "household type", "family type", "educational attainment", "school enrollment", "nativity and citizenship", "white alone", "black alone", "asian alone", "hispanic", "white non-hispanic", "non-hispanic white", "black or african american alone", "native hawaiian", "american indian", "two or more races", "some other race alone", "non-hispanic", "latino", "non-latino", "with a disability", "without a disability", "with any disability", "foreign born", "foreign-born", "native born", "native-born", "limited english speaking")
 LEAF_MARKS = ("18 to 19", "20 to 24", "25 to 29", "30 to 34", "35 to 39", "40 to 44", "45 to 54", "55 to 59", "60 to 61", "62 to 64", "65 to 66", "67 to 69", "70 to 74", "75 years and over", "75 to 84", "85 years", "under 5", "under 18", "under 6", "5 to 9", "5 to 17", "10 to 14", "15 to 17", "!!male:!!", "!!female:!!", "with own children under 18", "with related children", "less than 9th grade", "9th to 12th grade")
@@ -132,15 +133,18 @@ def family_weight(table_id: Column) -> Column:
     return w.otherwise(1.0) * F.when(table_id.endswith("PR"), PR_SHARE).otherwise(1.0) * F.when(table_id.rlike(SUBGROUP), SUBGROUP_SHARE).otherwise(1.0)
 
 
-def target_scores(hits: DataFrame, cards: DataFrame) -> DataFrame:
-    """Hits (q, rowid, cosine) joined to their cards and added up per target table.
+def target_scores(hits: DataFrame, cards: DataFrame, by_variable: bool = False) -> DataFrame:
+    """Hits (q, rowid, cosine) joined to their cards and added up per target table, or per table and variable.
 
-    A hit scores max(0, cosine) times the card's weight, negative for negative cards; hits without a card drop out.
+    A hit scores max(0, cosine) times the card's weight, COMMON_BOOST more for a commonly asked variable, negative for
+    negative cards; hits without a card (or, by variable, without one) drop out.
     """
-    c = cards.select(F.col("rowid"), tid("target_table_id").alias("table_id"), "weight", "polarity", "card_type", "target_year").where("table_id <> ''")
+    c = cards.select(F.col("rowid"), tid("target_table_id").alias("table_id"), F.upper(F.trim("target_variable_id")).alias("variable_id"), "weight", "polarity", "card_type", "target_year", "is_commonly_queried").where("table_id <> ''")
+    key = ["q", "table_id", "variable_id"] if by_variable else ["q", "table_id"]
+    c = c.where("variable_id <> ''") if by_variable else c
     h = hits.join(c, "rowid").withColumn("sim", F.greatest(F.lit(0.0), F.col("cosine")))
-    signed = F.col("sim") * F.col("weight") * F.when(F.col("polarity") == "negative", -1.0).otherwise(1.0)
-    g = h.groupBy("q", "table_id").agg(
+    signed = F.col("sim") * F.col("weight") * F.when(F.col("is_commonly_queried") == 1, COMMON_BOOST).otherwise(1.0) * F.when(F.col("polarity") == "negative", -1.0).otherwise(1.0)
+    g = h.groupBy(*key).agg(
         F.sum(signed).alias("score"),
         F.sum((F.col("polarity") == "positive").cast("bigint")).alias("n_pos"),
         F.sum((F.col("polarity") == "negative").cast("bigint")).alias("n_neg"),
@@ -148,7 +152,7 @@ def target_scores(hits: DataFrame, cards: DataFrame) -> DataFrame:
         F.array_join(F.array_sort(F.collect_set("card_type")), ",").alias("card_types"),
         F.array_join(F.transform(F.array_sort(F.collect_set("target_year")), lambda y: y.cast("string")), ",").alias("years"),
     )
-    return g.select("q", "table_id", (F.col("score") * family_weight(F.col("table_id"))).alias("score"), "n_pos", "n_neg", (-F.col("best.r")).alias("best_card"), "card_types", "years")
+    return g.select(*key, (F.col("score") * family_weight(F.col("table_id"))).alias("score"), "n_pos", "n_neg", (-F.col("best.r")).alias("best_card"), "card_types", "years")
 
 
 # queries
@@ -211,6 +215,66 @@ def target_aggregate(spark, d):
     return _routed(spark, d).withColumn("score", F.round("score", 5))
 
 
+def routed(scores: DataFrame, top_k: int, floor: float = SCORE_FLOOR, allowed: DataFrame | None = None, boosted: DataFrame | None = None, boost: float = 1.0) -> DataFrame:
+    """q, table_id, score, rank: the ``top_k`` best tables of each query, and of these those above the floor.
+
+    ``allowed``: the tables (table_id) that may come out, such as those of a domain or with coverage of a level;
+    ``boosted``: tables whose score is multiplied by ``boost`` before they are ranked."""
+    s = scores if allowed is None else scores.join(allowed.select("table_id").distinct(), "table_id", "left_semi")
+    if boosted is not None:
+        s = s.join(boosted.select("table_id").distinct().withColumn("__b", F.lit(boost)), "table_id", "left").withColumn("score", F.col("score") * F.coalesce("__b", F.lit(1.0)))
+    w = W.partitionBy("q").orderBy(F.round("score", 9).desc(), "table_id")
+    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k).where(F.col("score") >= floor).select("q", "table_id", F.round("score", 5).alias("score"), "rank")
+
+
+def routed_filtered(spark, d):
+    """Routing to tables that have tract values, those of an area called housing preferred."""
+    level = table(spark, d, "coverage").where("geo_level = 'tract' AND status = 'success'").select(tid().alias("table_id"))
+    housing = table(spark, d, "stat_tables").where(F.lower("l1_domains_json").contains("housing")).select(tid().alias("table_id"))
+    return routed(_routed(spark, d), 5, allowed=level, boosted=housing, boost=1.5)
+
+
+def routed_dataset(spark, d):
+    """Routing within one dataset: its queries against its vectors only."""
+    u = table(spark, d, "universe_embeddings").where("embedding IS NOT NULL AND dataset = 'acs5'")
+    e = u.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    near = exact_nearest(e.where("id % 20 = 0"), e, 30)
+    hits = near.join(u.select(F.col("vec_id").alias("id"), F.col("card_rowid").alias("rowid")), "id").select("q", "rowid", "cosine")
+    return routed(target_scores(hits, table(spark, d, "cards")), 5)
+
+
+def variable_aggregate(spark, d):
+    """Scores at the grain of table and variable."""
+    u = table(spark, d, "universe_embeddings").where("embedding IS NOT NULL")
+    e = u.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    near = exact_nearest(e.where("id % 20 = 0"), e, 30)
+    hits = near.join(u.select(F.col("vec_id").alias("id"), F.col("card_rowid").alias("rowid")), "id").select("q", "rowid", "cosine")
+    return target_scores(hits, table(spark, d, "cards"), by_variable=True).select("q", "table_id", "variable_id", F.round("score", 5).alias("score"), "n_pos", "n_neg", "best_card")
+
+
+def snippet(text: Column, words: list[str], around: int = 5) -> Column:
+    """The first word of the text that begins with one of the searched, with up to ``around`` words on either side."""
+    w = F.split(F.trim(text), r"\s+")
+    low = F.transform(w, lambda x: F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}]", ""))
+    hit = F.array_position(F.transform(low, lambda x: reduce(lambda a, b: a | b, [x.startswith(q) for q in words])), True)
+    start = F.greatest(F.lit(1), hit - around).cast("int")
+    cut = F.slice(w, start, (hit + around - start + 1).cast("int"))
+    return F.when(hit > 0, F.concat(F.when(start > 1, "... ").otherwise(""), F.array_join(cut, " "), F.when(hit + around < F.size(w), " ...").otherwise("")))
+
+
+def search_filtered(spark, d):
+    """A search among the tables of one dataset that have been checked for states, best first, counted from 0, with a snippet."""
+    docs = text_docs(spark, d)
+    n = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(tokens(F.col("text")))).alias("avg_dl"))
+    s = bm25(inverted_index(docs, "doc", "text"), n, [("q", "vacancy ra")])
+    part = F.split("doc", r"\|")
+    have = table(spark, d, "coverage").where("geo_level = 'state'").select(tid().alias("t")).distinct()
+    s = s.where(part[1] == "acs5").withColumn("t", F.upper(F.trim(part[0]))).join(have, "t", "left_semi").join(docs, "doc")
+    w = W.orderBy(F.round("score", 9), "doc")
+    top = s.orderBy(F.round("score", 9), "doc").limit(20)
+    return top.withColumn("rank_position", F.row_number().over(w) - 1).select("doc", "rank_position", snippet(F.col("text"), ["vacancy", "ra"]).alias("snippet"))
+
+
 def routed_top(spark, d):
     """The five best tables of each query, and of these those above the floor."""
     w = W.partitionBy("q").orderBy(F.round("score", 9).desc(), "table_id")
@@ -272,8 +336,8 @@ _KNN = """WITH n AS (SELECT a.vec_id AS q, b.vec_id AS id, list_cosine_similarit
   WHERE a.vec_id % {m} = 0 AND list_sum(list_transform(a.embedding::DOUBLE[], lambda x: abs(x))) > 0 AND list_sum(list_transform(b.embedding::DOUBLE[], lambda x: abs(x))) > 0),
 k AS (SELECT *, (row_number() OVER (PARTITION BY q ORDER BY round(cosine, 9) DESC, id))::INT AS rank FROM n QUALIFY rank <= {k})
 """
-_ROUTED = _KNN.format(t="universe_embeddings", m=20, k=30) + f""", h AS (SELECT k.q, c.\"rowid\" AS r, cosine, greatest(0, cosine) AS sim, upper(trim(target_table_id)) AS table_id, weight, polarity, card_type, target_year FROM k JOIN universe_embeddings u ON u.vec_id = k.id JOIN cards c ON c.\"rowid\" = u.card_rowid WHERE trim(target_table_id) <> ''),
-g AS (SELECT q, table_id, sum(sim * weight * CASE WHEN polarity = 'negative' THEN -1 ELSE 1 END) AS s, sum((polarity = 'positive')::INT)::BIGINT AS n_pos, sum((polarity = 'negative')::INT)::BIGINT AS n_neg, arg_max(r, (round(cosine, 9), -r)) AS best_card, array_to_string(list_sort(list(DISTINCT card_type)), ',') AS card_types, array_to_string(list_sort(list(DISTINCT target_year)), ',') AS years FROM h GROUP BY 1, 2),
+_ROUTED = _KNN.format(t="universe_embeddings", m=20, k=30) + f""", h AS (SELECT k.q, c.\"rowid\" AS r, cosine, greatest(0, cosine) AS sim, upper(trim(target_table_id)) AS table_id, weight, polarity, card_type, target_year, is_commonly_queried, upper(trim(target_variable_id)) AS variable_id FROM k JOIN universe_embeddings u ON u.vec_id = k.id JOIN cards c ON c.\"rowid\" = u.card_rowid WHERE trim(target_table_id) <> ''),
+g AS (SELECT q, table_id, sum(sim * weight * CASE WHEN is_commonly_queried = 1 THEN 1.1::DOUBLE ELSE 1 END * CASE WHEN polarity = 'negative' THEN -1 ELSE 1 END) AS s, sum((polarity = 'positive')::INT)::BIGINT AS n_pos, sum((polarity = 'negative')::INT)::BIGINT AS n_neg, arg_max(r, (round(cosine, 9), -r)) AS best_card, array_to_string(list_sort(list(DISTINCT card_type)), ',') AS card_types, array_to_string(list_sort(list(DISTINCT target_year)), ',') AS years FROM h GROUP BY 1, 2),
 t AS (SELECT q, table_id, s * {_FAM} AS score, n_pos, n_neg, best_card, card_types, years FROM g)
 """
 _TOP = _ROUTED + ", top AS (SELECT q, table_id, score, (row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, table_id))::INT AS rank FROM t), five AS (SELECT q, table_id, round(score, 5) AS score, rank FROM top WHERE rank <= 5 AND score >= 0.05)\n"
@@ -285,7 +349,7 @@ def _marks(marks: tuple[str, ...]) -> str:
     return "(" + " OR ".join(f"contains(label, '{m}')" for m in marks) + ")"
 
 
-QUERIES = {f.__name__: f for f in (bm25_search, prefix_match, keyword_gate, longest_trigger, vector_knn, target_aggregate, routed_top, universe_pick, similarity_margin, family_bias)}
+QUERIES = {f.__name__: f for f in (bm25_search, prefix_match, keyword_gate, longest_trigger, vector_knn, target_aggregate, routed_top, universe_pick, similarity_margin, family_bias, routed_filtered, routed_dataset, variable_aggregate, search_filtered)}
 SQL = {
     "bm25_search": f"""WITH d AS (SELECT table_id || '|' || dataset || '|' || year AS doc, max(concat_ws(' ', title, description, use_when)) AS text FROM stat_tables GROUP BY 1),
 w AS (SELECT doc, {_TOK.format('text')} AS w FROM d), st AS (SELECT count(*) AS n, avg(len(w)) AS avg_dl FROM w), ix AS (SELECT term, doc, dl, count(*) AS tf FROM (SELECT doc, len(w) AS dl, unnest(w) AS term FROM w) GROUP BY 1, 2, 3),
@@ -299,6 +363,10 @@ SELECT q, doc, round(score, 6) AS score, (row_number() OVER (PARTITION BY q ORDE
     "vector_knn": _KNN.format(t="embeddings", m=20, k=10) + "SELECT q, id, round(cosine, 5) AS cosine, rank FROM k",
     "target_aggregate": _ROUTED + "SELECT q, table_id, round(score, 5) AS score, n_pos, n_neg, best_card, card_types, years FROM t",
     "routed_top": _TOP + "SELECT * FROM five",
+    "routed_filtered": _ROUTED + """, b AS (SELECT q, table_id, score * CASE WHEN table_id IN (SELECT upper(trim(table_id)) FROM stat_tables WHERE contains(lower(l1_domains_json), 'housing')) THEN 1.5::DOUBLE ELSE 1 END AS score FROM t WHERE table_id IN (SELECT upper(trim(table_id)) FROM coverage WHERE geo_level = 'tract' AND status = 'success')),
+r AS (SELECT q, table_id, score, (row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, table_id))::INT AS rank FROM b) SELECT q, table_id, round(score, 5) AS score, rank FROM r WHERE rank <= 5 AND score >= 0.05""",
+    "routed_dataset": _TOP.replace("a.vec_id % 20 = 0", "a.vec_id % 20 = 0 AND a.dataset = 'acs5' AND b.dataset = 'acs5'") + "SELECT * FROM five",
+    "variable_aggregate": _ROUTED.rsplit("t AS (", 1)[0] + f"""gv AS (SELECT q, table_id, variable_id, sum(sim * weight * CASE WHEN is_commonly_queried = 1 THEN 1.1::DOUBLE ELSE 1 END * CASE WHEN polarity = 'negative' THEN -1 ELSE 1 END) AS s, sum((polarity = 'positive')::INT)::BIGINT AS n_pos, sum((polarity = 'negative')::INT)::BIGINT AS n_neg, arg_max(r, (round(cosine, 9), -r)) AS best_card FROM h WHERE variable_id <> '' GROUP BY 1, 2, 3) SELECT q, table_id, variable_id, round(s * {_FAM}, 5) AS score, n_pos, n_neg, best_card FROM gv""",
     "universe_pick": _TOP + f""", un AS (SELECT q, table_id, max(cosine) AS u FROM h GROUP BY 1, 2),
 ts AS (SELECT top.q, top.table_id, least(top.score, 10) / 10 * coalesce(greatest(u, 0), 0.3) * {_FAM.replace('table_id', 'top.table_id')} AS table_score FROM top JOIN un ON un.q = top.q AND un.table_id = top.table_id WHERE top.rank <= 5 AND top.score >= 0.05),
 kept AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(table_score, 9) DESC, table_id) AS rn FROM ts QUALIFY rn <= 2),

@@ -8,8 +8,8 @@ def test_routed_queries(spark, tmp_path):
     rng = np.random.default_rng(4)
     v = [(i, i, rng.normal(size=4).tolist()) for i in range(200)]
     spark.createDataFrame(v, "vec_id bigint, card_rowid bigint, embedding array<float>").write.parquet(f"{d}/universe_embeddings.parquet")
-    cards = [(i, f"B{i % 3:05d}", 1.0, "positive", "topic", 2020, f"V{i}", "homes by sex" if i % 2 else "all homes", i % 5 == 0) for i in range(200)]
-    spark.createDataFrame([(*c[:8], int(c[8])) for c in cards], "rowid bigint, target_table_id string, weight double, polarity string, card_type string, target_year int, target_variable_id string, text string, is_total int").write.parquet(f"{d}/cards.parquet")
+    cards = [(i, f"B{i % 3:05d}", 1.0, "positive", "topic", 2020, f"V{i}", "homes by sex" if i % 2 else "all homes", i % 5 == 0, 0) for i in range(200)]
+    spark.createDataFrame([(*c[:8], int(c[8]), 0) for c in cards], "rowid bigint, target_table_id string, weight double, polarity string, card_type string, target_year int, target_variable_id string, text string, is_total int, is_commonly_queried int").write.parquet(f"{d}/cards.parquet")
     wanted = set(range(0, 200, 20))
     x = np.array([r[2] for r in v], dtype=np.float32).astype(float)
     x /= np.linalg.norm(x, axis=1)[:, None]
@@ -38,3 +38,9 @@ def test_nearest_among_mixed_lengths(spark):
     v = spark.createDataFrame(rows, "id bigint, v array<double>")
     got = {(r.q, r.id) for r in search.exact_nearest(v, v, 1).collect()}
     assert got == {(1, 2), (2, 1), (3, 4), (4, 3), (5, 2)}
+
+
+def test_snippets(spark):
+    d = spark.createDataFrame([("one two three four five six Rented, seven eight",), ("Rent first",), ("nothing",), (None,)], "t string")
+    got = [r[0] for r in d.select(search.snippet(d.t, ["rent"], 2)).collect()]
+    assert got == ["... five six Rented, seven eight", "Rent first", None, None]
