@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import blank_to_null, pad_left, salted_join, table
 
-MAX_BITS = 1 << 24
+MAX_BITS = 1 << 28
 HASHES = 3
 
 

@@ -24,7 +24,7 @@ def test_ids_names_and_codes(spark):
     assert [one(spark, n.tract_code(F.lit(x))) for x in ("13", "123456789012", "a1")] == ["00000000013", None, None]
     assert one(spark, n.pad_left(F.lit("123"), 2)) == "123"
     assert one(spark, n.record_id("d", F.lit(2020), F.lit("f"), F.lit(7))) == "d:2020:f:000000000007"
-    assert [one(spark, n.shown_number(F.lit(x))) for x in (3.0, 2.5)] == ["3", "2.5000"]
+    assert [one(spark, n.shown_number(F.lit(x))) for x in (3.0, 2.5, 1234567.5, 0.000012345, 0.25)] == ["3", "2.5", "1.23457e+06", "1.2345e-05", "0.25"]
 
 
 ROWS = [("1", "White", 10.0), ("2", "black", 20.0), (None, "BLACK", None), ("3", None, 5.0)]
