@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..runtime import table
+from ..runtime import partitions, table
 from .areas import place_overlap_kind
 
 
@@ -108,6 +108,85 @@ def segment_distance(px: float, py: float, line: np.ndarray) -> float:
     return float(np.sqrt(((near - (px, py)) ** 2).sum(axis=1)).min())
 
 
+def _by_length(*cols: pd.Series):
+    """Rows whose rings have as many points, together (as many rows as a table of 2^20 pairs of points allows): positions, rings of each column."""
+    sizes = pd.DataFrame({k: c.str.len().to_numpy() for k, c in enumerate(cols)})
+    for at in sizes.groupby(list(sizes)).indices.values():
+        step = max(1, 2**20 // max(1, int(np.prod(sizes.iloc[at[0]] / 2 + 1))))
+        for i in range(0, len(at), step):
+            part = at[i : i + step]
+            yield part, [np.stack(c.iloc[part].to_list()).astype(np.float64).reshape(len(part), -1, 2) for c in cols]
+
+
+def contain_points(rings: np.ndarray, px: np.ndarray, py: np.ndarray) -> np.ndarray:
+    """``contains_point`` of many rings, a point each."""
+    x, y = rings[..., 0], rings[..., 1]
+    x2, y2 = np.roll(x, -1, axis=1), np.roll(y, -1, axis=1)
+    crosses = (y > py[:, None]) != (y2 > py[:, None])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        at = x + (py[:, None] - y) / (y2 - y) * (x2 - x)
+    return (crosses & (px[:, None] < at)).sum(axis=1) % 2 == 1
+
+
+def _signed_areas(r: np.ndarray) -> np.ndarray:
+    x, y = r[..., 0], r[..., 1]
+    return 0.5 * ((x * np.roll(y, -1, axis=1)).sum(axis=1) - (y * np.roll(x, -1, axis=1)).sum(axis=1))
+
+
+def _clipped_areas(p: np.ndarray, clip: np.ndarray) -> np.ndarray:
+    """Areas of what ``clip_convex`` leaves of many polygons; where one has fewer points, its last stands for the rest."""
+    for a, b in zip(clip.swapaxes(0, 1), np.roll(clip, -1, axis=1).swapaxes(0, 1), strict=True):
+        d = b - a
+        s = d[:, None, 0] * (p[..., 1] - a[:, None, 1]) - d[:, None, 1] * (p[..., 0] - a[:, None, 0])
+        t, q = np.roll(s, -1, axis=1), np.roll(p, -1, axis=1)
+        cut = ((s > 0) & (t < 0)) | ((s < 0) & (t > 0))
+        share = np.where(cut, s, 0) / np.where(cut, s - t, 1)
+        points = np.stack([p, p + share[..., None] * (q - p)], axis=2).reshape(len(p), -1, 2)
+        keep = np.stack([s >= 0, cut], axis=2).reshape(len(p), -1)
+        n = keep.sum(axis=1)
+        at = np.minimum(np.arange(max(1, n.max())), np.maximum(n - 1, 0)[:, None])
+        order = np.take_along_axis(np.argsort(~keep, axis=1, kind="stable"), at, axis=1)
+        p = np.take_along_axis(points, order[..., None], axis=1)
+    return np.abs(_signed_areas(p))
+
+
+def shared_areas(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``shared_area`` of many pairs."""
+    a, b = (np.where((_signed_areas(r) >= 0)[:, None, None], r, r[:, ::-1]) for r in (a, b))
+    out, done = np.zeros(len(a)), np.zeros(len(a), dtype=bool)
+    for subject, clip in ((a, b), (b, a)):
+        d = np.roll(clip, -1, axis=1) - clip
+        e = np.roll(d, -1, axis=1)
+        turn = d[..., 0] * e[..., 1] - d[..., 1] * e[..., 0]
+        at = np.nonzero(~done & ((turn >= 0).all(axis=1) | (turn <= 0).all(axis=1)))[0]
+        if len(at):
+            out[at], done[at] = _clipped_areas(subject[at], clip[at]), True
+    for i in np.nonzero(~done)[0]:
+        out[i] = shared_area(a[i], b[i])
+    return out
+
+
+def segment_distances(points: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    """The least ``segment_distance`` of the points of each row to the row's line."""
+    a, b = lines[:, None, :-1], lines[:, None, 1:]
+    d, p = b - a, points[:, :, None]
+    n = (d * d).sum(axis=-1)
+    t = np.clip(((p[..., 0] - a[..., 0]) * d[..., 0] + (p[..., 1] - a[..., 1]) * d[..., 1]) / np.where(n > 0, n, 1), 0, 1)
+    return np.sqrt(((a + t[..., None] * d - p) ** 2).sum(axis=-1)).min(axis=(1, 2))
+
+
+def ring_distances(a: np.ndarray, b: np.ndarray, closed: bool = True) -> np.ndarray:
+    """``ring_distance`` of many pairs."""
+    la, lb = np.concatenate([a, a[:, :1]], axis=1) if closed else a, np.concatenate([b, b[:, :1]], axis=1)
+    touch = contain_points(b, a[:, 0, 0], a[:, 0, 1])
+    if closed:
+        touch |= contain_points(a, b[:, 0, 0], b[:, 0, 1])
+    cross = lambda o, p, q: (p[..., 0] - o[..., 0]) * (q[..., 1] - o[..., 1]) - (p[..., 1] - o[..., 1]) * (q[..., 0] - o[..., 0])
+    p, q, r, s = la[:, :-1, None], la[:, 1:, None], lb[:, None, :-1], lb[:, None, 1:]
+    touch |= ((cross(p, q, r) * cross(p, q, s) < 0) & (cross(r, s, p) * cross(r, s, q) < 0)).any(axis=(1, 2))
+    return np.where(touch, 0.0, np.minimum(segment_distances(a, lb), segment_distances(b, la)))
+
+
 def _upright(rings: np.ndarray) -> np.ndarray:
     """Which rings of four points are boxes along the axes: each side changes one coordinate only, in turn."""
     d = np.roll(rings, -1, axis=1) - rings == 0
@@ -126,8 +205,9 @@ def overlap_area(a: pd.Series, b: pd.Series) -> pd.Series:
         upright = _upright(p) & _upright(q)
         box[quads[upright]] = True
         out[quads[upright]] = np.clip(hi - lo, 0, None).prod(axis=1)[upright]
-    for i in np.nonzero(~box)[0]:
-        out[i] = shared_area(*(np.asarray(s.iloc[i], dtype=np.float64).reshape(-1, 2) for s in (a, b)))
+    rest = np.nonzero(~box)[0]
+    for at, (p, q) in _by_length(a.iloc[rest], b.iloc[rest]):
+        out[rest[at]] = shared_areas(p, q)
     return pd.Series(out)
 
 
@@ -204,6 +284,17 @@ def grid_join(a: DataFrame, b: DataFrame, size: float, grow: float = 0.0) -> Dat
     return j.where(touch & (F.col("gx") == first("ax0", "bx0")) & (F.col("gy") == first("ay0", "by0"))).drop("gx", "gy")
 
 
+def shape_join(a: DataFrame, b: DataFrame, found, size: float, grow: float = 0.0) -> DataFrame:
+    """The columns besides the boxes of ``a``, of ``b`` and of ``found``: what this leaves of the pairs of distinct boxes.
+
+    Shapes follow from boxes, so that ``found`` compares each pair of shapes once, however many rows share them; the rows
+    meet by equality of the boxes, in as many tasks as the result needs rather than as few as its small input asks for."""
+    n = max(partitions(a.sparkSession), 4 * a.sparkSession.sparkContext.defaultParallelism)
+    ka, kb = ([f"{p}{s}" for s in ("x0", "y0", "x1", "y1")] for p in "ab")
+    j = found(grid_join(a.select(*ka).distinct(), b.select(*kb).distinct(), size, grow).repartition(n))
+    return j.join(a, ka).drop(*ka).repartition(n, *kb).join(b.repartition(n, *kb), kb).drop(*kb)
+
+
 def box_ring(p: str) -> Column:
     c = lambda s: F.col(p + s)
     return F.array(c("x0"), c("y0"), c("x1"), c("y0"), c("x1"), c("y1"), c("x0"), c("y1"))
@@ -238,10 +329,10 @@ def corner_ring(p: str) -> Column:
 
 def polygon_overlap(spark, d):
     """Shares of tracts that places of a concave shape cover, and of the places that lie in the tract, with the kind of overlap."""
-    j = grid_join(_places(spark, d), _tracts(spark, d), 4.0).withColumn("area", overlap_area(corner_ring("a"), box_ring("b")))
     own = (F.col("ax1") - F.col("ax0")) * (F.col("ay1") - F.col("ay0")) * 0.75
     tract, place = F.round(F.col("area") / 4, 4), F.round(F.col("area") / own, 4)
-    return j.select("a", "b", tract.alias("tract_share"), place.alias("place_share"), place_overlap_kind(tract, place).alias("kind")).where("kind IS NOT NULL")
+    found = lambda j: j.withColumn("area", overlap_area(corner_ring("a"), box_ring("b"))).withColumns({"tract_share": tract, "place_share": place, "kind": place_overlap_kind(tract, place)}).where("kind IS NOT NULL").drop("area")
+    return shape_join(_places(spark, d), _tracts(spark, d), found, 4.0).select("a", "b", "tract_share", "place_share", "kind")
 
 
 def point_in_shape(spark, d):
