@@ -237,8 +237,10 @@ def point_inside(px: pd.Series, py: pd.Series, ring: pd.Series) -> pd.Series:
 @F.pandas_udf(T.DoubleType())
 def path_distance(line: pd.Series, ring: pd.Series) -> pd.Series:
     """Distance of a line of points and a ring (flat arrays): a buffer around the line, kept as a line."""
-    rings = ((np.asarray(s, dtype=np.float64).reshape(-1, 2) for s in pair) for pair in zip(line, ring, strict=True))
-    return pd.Series([ring_distance(a, b, closed=False) for a, b in rings], dtype=float)
+    out = np.zeros(len(line))
+    for at, (a, b) in _by_length(line, ring):
+        out[at] = ring_distances(a, b, closed=False)
+    return pd.Series(out)
 
 
 def wkt_of(ring: Column) -> Column:
@@ -351,9 +353,9 @@ def trail_buffers(spark, d):
     """The least of four widths around each trail of three points (two sides of a place) that reaches a tract."""
     trail = F.array("ax0", "ay0", "ax1", "ay0", "ax1", "ay1")
     dist = F.round(path_distance(trail, box_ring("b")), 6)
-    j = grid_join(_places(spark, d), _tracts(spark, d), 4.0, grow=2.0).withColumn("dist", dist)
     width = F.when(F.col("dist") <= 0.25, 0.25).when(F.col("dist") <= 0.5, 0.5).when(F.col("dist") <= 1, 1.0).when(F.col("dist") <= 2, 2.0)
-    return j.withColumn("width", width).where("width IS NOT NULL").select("a", "b", "width")
+    found = lambda j: j.withColumn("dist", dist).withColumn("width", width).where("width IS NOT NULL").drop("dist")
+    return shape_join(_places(spark, d), _tracts(spark, d), found, 4.0, grow=2.0).select("a", "b", "width")
 
 
 def polygon_texts(spark, d):
