@@ -267,7 +267,10 @@ def geojson_of(ring: Column) -> Column:
 
 @F.pandas_udf(T.DoubleType())
 def line_distance(px: pd.Series, py: pd.Series, line: pd.Series) -> pd.Series:
-    return pd.Series([segment_distance(x, y, np.asarray(p, dtype=np.float64).reshape(-1, 2)) for x, y, p in zip(px, py, line, strict=True)])
+    out = np.zeros(len(line))
+    for at, (p,) in _by_length(line):
+        out[at] = segment_distances(np.stack([px.iloc[at], py.iloc[at]], axis=1)[:, None], p)
+    return pd.Series(out)
 
 
 def on_grid(df: DataFrame, x0: str, y0: str, x1: str, y1: str, size: float, grow: float = 0.0) -> DataFrame:
@@ -376,8 +379,8 @@ def within_distance(spark, d):
     """Tract middles within 1.5 of a road, here the diagonal of each place."""
     road = F.array("ax0", "ay0", "ax1", "ay1")
     t = _tracts(spark, d).select("b", (F.col("bx0") + 1).alias("bx0"), (F.col("by0") + 1).alias("by0")).withColumns({"bx1": F.col("bx0"), "by1": F.col("by0")})
-    j = grid_join(_places(spark, d), t, 4.0, grow=1.5).withColumn("dist", F.round(line_distance("bx0", "by0", road), 6))
-    return j.where("dist <= 1.5").select("a", "b", "dist")
+    found = lambda j: j.withColumn("dist", F.round(line_distance("bx0", "by0", road), 6)).where("dist <= 1.5")
+    return shape_join(_places(spark, d), t, found, 4.0, grow=1.5).select("a", "b", "dist")
 
 
 def adjacency(spark, d):
