@@ -223,8 +223,9 @@ def polygon_distance(a: pd.Series, b: pd.Series) -> pd.Series:
         upright = _upright(p) & _upright(q)
         box[quads[upright]] = True
         out[quads[upright]] = np.sqrt((gap * gap).sum(axis=1))[upright]
-    for i in np.nonzero(~box)[0]:
-        out[i] = ring_distance(*(np.asarray(s.iloc[i], dtype=np.float64).reshape(-1, 2) for s in (a, b)))
+    rest = np.nonzero(~box)[0]
+    for at, (p, q) in _by_length(a.iloc[rest], b.iloc[rest]):
+        out[rest[at]] = ring_distances(p, q)
     return pd.Series(out)
 
 
@@ -348,8 +349,8 @@ def point_in_shape(spark, d):
 
 def near_tracts(spark, d):
     """Tracts within 1.5 of each place that they don't touch, with their distance."""
-    j = grid_join(_places(spark, d), _tracts(spark, d), 4.0, grow=1.5).withColumn("dist", F.round(polygon_distance(box_ring("a"), box_ring("b")), 6))
-    return j.where("dist > 0 AND dist <= 1.5").select("a", "b", "dist")
+    found = lambda j: j.withColumn("dist", F.round(polygon_distance(box_ring("a"), box_ring("b")), 6)).where("dist > 0 AND dist <= 1.5")
+    return shape_join(_places(spark, d), _tracts(spark, d), found, 4.0, grow=1.5).select("a", "b", "dist")
 
 
 def trail_buffers(spark, d):
