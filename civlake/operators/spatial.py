@@ -231,8 +231,10 @@ def polygon_distance(a: pd.Series, b: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.BooleanType())
 def point_inside(px: pd.Series, py: pd.Series, ring: pd.Series) -> pd.Series:
-    out = [contains_point(*np.asarray(r, dtype=np.float64).reshape(-1, 2).T, x, y) for x, y, r in zip(px, py, ring, strict=True)]
-    return pd.Series(out, dtype=bool)
+    out = np.zeros(len(ring), dtype=bool)
+    for at, (r,) in _by_length(ring):
+        out[at] = contain_points(r, px.iloc[at].to_numpy(), py.iloc[at].to_numpy())
+    return pd.Series(out)
 
 
 @F.pandas_udf(T.DoubleType())
@@ -344,7 +346,8 @@ def polygon_overlap(spark, d):
 def point_in_shape(spark, d):
     """Middles of tracts inside each place of a concave shape."""
     t = _tracts(spark, d).select("b", (F.col("bx0") + 1).alias("bx0"), (F.col("by0") + 1).alias("by0")).withColumns({"bx1": F.col("bx0"), "by1": F.col("by0")})
-    return grid_join(_places(spark, d), t, 4.0).where(point_inside("bx0", "by0", corner_ring("a"))).select("a", "b")
+    found = lambda j: j.where(point_inside("bx0", "by0", corner_ring("a")))
+    return shape_join(_places(spark, d), t, found, 4.0).select("a", "b")
 
 
 def near_tracts(spark, d):

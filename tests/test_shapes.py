@@ -5,7 +5,7 @@ import __spark_entry__ as e
 from civlake.operators import spatial
 
 
-@pytest.mark.parametrize("name", ["polygon_overlap", "trail_buffers", "within_distance", "near_tracts"])
+@pytest.mark.parametrize("name", ["polygon_overlap", "trail_buffers", "within_distance", "near_tracts", "point_in_shape"])
 def test_shapes_that_rows_share_are_compared_once(spark, tmp_path, name):
     duckdb = pytest.importorskip("duckdb")
     d = str(tmp_path)
