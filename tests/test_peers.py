@@ -43,7 +43,7 @@ def test_peers_of_all_anchors_meet_by_blocks(spark, monkeypatch):
     assert found == brute(rows, rows[1::3], axes, 5, 2)
 
 
-@pytest.mark.parametrize("name", ["peer_axes", "peer_rank"])
+@pytest.mark.parametrize("name", ["peer_axes", "peer_rank", "peer_scopes"])
 def test_peer_queries_compute_areas_once(spark, name):
     duckdb = pytest.importorskip("duckdb")
     df = e.queries()[name](spark, SF)
