@@ -7,7 +7,8 @@ in which the texts differ, which a similarity of J bounds by (1-J)/(1+J) x (sum
 The line has two zones: words of at most ``COMMON_FROM`` texts, hashed, and the common words, in order of frequency.
 Pairs in range meet on the grid of one zone or the other, whatever words they share:
 
-* A pair that shares an uncommon word meets in that occupied cell, which holds at most ``COMMON_FROM`` texts.
+* A pair that shares an uncommon word meets in the first such cell (by hash), which holds at most ``COMMON_FROM`` texts;
+  it is among the first n - ceil(J n) + 1 cells of either text of n words, as no more than n - ceil(J n) are not shared.
 * A pair that shares none has spent the counts of all its uncommon words; what is left of the range, r, bounds the
   distance in the common zone.  That zone is cut into blocks of two segments; of more than r / 2 blocks one differs by 1
   at most, so that one of its segments is equal in both (the grid cell) and the other within a range of 1 (the range
@@ -19,12 +20,11 @@ distance is a population count; it is tested for every pair that meets.  What li
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +40,8 @@ COMMON_FROM = 256
 COMMON_MOST = 262_144
 #: Numbers of common segments to choose from (twice the blocks).
 LEVELS = np.array(sorted({2, 4, 6, 8, 10, 12, 14, *(k << e for e in range(2, 22) for k in (4, 5, 6, 7))}))
+#: Twice the slack of a text is counted down to the negative of this.
+LARGE = 1 << 20
 #: Bits of the map that tells where the texts of a higher level can be met.
 MAP_BITS = 1 << 24
 #: Texts looked at to find cells that hold over a fiftieth of all texts; these are spread by what else must agree.
@@ -48,42 +50,93 @@ HOT_SAMPLE = 20_000
 BLOCK_ROWS, BLOCK_PAIRS = 1_000_000, 2_000_000
 #: Candidate ids up to this number are broadcast to fetch their texts; more are joined by shuffle.
 BROADCAST_IDS = 200_000
+#: Bytes of text taken apart, and hashes of words counted, at once in a task.
+BLOCK_BYTES, BLOCK_HASHES = 1 << 24, 1 << 21
 
-_WORD = re.compile("[a-z0-9]+")
+#: The letter or digit that a byte stands for, in lower case; 0 for all others.
+_KIND = bytes(ord(c.lower()) if (c := chr(k)).isascii() and c.isalnum() else 0 for k in range(256))
+#: Words of more letters are hashed one by one.
+LONG_WORD = 512
 
 
-def words_of(text: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != ""))
+def _blocks(b: pa.RecordBatch, *texts: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch by BLOCK_BYTES of the ``texts`` columns, one at least."""
+    ends = np.cumsum(sum(pc.binary_length(b.column(k)).to_numpy(zero_copy_only=False).astype(np.int64) for k in texts))
+    at = 0
+    while at < b.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK_BYTES, side="right")))
+        yield b.slice(at, to - at)
+        at = to
 
 
-class _Hashes(dict):
-    """64-bit hashes of words, remembered while there is room."""
+def _hashes(letters: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words, eight letters at a time; those of up to eight letters have each its own."""
+    eight = np.ndarray(len(letters) - 7, dtype="<u8", buffer=letters, strides=(1,))
+    mask = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+    h = _mixed(_mixed((eight[start] & mask[np.minimum(size, 8)]) + np.uint64(0x9E6C63D0876A9A47)))
+    at = np.flatnonzero(size > 8)
+    for k in range(8, min(int(size.max(initial=0)), LONG_WORD), 8):
+        at = at[size[at] > k]
+        h[at] = _mixed(_mixed(h[at] ^ (eight[start[at] + k] & mask[np.minimum(size[at] - k, 8)])))
+    for k in np.flatnonzero(size > LONG_WORD).tolist():
+        h[k] = xxhash.xxh3_64_intdigest(letters[start[k] : start[k] + size[k]].tobytes())
+    return h.view(np.int64)
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word.encode()) - (1 << 63)
-        return h
+
+def word_sets(texts: pa.Array, hashed: bool = False) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """row and code of each text's words, every word once, in order of row and code; the words, or their hashes, by code.
+
+    A word is a run of a-z and 0-9 of the text in lower case.
+    """
+    texts = texts.cast(pa.large_string())
+    if any(b is not None and (np.frombuffer(b, dtype=np.uint8) & 128).any() for b in texts.buffers()[2:]):
+        texts = pa.array([t.lower() for t in texts.to_pylist()], pa.large_string())  # there are signs of which an ASCII letter is the lower case
+    _, ends, data = texts.buffers()
+    ends = np.frombuffer(ends, dtype=np.int64)[texts.offset :][: len(texts) + 1] if len(texts) else np.zeros(1, dtype=np.int64)
+    letters = np.frombuffer((data[int(ends[0]) : int(ends[-1])].to_pybytes() if data is not None else b"").translate(_KIND) + bytes(8), dtype=np.uint8)
+    ends = ends - ends[0]
+    there = letters > 0
+    begins = there.copy()
+    begins[1:] &= ~there[:-1]
+    begins[ends[:-1]] = there[ends[:-1]]
+    stops = there.copy()
+    stops[:-1] &= ~there[1:] | begins[1:]
+    start = np.flatnonzero(begins)
+    size = np.flatnonzero(stops) - start + 1
+    row = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(start, ends)))
+    if hashed:
+        words = pa.array(_hashes(letters, start, size))
+    else:
+        words = pa.LargeStringArray.from_buffers(len(row), pa.py_buffer(np.concatenate([[0], np.cumsum(size)])), pa.py_buffer(letters[there]))
+    coded = words.dictionary_encode()
+    pair = np.sort((row << 32) + coded.indices.to_numpy(zero_copy_only=False))
+    pair = pair[np.diff(pair, prepend=-1) > 0]
+    return pair >> 32, pair & 0xFFFFFFFF, coded.dictionary
 
 
 def common_words(texts: DataFrame) -> np.ndarray:
     """Hashes of the common words, the rarest first; at most COMMON_MOST."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n: Counter = Counter()
-        seen = _Hashes()
-
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array([seen[w] for w in n], pa.int64()), pa.array(list(n.values()), pa.int64())], names=["h", "n"])
-            n.clear()
-            return out
-
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                n.update(set(_WORD.findall(t.lower())))
-            if len(n) > 500_000:
-                yield flush()
-        yield flush()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            h, at = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+            return h, np.bincount(at, np.concatenate([x for _, x in held]), minlength=len(h)).astype(np.int64)
+
+        def out(h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], names=["h", "n"])
+
+        for batch in batches:
+            for b in _blocks(batch, 0):
+                _, code, words = word_sets(b.column(0), hashed=True)
+                held.append((words.to_numpy(), np.bincount(code, minlength=len(words))))
+                if sum(len(x) for x, _ in held) > BLOCK_HASHES:
+                    held = [merged()]
+                    if len(held[0][0]) * 2 > BLOCK_HASHES:
+                        yield out(*held.pop())
+        if held:
+            yield out(*merged())
 
     counts = durable(texts.select("text").mapInArrow(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")))
     least = COMMON_FROM
@@ -94,40 +147,50 @@ def common_words(texts: DataFrame) -> np.ndarray:
 
 
 def sketches(texts: DataFrame, common: np.ndarray) -> DataFrame:
-    """source_table, id, key (equal for equal word sets), n_words, planes p1 and p2, cells (hashes of the uncommon words), often (ranks of
-    the common words); texts without a word drop out."""
+    """source_table, id, key (equal for equal word sets), n_words, planes p1 and p2, cells (hashes of the uncommon words, in one order for
+    all texts), often (ranks of the common words), n_often; texts without a word drop out."""
     shared = texts.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_hash = np.argsort(shared.value)
         known = shared.value[by_hash]
-        seen = _Hashes()
-        for b in batches:
-            words = [set(_WORD.findall(t.lower())) for t in b.column(2).to_pylist()]
-            some = np.nonzero([bool(w) for w in words])[0]
-            size = np.array([len(words[i]) for i in some], dtype=np.int64)
-            h = np.fromiter((seen[w] for i in some for w in words[i]), dtype=np.int64, count=int(size.sum()))
-            row = np.repeat(np.arange(len(some)), size)
-            h = h[np.lexsort((h, row))]
+        for b in (part for batch in batches for part in _blocks(batch, 2)):
+            row, code, words = word_sets(b.column(2), hashed=True)
+            if not len(row):
+                continue
+            hashes = words.to_numpy()
+            by = np.argsort(hashes)  # codes in order of the hashes
+            place = np.empty_like(by)
+            place[by] = np.arange(len(by))
+            hashes = hashes[by]
+            at = np.minimum(np.searchsorted(known, hashes), max(0, len(known) - 1))
+            is_common = known[at] == hashes if len(known) else np.zeros(len(hashes), dtype=bool)
+            ranks = by_hash[at] if len(known) else at
+            size = np.bincount(row, minlength=b.num_rows)
+            some = np.flatnonzero(size)
+            size, row = size[some], (np.cumsum(size > 0) - 1)[row]
+            pair = np.sort((row << 32) + place[code])
+            code = pair & 0xFFFFFFFF
+            h = hashes[code]
             ends = np.cumsum(size)
-            key = [xxhash.xxh3_128_digest(h[lo:hi].tobytes()) for lo, hi in zip((ends - size).tolist(), ends.tolist(), strict=True)]
+            raw = memoryview(h.tobytes())
+            key = [xxhash.xxh3_128_digest(raw[8 * lo : 8 * hi]) for lo, hi in zip((ends - size).tolist(), ends.tolist(), strict=True)]
             counts = np.bincount(row * SEGMENTS + (h & (SEGMENTS - 1)), minlength=len(some) * SEGMENTS).reshape(len(some), SEGMENTS)
             planes = [np.packbits(counts >= k, axis=1, bitorder="little").view(np.int64).ravel() for k in (1, 2)]
-            at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
-            common = known[at] == h if len(known) else np.zeros(len(h), dtype=bool)
-            rank = by_hash[at[common]].astype(np.int32) if len(known) else np.empty(0, dtype=np.int32)
-            order = np.lexsort((rank, row[common]))
-            lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(row[w], minlength=len(some)))]).astype(np.int32)), pa.array(x)) for w, x in ((~common, h[~common].astype(np.int32)), (common, rank[order]))]
+            common = is_common[code]
+            n_often = np.bincount(row[common], minlength=len(some))
+            rank = np.sort((row[common] << 32) + ranks[code[common]]) & 0xFFFFFFFF
+            lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(x.astype(np.int32))) for n, x in ((size - n_often, h[~common]), (n_often, rank))]
             ids = [b.column(k).take(pa.array(some)) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*ids, pa.array(key, pa.binary()), pa.array(size.astype(np.int32)), *map(pa.array, planes), *lists], names=["source_table", "id", "key", "n_words", "p1", "p2", "cells", "often"])
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(key, pa.binary()), pa.array(size.astype(np.int32)), *map(pa.array, planes), *lists, pa.array(n_often.astype(np.int32))], names=["source_table", "id", "key", "n_words", "p1", "p2", "cells", "often", "n_often"])
 
-    return texts.mapInArrow(run, "source_table string, id bigint, key binary, n_words int, p1 bigint, p2 bigint, cells array<int>, often array<int>")
+    return texts.mapInArrow(run, "source_table string, id bigint, key binary, n_words int, p1 bigint, p2 bigint, cells array<int>, often array<int>, n_often int")
 
 
 def slack(least: float) -> Column:
     """What a text adds to the range in the common zone: two texts of similarity ``least`` or more that share no
     uncommon word differ in at most the sum of their slacks of common words."""
-    return F.size("often") - F.col("n_words") * (2 * least / (1 + least)) + 1e-9
+    return F.col("n_often") - F.col("n_words") * (2 * least / (1 + least)) + 1e-9
 
 
 def _levels(count: dict[int, int]) -> list[int]:
@@ -178,26 +241,26 @@ def _segments(b: pa.RecordBatch, m: int, lower: bool, top: int) -> dict[str, np.
         return None
     cells = cells[use]
     segments = cells + cells % 2
-    often = b.column(names.index("often")).take(pa.array(use))
-    ranks = often.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    owner = np.repeat(np.arange(len(use)), often.value_lengths().to_numpy(zero_copy_only=False))
-    keep = ranks % m < segments[owner]
-    ranks, owner = ranks[keep], owner[keep]
+    often = b.column(names.index("often"))
+    often = often.take(pa.array(use)) if len(use) < len(often) else often
+    ranks = often.flatten().to_numpy(zero_copy_only=False).view(np.uint32)
+    n_often = often.value_lengths().to_numpy(zero_copy_only=False)
+    segment = ranks % np.uint32(m)
+    keep = np.flatnonzero(segment < np.repeat(segments.astype(np.uint32), n_often))
+    ranks, segment, owner = ranks[keep], segment[keep].astype(np.int64), np.repeat(np.arange(len(use)), n_often)[keep]
     begin = np.cumsum(segments) - segments
     value = _word_values(ranks)
     sums = np.zeros(int(segments.sum()), dtype=np.uint64)
-    np.add.at(sums, begin[owner] + ranks % m, value)
+    np.add.at(sums, begin[owner] + segment, value)
     who = np.repeat(np.arange(len(use)), cells)
     start = np.cumsum(cells) - cells
     k = np.arange(len(who)) - start[who]
     sid = b.column(names.index("sid")).to_numpy(zero_copy_only=False).view(np.uint64)[use[who]]
     cell = _mixed(_mixed(sums[begin[who] + k] ^ sid) + (k + (m << 32)).astype(np.uint64)) >> np.uint64(32)
     other = sums[begin[who] + (k ^ 1)]
-    across = ranks % m ^ 1
-    meets = across < cells[owner]  # the cell whose other segment holds the word
-    row, rank, value = (start[owner] + across)[meets], ranks[meets], value[meets]
-    order = np.argsort(row, kind="stable")
-    row, rank, value = row[order], rank[order], value[order]
+    across = segment ^ 1
+    meets = np.flatnonzero(across < cells[owner])  # the cell whose other segment holds the word
+    row, rank, value = start[owner[meets]] + across[meets], ranks[meets], value[meets]
     return {"who": use[who], "cell": cell, "first": k % 2 == 0, "key": _key(cell, other), "row": row, "rank": rank, "less": _key(cell[row], other[row] - value)}
 
 
@@ -234,9 +297,15 @@ def common_candidates(s: DataFrame, least: float) -> DataFrame:
     """
     spark = s.sparkSession
     reach = F.col("n_words") * ((1 - least) / (1 + least) / least) + 1e-6  # the most slack that a partner can have
-    s = s.select(F.xxhash64("source_table").alias("sid"), "id", "often", slack(least).cast("double").alias("slack"), reach.cast("double").alias("reach")).where(F.size("often") > 0)
-    need = F.array_min(F.filter(F.array(*[F.lit(int(m)) for m in LEVELS]), lambda m: m > F.col("slack") * 2))
-    levels = _levels({r["m"]: r["n"] for r in s.where("slack >= 0").groupBy(need.alias("m")).agg(F.count(F.lit(1)).alias("n")).collect()})
+    s = s.select(F.xxhash64("source_table").alias("sid"), "id", "often", slack(least).cast("double").alias("slack"), reach.cast("double").alias("reach")).where("n_often > 0")
+    # by whole numbers, of which there are at most some COMMON_MOST
+    counts = {r["x"]: r["n"] for r in s.groupBy(F.greatest(F.floor(F.col("slack") * 2), F.lit(-LARGE)).alias("x")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    need: dict[int, int] = {}
+    for x, k in counts.items():
+        if x >= 0:
+            m = int(LEVELS[np.searchsorted(LEVELS, x, side="right")])
+            need[m] = need.get(m, 0) + k
+    levels = _levels(need)
     if not levels:
         return spark.createDataFrame([], "sid bigint, a bigint, b bigint")
     tops = dict(zip(levels, [-2 * max(levels), *levels], strict=False))
@@ -268,7 +337,7 @@ def common_candidates(s: DataFrame, least: float) -> DataFrame:
                     new = np.cumsum(use) - 1
                     yield False, {**{c: got[c][use] for c in ("who", "cell", "first", "key")}, "row": new[got["row"][word]], "rank": got["rank"][word], "less": got["less"][word]}
 
-    total = s.count()
+    total = sum(k for x, k in counts.items() if x >= -max(levels))
     share = F.pmod(F.xxhash64("id", "sid"), F.lit(1 << 30)) <= int((1 << 30) * min(1.0, HOT_SAMPLE / max(1, total)))
     sample = s.where(share).limit(2 * HOT_SAMPLE).toArrow()
     seen = [got["cell"] for b in sample.to_batches() for _, got in cells_of(b, maps)]
@@ -297,8 +366,9 @@ def common_candidates(s: DataFrame, least: float) -> DataFrame:
                 flags = OWN * own + FIRST * got["first"]
                 cold = ~is_hot
                 word = cold[got["row"]]
-                size = np.bincount(got["row"][word], minlength=len(cold))[cold]
-                yield rows(got["who"][cold], got["cell"][cold], np.zeros(int(cold.sum()), dtype=np.uint64), flags[cold], size, got["rank"][word])
+                held = np.sort((got["row"][word] << 32) + got["rank"][word])
+                size = np.bincount(held >> 32, minlength=len(cold))[cold]
+                yield rows(got["who"][cold], got["cell"][cold], np.zeros(int(cold.sum()), dtype=np.uint64), flags[cold], size, held & 0xFFFFFFFF)
                 if is_hot.any():  # where they meet depends on the other segment: as it is, and without each of its words
                     none = np.empty(0, dtype=np.int32)
                     for row, key, extra in ((np.nonzero(is_hot)[0], got["key"][is_hot], HOT), (got["row"][~word], got["less"][~word], HOT + LACKS)):
@@ -341,18 +411,32 @@ def _met(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     whole = np.nonzero(~lacks)[0]
     whole = whole[np.argsort(key[whole], kind="stable")]
     there = key[whole]
+    bounds = np.flatnonzero(np.diff(there)) + 1
+    bounds = np.concatenate([[0], bounds, [len(there)]])
+    end = np.repeat(bounds[1:], np.diff(bounds))  # of the rows with the same key
     sent = np.nonzero(lacks)[0]
     less_row = np.concatenate([row, sent])
     less = np.concatenate([_key(cell[row], other[row] - value), key[sent]])
+    # most keys that lack a word are nobody's: a table of some bits of the keys tells, before they are looked up in order
+    bits = np.uint64((1 << (8 * len(there)).bit_length()) - 1)
+    some = np.zeros(int(bits) + 1, dtype=bool)
+    some[there & bits] = True
+    may = np.flatnonzero(some[less & bits])
+    may = may[np.argsort(less[may])]
+    less_row, less = less_row[may], less[may]
+    lo = np.searchsorted(there, less)
+    hit = np.flatnonzero(there[np.minimum(lo, max(0, len(there) - 1))] == less) if len(there) else lo[:0]
+    less_row, lo = less_row[hit], lo[hit]
     equal = np.nonzero(first[whole])[0]  # equal blocks meet in the cell of their first segment only
-    equal_at = np.searchsorted(there, there[equal], side="right")
-    tasks = [(whole[equal], equal + 1, equal_at - equal - 1), (less_row, lo := np.searchsorted(there, less), np.searchsorted(there, less, side="right") - lo)]
+    tasks = [(whole[equal], equal + 1, end[equal] - equal - 1), (less_row, lo, end[lo] - lo)]
     for left, lo, n in tasks:
         keep = n > 0
         left, lo, n = left[keep], lo[keep], n[keep]
         for i, j in _expand(lo, n):
             x, y = left[i], whole[j]
-            ok = (np.bitwise_count(parity[x] ^ parity[y]) <= room[x] + room[y] + 1e-3) & (own[x] | own[y]) & (ids[x] != ids[y]) & (sid[x] == sid[y])
+            ok = np.flatnonzero(np.bitwise_count(parity[x] ^ parity[y]) <= room[x] + room[y] + 1e-3)
+            x, y = x[ok], y[ok]
+            ok = (own[x] | own[y]) & (ids[x] != ids[y]) & (sid[x] == sid[y])
             x, y = x[ok], y[ok]
             if len(x):
                 yield np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y]), sid[x]
@@ -366,25 +450,86 @@ def class_links(texts: DataFrame, least: float = 0.6) -> tuple[DataFrame, DataFr
     """
     texts = texts.select("source_table", "id", "text").where("id IS NOT NULL AND text IS NOT NULL")
     s = durable(sketches(texts, common_words(texts)))
-    k = F.concat("source_table", F.hex("key")).alias("k")
-    sizes = s.groupBy("source_table", "key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("rep")).where("n > 1")
-    members = durable(salted_join(s.select(k, "source_table", "id"), sizes.select(k, "rep"), "k", "id", "inner").select("source_table", "id", "rep"))
+    sizes = durable(s.groupBy("source_table", "key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("rep")).where("n > 1"))
+    if sizes.count() <= BROADCAST_IDS:
+        same = s.select("source_table", "key", "id").join(F.broadcast(sizes), ["source_table", "key"])
+    else:
+        k = F.concat("source_table", F.hex("key")).alias("k")
+        same = salted_join(s.select(k, "source_table", "id"), sizes.select(k, "rep"), "k", "id", "inner")
+    members = durable(same.select("source_table", "id", "rep"))
     # one row stands for the copies of a class; a repeated id meets itself only, which x.id < y.id rules out
     reps = _without(s.drop("key"), members.where("id <> rep").select("source_table", "id").distinct())
+    cand = durable(uncommon_candidates(reps, least).unionByName(common_candidates(reps, least)).distinct())
+    return members, durable(_verified(texts, cand, least))
+
+
+def first_cells(s: DataFrame, least: float) -> DataFrame:
+    """sid, id, n_words, p1, p2 and cell, for each cell in which a text may first meet another one."""
+    n = F.col("n_words")
+    most = (n - F.ceil(n * least - 1e-9) + 1).cast("int")
     sid = F.xxhash64("source_table")
-    cell = reps.select(sid.alias("sid"), "id", "n_words", "p1", "p2", F.explode("cells").alias("c")).select(F.hash("sid", "c").alias("cell"), "sid", "id", "n_words", "p1", "p2").repartition("cell")
-    apart = F.bit_count(F.col("x.p1").bitwiseXOR(F.col("y.p1"))) + F.bit_count(F.col("x.p2").bitwiseXOR(F.col("y.p2")))
-    near = (apart <= (F.col("x.n_words") + F.col("y.n_words")) * ((1 - least) / (1 + least)) + 1e-9) & (F.least("x.n_words", "y.n_words") >= F.greatest("x.n_words", "y.n_words") * least - 1e-9)
-    met = cell.alias("x").join(cell.alias("y"), (F.col("x.cell") == F.col("y.cell")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.sid") == F.col("y.sid")) & near)
-    cand = met.select(F.col("x.sid").alias("sid"), F.col("x.id").alias("a"), F.col("y.id").alias("b")).unionByName(common_candidates(reps, least))
-    cand = durable(cand.distinct())
+    return s.select(sid.alias("sid"), "id", "n_words", "p1", "p2", F.explode(F.slice("cells", F.lit(1), most)).alias("c")).select(F.hash("sid", "c").alias("cell"), "sid", "id", "n_words", "p1", "p2")
+
+
+def uncommon_candidates(s: DataFrame, least: float) -> DataFrame:
+    """sid, a, b of the pairs that share an uncommon word and are in range by their coarse embeddings."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        t = pa.Table.from_batches(held)
+        parts = -(-t.num_rows // BLOCK_ROWS)
+        cell = t["cell"].to_numpy()
+        for k in range(parts):
+            for sid, a, b in _near(t.filter(pa.array(cell % parts == k)) if parts > 1 else t, least):
+                yield pa.RecordBatch.from_arrays([pa.array(sid), pa.array(a), pa.array(b)], names=["sid", "a", "b"])
+
+    return first_cells(s, least).repartition("cell").mapInArrow(meet, "sid bigint, a bigint, b bigint")
+
+
+def _near(t: pa.Table, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of rows of a cell that are in range by their sizes and planes."""
+    place = t["cell"].to_numpy().astype(np.int64) << 32
+    key = place + t["n_words"].to_numpy()
+    order = np.argsort(key)
+    key, place = key[order], place[order]
+    sid, ids, n, p1, p2 = (t[c].to_numpy()[order] for c in ("sid", "id", "n_words", "p1", "p2"))
+    p1, p2 = p1.view(np.uint64), p2.view(np.uint64)
+    # in a cell by size: each row meets those behind it up to the largest size in range
+    largest = np.searchsorted(key, place + np.floor(n / least + 1e-6).astype(np.int64), side="right")
+    lo = np.arange(1, len(key) + 1)
+    for i, j in _expand(lo, largest - lo):
+        apart = np.bitwise_count(p1[i] ^ p1[j]) + np.bitwise_count(p2[i] ^ p2[j])
+        ok = np.flatnonzero(apart <= (n[i] + n[j]) * ((1 - least) / (1 + least)) + 1e-9)
+        i, j = i[ok], j[ok]
+        ok = (sid[i] == sid[j]) & (ids[i] != ids[j])
+        i, j = i[ok], j[ok]
+        if len(i):
+            yield sid[i], np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+
+
+def _verified(texts: DataFrame, cand: DataFrame, least: float) -> DataFrame:
+    """source_table, a, b, similarity of the candidates whose words have a similarity of ``least`` or more."""
     ids = durable(cand.select("sid", F.explode(F.array("a", "b")).alias("id")).distinct())
     few = ids.count() <= BROADCAST_IDS
-    own = texts.withColumn("sid", sid).join(F.broadcast(ids) if few else ids, ["sid", "id"], "left_semi").select("source_table", "sid", "id", words_of(F.col("text")).alias("w"))
-    left, right = own.select("source_table", "sid", F.col("id").alias("a"), F.col("w").alias("wa")), own.select("sid", F.col("id").alias("b"), F.col("w").alias("wb"))
-    both = F.size(F.array_intersect("wa", "wb"))
-    pairs = cand.join(left, ["sid", "a"]).join(right, ["sid", "b"]).select("source_table", "a", "b", (both / (F.size("wa") + F.size("wb") - both)).alias("similarity"))
-    return members, durable(pairs.where(F.col("similarity") >= least - 1e-12).distinct())
+    own = durable(texts.withColumn("sid", F.xxhash64("source_table")).join(F.broadcast(ids) if few else ids, ["sid", "id"], "left_semi").select("sid", "id", "source_table", "text"))
+    # all columns are kept on both sides, so that one exchange serves both
+    x, y = (own.select(*[F.col(c).alias(f"{c}_{k}") for c in own.columns]) for k in "ab")
+    pairs = cand.join(x, (F.col("sid") == F.col("sid_a")) & (F.col("a") == F.col("id_a"))).join(y, (F.col("sid") == F.col("sid_b")) & (F.col("b") == F.col("id_b")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (part for batch in batches for part in _blocks(batch, 3, 4)):
+            row, code, words = word_sets(pa.concat_arrays([b.column(3), b.column(4)]))
+            size = np.bincount(row, minlength=2 * b.num_rows)
+            pair = np.sort((row % b.num_rows << 32) + code)
+            both = np.bincount(pair[1:][np.diff(pair) == 0] >> 32, minlength=b.num_rows)
+            similarity = both / np.maximum(1, size[: b.num_rows] + size[b.num_rows :] - both)
+            ok = similarity >= least - 1e-12
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in (0, 1, 2)), pa.array(similarity)], names=["source_table", "a", "b", "similarity"]).filter(pa.array(ok))
+
+    out = pairs.select(F.col("source_table_a").alias("source_table"), "a", "b", "text_a", "text_b", "sid_b", "id_b", "source_table_b")
+    return out.mapInArrow(run, "source_table string, a bigint, b bigint, similarity double").distinct()
 
 
 def _without(s: DataFrame, gone: DataFrame) -> DataFrame:

@@ -1,6 +1,9 @@
 import random
 import re
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 from civlake.llm import near_copies as n
 from civlake.llm.components import components
 
@@ -92,3 +95,41 @@ def test_common_words_only_in_many_mixtures(spark, monkeypatch):
             text = [w for w in base if rng.random() > 0.1] + rng.sample(vocab, rng.randint(0, len(base) // 4)) + [f"o{g}x{k}x{j}" for j in range(rng.randint(0, 1 + len(base) // 5))]
             rows.append(("a", 100 * g + k, " ".join(text)))
     assert {tuple(r) for r in n.similar_pairs(frame(spark, rows)).collect()} == brute(rows)
+
+
+def test_words_of_whole_batches(spark):
+    rng = random.Random(5)
+    texts = ["", "Hello, WORLD-wide world", "\u212aelvin \u0130x ab", "é", "", " ".join("q" * k for k in (7, 8, 9, 16, 17, 511, 512, 513, 600)), *("".join(rng.choice("aB1 -éK\u0130z") for _ in range(rng.randint(0, 30))) for _ in range(500))]
+    hashes = {}
+    for some in (pa.array(texts), pa.array(texts).slice(3, 40), pa.array([t for t in texts if t.isascii()]), pa.array(["ab", "cd"]), pa.array(["", ""]), pa.array([], pa.string())):
+        want = [words(t) for t in some.to_pylist()]
+        row, code, known = n.word_sets(some)
+        got = sorted(zip(row.tolist(), known.take(pa.array(code)).to_pylist(), strict=True))
+        assert got == sorted((k, w) for k, t in enumerate(want) for w in t)
+        row, code, known = n.word_sets(some, hashed=True)
+        assert [int((row == k).sum()) for k in range(len(want))] == [len(t) for t in want]
+        for w, h in ((min(t), known[int(code[row == k][0])].as_py()) for k, t in enumerate(want) if len(t) == 1):
+            assert hashes.setdefault(w, h) == h
+    assert len(set(hashes.values())) == len(hashes) > 30
+
+
+def test_cells_end_where_a_first_shared_word_can_stand(spark):
+    rows = [("a", k, " ".join(f"u{k // 2}x{j}" for j in range(k % 2 * 2, 20))) for k in range(8)]
+    reps = n.sketches(frame(spark, rows).select("source_table", "id", "text"), n.common_words(frame(spark, rows)))
+    sent = {r["id"]: r["count"] for r in n.first_cells(reps, 0.6).groupBy("id").count().collect()}
+    assert sent == {k: 8 if k % 2 else 9 for k in range(8)}  # of 18 and of 20
+    assert {tuple(r) for r in n.similar_pairs(frame(spark, rows)).collect()} == brute(rows) == {("a", k, k + 1) for k in range(0, 8, 2)}
+
+
+def test_texts_are_read_once_for_words_for_sketches_and_for_candidates(spark):
+    rows = corpus(6)
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+
+    texts = frame(spark, rows).select("source_table", "id", "text").mapInArrow(counted, "source_table string, id bigint, text string")
+    assert {tuple(r) for r in n.similar_pairs(texts).collect()} == brute(rows)
+    assert reads.value == 3 * len(rows)
