@@ -355,11 +355,12 @@ def common_candidates(s: DataFrame, least: float) -> DataFrame:
             np.bitwise_xor.at(parity, np.repeat(np.arange(b.num_rows), often.value_lengths().to_numpy(zero_copy_only=False)), np.uint64(1) << (value & np.uint64(63)))
             room = b.column(names.index("slack")).to_numpy(zero_copy_only=False).astype(np.float32)
 
-            def rows(at, place, key, flags, size, words, b=b, names=names, parity=parity, room=room):
+            def rows(at, place, flags, size, words, b=b, names=names, parity=parity, room=room):
                 ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32) * 4
-                data = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(words.astype(np.int32).tobytes())])
+                data = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(words.tobytes())])
                 ids = [b.column(names.index(c)).take(pa.array(at)) for c in ("sid", "id")]
-                return pa.RecordBatch.from_arrays([pa.array(place.astype(np.uint32).view(np.int32)), pa.array(key.view(np.int64)), pa.array(flags.astype(np.int8)), *ids, pa.array(room[at]), pa.array(parity[at].view(np.int64)), data], names=_SENT)
+                place = (place << np.uint64(32)) + room[at].view(np.uint32)
+                return pa.RecordBatch.from_arrays([pa.array(place.view(np.int64)), pa.array(flags.astype(np.int8)), *ids, pa.array(parity[at].view(np.int64)), data], names=_SENT)
 
             for own, got in cells_of(b, bits):
                 is_hot = np.isin(got["cell"], hot)
@@ -368,11 +369,10 @@ def common_candidates(s: DataFrame, least: float) -> DataFrame:
                 word = cold[got["row"]]
                 held = np.sort((got["row"][word] << 32) + got["rank"][word])
                 size = np.bincount(held >> 32, minlength=len(cold))[cold]
-                yield rows(got["who"][cold], got["cell"][cold], np.zeros(int(cold.sum()), dtype=np.uint64), flags[cold], size, held & 0xFFFFFFFF)
+                yield rows(got["who"][cold], got["cell"][cold], flags[cold], size, (held & 0xFFFFFFFF).astype(np.uint32))
                 if is_hot.any():  # where they meet depends on the other segment: as it is, and without each of its words
-                    none = np.empty(0, dtype=np.int32)
                     for row, key, extra in ((np.nonzero(is_hot)[0], got["key"][is_hot], HOT), (got["row"][~word], got["less"][~word], HOT + LACKS)):
-                        yield rows(got["who"][row], key >> np.uint64(32), key, flags[row] + extra, np.zeros(len(row), dtype=np.int64), none)
+                        yield rows(got["who"][row], key >> np.uint64(32), flags[row] + extra, np.full(len(row), 2), key)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -380,34 +380,42 @@ def common_candidates(s: DataFrame, least: float) -> DataFrame:
             return
         t = pa.Table.from_batches(held)
         parts = -(-t.num_rows // BLOCK_ROWS)
-        place = t["place"].to_numpy()
+        place = t["place"].to_numpy() >> 32
         for k in range(parts):
             for a, b, sid in _met(t.filter(pa.array(place % parts == k)) if parts > 1 else t):
                 yield pa.RecordBatch.from_arrays([pa.array(sid), pa.array(a), pa.array(b)], names=["sid", "a", "b"])
 
-    sent = s.mapInArrow(send, "place int, key bigint, flags byte, sid bigint, id bigint, slack float, parity bigint, words binary")
-    return sent.repartition("place").mapInArrow(meet, "sid bigint, a bigint, b bigint")
+    sent = s.mapInArrow(send, "place bigint, flags byte, sid bigint, id bigint, parity bigint, words binary")
+    return sent.repartition(F.shiftright("place", 32)).mapInArrow(meet, "sid bigint, a bigint, b bigint")
 
 
-_SENT = ["place", "key", "flags", "sid", "id", "slack", "parity", "words"]
+#: place: the cell, then 32 bits of the slack; words: ranks of the other segment's words, for a hot cell the key in their stead.
+_SENT = ["place", "flags", "sid", "id", "parity", "words"]
 OWN, FIRST, HOT, LACKS = 1, 2, 4, 8
 
 
 def _met(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Pairs of rows of a cell whose other segments are equal, or equal but for one word that one of them lacks."""
     col = {n: t[n].combine_chunks() for n in _SENT}
-    place, sid, ids, room, flags = (col[n].to_numpy(zero_copy_only=False) for n in ("place", "sid", "id", "slack", "flags"))
-    key, parity = (col[n].to_numpy(zero_copy_only=False).view(np.uint64).copy() for n in ("key", "parity"))
+    sid, ids, flags = (col[n].to_numpy(zero_copy_only=False) for n in ("sid", "id", "flags"))
+    place, parity = (col[n].to_numpy(zero_copy_only=False).view(np.uint64) for n in ("place", "parity"))
+    room = place.astype(np.uint32).view(np.float32)
     lacks, first, own, hot = (flags & f > 0 for f in (LACKS, FIRST, OWN, HOT))
     _, ends, data = col["words"].buffers()
     ends = np.frombuffer(ends, dtype=np.int32)[col["words"].offset :][: len(ids) + 1].astype(np.int64) // 4
-    ranks = np.frombuffer(data, dtype=np.int32)[ends[0] : ends[-1]] if data is not None else np.empty(0, dtype=np.int32)
+    ranks = np.frombuffer(data, dtype=np.uint32)[ends[0] : ends[-1]] if data is not None else np.empty(0, dtype=np.uint32)
+    keys = ends[:-1][hot] - ends[0]
+    keys = ranks[keys].astype(np.uint64) + (ranks[keys + 1].astype(np.uint64) << np.uint64(32))
     row = np.repeat(np.arange(len(ids)), np.diff(ends))
+    if len(keys):
+        cold = ~hot[row]
+        row, ranks = row[cold], ranks[cold]
     value = _word_values(ranks)
     other = np.zeros(len(ids), dtype=np.uint64)
     np.add.at(other, row, value)
-    cell = place.view(np.uint32).astype(np.uint64)
-    key[~hot] = _key(cell, other)[~hot]
+    cell = place >> np.uint64(32)
+    key = _key(cell, other)
+    key[hot] = keys
     whole = np.nonzero(~lacks)[0]
     whole = whole[np.argsort(key[whole], kind="stable")]
     there = key[whole]
@@ -464,11 +472,12 @@ def class_links(texts: DataFrame, least: float = 0.6) -> tuple[DataFrame, DataFr
 
 
 def first_cells(s: DataFrame, least: float) -> DataFrame:
-    """sid, id, n_words, p1, p2 and cell, for each cell in which a text may first meet another one."""
+    """cell (its hash, then 32 bits of n_words), sid, id, p1 and p2, for each cell in which a text may first meet another one."""
     n = F.col("n_words")
     most = (n - F.ceil(n * least - 1e-9) + 1).cast("int")
     sid = F.xxhash64("source_table")
-    return s.select(sid.alias("sid"), "id", "n_words", "p1", "p2", F.explode(F.slice("cells", F.lit(1), most)).alias("c")).select(F.hash("sid", "c").alias("cell"), "sid", "id", "n_words", "p1", "p2")
+    cell = F.shiftleft(F.hash("sid", "c").cast("bigint"), 32) + F.col("n_words")
+    return s.select(sid.alias("sid"), "id", "n_words", "p1", "p2", F.explode(F.slice("cells", F.lit(1), most)).alias("c")).select(cell.alias("cell"), "sid", "id", "p1", "p2")
 
 
 def uncommon_candidates(s: DataFrame, least: float) -> DataFrame:
@@ -480,21 +489,22 @@ def uncommon_candidates(s: DataFrame, least: float) -> DataFrame:
             return
         t = pa.Table.from_batches(held)
         parts = -(-t.num_rows // BLOCK_ROWS)
-        cell = t["cell"].to_numpy()
+        cell = t["cell"].to_numpy() >> 32
         for k in range(parts):
             for sid, a, b in _near(t.filter(pa.array(cell % parts == k)) if parts > 1 else t, least):
                 yield pa.RecordBatch.from_arrays([pa.array(sid), pa.array(a), pa.array(b)], names=["sid", "a", "b"])
 
-    return first_cells(s, least).repartition("cell").mapInArrow(meet, "sid bigint, a bigint, b bigint")
+    return first_cells(s, least).repartition(F.shiftright("cell", 32)).mapInArrow(meet, "sid bigint, a bigint, b bigint")
 
 
 def _near(t: pa.Table, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Pairs of rows of a cell that are in range by their sizes and planes."""
-    place = t["cell"].to_numpy().astype(np.int64) << 32
-    key = place + t["n_words"].to_numpy()
+    key = t["cell"].to_numpy()
     order = np.argsort(key)
-    key, place = key[order], place[order]
-    sid, ids, n, p1, p2 = (t[c].to_numpy()[order] for c in ("sid", "id", "n_words", "p1", "p2"))
+    key = key[order]
+    n = key & 0xFFFFFFFF
+    place = key - n
+    sid, ids, p1, p2 = (t[c].to_numpy()[order] for c in ("sid", "id", "p1", "p2"))
     p1, p2 = p1.view(np.uint64), p2.view(np.uint64)
     # in a cell by size: each row meets those behind it up to the largest size in range
     largest = np.searchsorted(key, place + np.floor(n / least + 1e-6).astype(np.int64), side="right")
